@@ -1,0 +1,213 @@
+"""Registered queries: one callable (spark, sf_dir) -> DataFrame per operator.
+
+Each reads whole driver tables (or data Spark derives from them) and returns
+plain scalar columns named exactly like the matching oracle SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilmark.functions import spans as S
+from veilmark.operators import detect as D
+from veilmark.operators import mask as M
+from veilmark.operators import reinject as RJ
+from veilmark.operators import summary as SM
+from veilmark.session import spread
+from veilmark.sources import derived
+from veilmark.sources import tables as TB
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def register(name: str):
+    def deco(fn: Query) -> Query:
+        QUERIES[name] = fn
+        return fn
+
+    return deco
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(TB.documents(spark, sf).select("doc_id", "text"))
+
+
+def _order_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(derived.order_texts(spark, sf))
+
+
+def _masked_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with spans, tokenized spans, masked text and token map (session = doc_id)."""
+    return M.mask(D.with_spans(_docs(spark, sf)))
+
+
+def _erase_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions to erase: documents labelled toxic."""
+    lab = TB.table(spark, sf, "labels")
+    return lab.filter(F.col("toxic") == 1).select(F.col("doc_id").cast("string").alias("session_id"))
+
+
+# -- detection ---------------------------------------------------------------
+
+
+@register("detect_base")
+def q_detect_base(spark, sf):
+    return D.detect_stage(_docs(spark, sf), "base")
+
+
+@register("detect_rules")
+def q_detect_rules(spark, sf):
+    return D.detect_stage(_docs(spark, sf), "rules_raw")
+
+
+@register("detect_rules_dedup")
+def q_detect_rules_dedup(spark, sf):
+    return D.detect_stage(_docs(spark, sf), "rules")
+
+
+@register("detect_all")
+def q_detect_all(spark, sf):
+    return D.detect(_docs(spark, sf))
+
+
+@register("detect_rules_orders")
+def q_detect_rules_orders(spark, sf):
+    return D.detect_stage(_order_texts(spark, sf), "rules")
+
+
+@register("detect_all_orders")
+def q_detect_all_orders(spark, sf):
+    return D.detect(_order_texts(spark, sf))
+
+
+@register("span_overlap_pairs")
+def q_span_overlap_pairs(spark, sf):
+    return D.span_overlap_pairs(D.candidate_spans(_docs(spark, sf)))
+
+
+@register("pii_summary")
+def q_pii_summary(spark, sf):
+    return SM.pii_summary(D.with_spans(_docs(spark, sf)).select("doc_id", "spans"))
+
+
+@register("pii_per_doc")
+def q_pii_per_doc(spark, sf):
+    return D.pii_per_doc(_docs(spark, sf))
+
+
+@register("pii_rollup")
+def q_pii_rollup(spark, sf):
+    return SM.pii_rollup(D.detect(_docs(spark, sf)))
+
+
+# -- masking, vault, reinjection ---------------------------------------------
+
+
+@register("mask_documents")
+def q_mask_documents(spark, sf):
+    m = _masked_docs(spark, sf)
+    return m.select(
+        "doc_id",
+        "masked_text",
+        F.size("tspans").alias("n_spans"),
+        F.size("token_map").alias("tokens_used"),
+        F.length("text").alias("original_length"),
+    )
+
+
+@register("mask_preview")
+def q_mask_preview(spark, sf):
+    m = _masked_docs(spark, sf)
+    return m.select(
+        F.col("doc_id").alias("file_id"),
+        F.length("text").alias("original_length"),
+        F.col("masked_text").alias("anonymized_text"),
+        F.lit("document").alias("kind"),
+        F.size("token_map").alias("tokens_used"),
+    )
+
+
+@register("vault_rows")
+def q_vault_rows(spark, sf):
+    return M.vault_rows(_masked_docs(spark, sf))
+
+
+@register("token_map")
+def q_token_map(spark, sf):
+    m = _masked_docs(spark, sf).filter(F.size("token_map") > 0)
+    return m.select("doc_id", F.size("token_map").alias("tokens_used"), M.map_lines(F.col("token_map")).alias("token_map"))
+
+
+@register("token_collisions")
+def q_token_collisions(spark, sf):
+    return M.token_collisions(M.vault_rows(_masked_docs(spark, sf)))
+
+
+@register("token_map_merge")
+def q_token_map_merge(spark, sf):
+    docs = _masked_docs(spark, sf).select("doc_id", F.col("token_map").alias("doc_map"))
+    instr = M.mask(D.with_spans(_order_texts(spark, sf))).select(
+        F.col("doc_id").alias("task_id"), F.col("token_map").alias("instr_map")
+    )
+    j = docs.join(instr, docs.doc_id == instr.task_id, "inner")
+    merged = M.merge_maps(F.col("doc_map"), F.col("instr_map"))
+    return j.select(
+        "doc_id",
+        F.size("doc_map").alias("n_doc_tokens"),
+        F.size("instr_map").alias("n_instruction_tokens"),
+        F.size(merged).alias("n_tokens"),
+        M.map_lines(merged).alias("token_map"),
+    )
+
+
+PURGED_TYPE = "CREDIT_CARD"
+
+
+def _reinjected(spark, sf, erase: bool):
+    """Masked documents as answers, reinjected from the vault.
+
+    With ``erase`` the vault first loses the sessions of toxic-labelled
+    documents (S14) and every card-number entry (a type-level retention purge),
+    so answers carry tokens the vault no longer resolves.
+    """
+    m = _masked_docs(spark, sf)
+    vault = M.vault_rows(m)
+    if erase:
+        vault = vault.join(_erase_list(spark, sf), "session_id", "left_anti").filter(F.col("type") != PURGED_TYPE)
+    answers = m.select("doc_id", F.col("masked_text").alias("text"))
+    return RJ.reinject(answers, vault, "doc_id", "doc_id"), vault
+
+
+@register("reinject")
+def q_reinject(spark, sf):
+    r, _ = _reinjected(spark, sf, erase=False)
+    return r.select("doc_id", "reinjected", "n_tokens", "n_resolved", "n_unresolved")
+
+
+@register("unresolved_tokens")
+def q_unresolved_tokens(spark, sf):
+    r, _ = _reinjected(spark, sf, erase=True)
+    return r.select("doc_id", F.explode(RJ.unresolved(F.col("text"), F.col("tmap"), F.col("session_known"))).alias("token"))
+
+
+@register("reinject_stats")
+def q_reinject_stats(spark, sf):
+    r, vault = _reinjected(spark, sf, erase=True)
+    sizes = vault.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_session_tokens"))
+    return RJ.reinject_stats(r, sizes, "doc_id", "doc_id")
+
+
+@register("token_pieces")
+def q_token_pieces(spark, sf):
+    m = _masked_docs(spark, sf).filter(F.size("tspans") > 0)
+    return RJ.token_pieces(m, "doc_id", "masked_text")
+
+
+@register("erase_sessions")
+def q_erase_sessions(spark, sf):
+    vault = M.vault_rows(_masked_docs(spark, sf))
+    return vault.join(_erase_list(spark, sf), "session_id", "left_anti")
