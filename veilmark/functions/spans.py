@@ -38,6 +38,7 @@ SPAN_TYPE = T.StructType(
 )
 SPANS_TYPE = T.ArrayType(SPAN_TYPE)
 PUBLIC_SPAN_FIELDS = ["text", "type", "start", "end", "score", "source"]
+PUBLIC_SPANS_TYPE = T.ArrayType(T.StructType([f for f in SPAN_TYPE.fields if f.name in PUBLIC_SPAN_FIELDS]))
 
 # Java regex flags: case-insensitive with Unicode case folding, Unicode
 # character classes (so \b, \s, \w, \d behave like Python's str patterns).
@@ -181,13 +182,13 @@ def by_start(spans: Column) -> Column:
     return F.array_sort(spans, cmp)
 
 
-def greedy_keep(candidates: Column, theta: float, seed: Column | None = None) -> Column:
+def greedy_keep(candidates: Column, theta: float, seed: Column | None = None, elem=SPANS_TYPE) -> Column:
     """Keep each candidate (in array order) unless it overlaps a kept one.
 
     With ``seed`` the kept list starts with those spans (which are all kept).
+    ``elem`` is the array type of the candidates (internal spans by default).
     """
-    # An empty array of the candidates' own element type.
-    init = seed if seed is not None else F.filter(candidates, lambda s: F.lit(False))
+    init = seed if seed is not None else F.array().cast(elem)
     return F.aggregate(
         candidates,
         init,
@@ -207,9 +208,9 @@ def merge_stages(base: Column, added: Column, theta: float = 0.5) -> Column:
     return greedy_keep(added, theta, seed=base)
 
 
-def make_disjoint(spans: Column) -> Column:
+def make_disjoint(spans: Column, elem=PUBLIC_SPANS_TYPE) -> Column:
     """Last pass before masking: drop any span that touches an earlier kept one."""
-    return by_start(greedy_keep(spans, 0.0))
+    return by_start(greedy_keep(spans, 0.0, elem=elem))
 
 
 def public(spans: Column) -> Column:

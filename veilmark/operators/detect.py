@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
 from veilmark.functions import spans as S
+from veilmark.functions.arrays import explode_kept
 
 # Every stage-1 recognizer and business rule needs a digit or an '@'; texts
 # without either skip all regex work (most documents have no PII at all).
@@ -68,7 +69,7 @@ def with_spans(df: DataFrame, text_col: str = "text", out: str = "spans", **kw)
 
 def explode_spans(df: DataFrame, keys: Sequence[str], spans_col: str = "spans") -> DataFrame:
     """Long ``spans`` table: (keys..., type, start, end, text, score, source)."""
-    return df.select(*keys, F.explode(spans_col).alias("s")).select(
+    return df.select(*keys, explode_kept(F.col(spans_col)).alias("s")).filter(F.col("s").isNotNull()).select(
         *keys,
         F.col("s.type").alias("type"),
         F.col("s.start").alias("start"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
 from veilmark.functions import spans as S
+from veilmark.functions.arrays import explode_kept
 
 DEFAULT_WIDTH = 12
 
@@ -77,7 +78,11 @@ def vault_rows(masked: DataFrame, key: str = "doc_id", session_col: str | None =
     ent = F.array_distinct(
         F.transform(F.col("tspans"), lambda s: F.struct(s["token"].alias("token"), s["type"].alias("type"), s["text"].alias("value")))
     )
-    return masked.select(session.alias("session_id"), F.explode(ent).alias("e")).select("session_id", "e.*")
+    return (
+        masked.select(session.alias("session_id"), explode_kept(ent).alias("e"))
+        .filter(F.col("e").isNotNull())
+        .select("session_id", "e.*")
+    )
 
 
 def token_collisions(vault: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
+from veilmark.functions.arrays import explode_kept, posexplode_kept
 
 TOKEN_RE = R.TOKEN_PATTERN
 _EMPTY_MAP = "map<string,string>"
@@ -48,8 +49,8 @@ def answer_maps(answers: DataFrame, vault: DataFrame, answer_key: str, session_c
     toks = answers.select(
         answer_key,
         F.col(session_col).cast("string").alias("session_id"),
-        F.explode(F.array_distinct(token_list(F.col("text")))).alias("token"),
-    )
+        explode_kept(F.array_distinct(token_list(F.col("text")))).alias("token"),
+    ).filter(F.col("token").isNotNull())
     hits = toks.join(vault.select("session_id", "token", "value"), ["session_id", "token"], "inner")
     return hits.groupBy(answer_key).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("tmap"))
 
@@ -110,7 +111,7 @@ def token_pieces(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         )
     )
     inter = F.filter(inter, lambda p: p["piece"].isNotNull() & (F.length(p["piece"]) > 0))
-    return df.select(key, F.posexplode(inter).alias("pos", "p")).select(
+    return df.select(key, posexplode_kept(inter).alias("pos", "p")).filter(F.col("p").isNotNull()).select(
         key, "pos", F.col("p.piece").alias("piece"), F.col("p.is_token").alias("is_token")
     )
 

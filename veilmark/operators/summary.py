@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
+from veilmark.functions.arrays import explode_kept
 
 
 def pii_summary(docs_with_spans: DataFrame, key: str = "doc_id", spans_col: str = "spans") -> DataFrame:
@@ -33,7 +34,7 @@ def pii_summary(docs_with_spans: DataFrame, key: str = "doc_id", spans_col: str
             ).alias("matches"),
         ),
     )
-    out = docs_with_spans.select(key, F.explode(per_type).alias("t")).select(key, "t.*")
+    out = docs_with_spans.select(key, explode_kept(per_type).alias("t")).filter(F.col("t").isNotNull()).select(key, "t.*")
     sev = R.type_severity(F.col("type"))
     return out.select(
         key,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions import spans as S
+from veilmark.functions.arrays import explode_kept
 from veilmark.operators import detect as D
 from veilmark.operators import mask as M
 from veilmark.operators import reinject as RJ
@@ -191,7 +192,8 @@ def q_reinject(spark, sf):
 @register("unresolved_tokens")
 def q_unresolved_tokens(spark, sf):
     r, _ = _reinjected(spark, sf, erase=True)
-    return r.select("doc_id", F.explode(RJ.unresolved(F.col("text"), F.col("tmap"), F.col("session_known"))).alias("token"))
+    toks = RJ.unresolved(F.col("text"), F.col("tmap"), F.col("session_known"))
+    return r.select("doc_id", explode_kept(toks).alias("token")).filter(F.col("token").isNotNull())
 
 
 @register("reinject_stats")

@@ -23,6 +23,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            builder = builder.config("spark.driver.memory", os.environ.get("VEILMARK_DRIVER_MEMORY", "16g"))
     for k, v in {**DEFAULT_CONF, "spark.sql.shuffle.partitions": str(shuffle_partitions), **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
