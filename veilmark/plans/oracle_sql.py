@@ -165,3 +165,65 @@ def masked_ctes(src: str = "documents", key: str = "doc_id") -> str:
         f"FROM {src} d LEFT JOIN masked0 m ON d.{key} = m.{key}), "
         f"vault AS (SELECT DISTINCT CAST({key} AS VARCHAR) AS session_id, token, type, text AS value FROM tok)"
     )
+
+
+def audit_cte() -> str:
+    """The events -> audit projection (same fixed values as ``tables.audit_events``)."""
+    k = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+    event = case_map("event_type", TB.EVENT_TYPE_MAP, "event_type")
+    is_file = f"({event} IN ({', '.join(q(e) for e in R.FILE_EVENTS)}))"
+    is_task = f"({event} IN ({', '.join(q(e) for e in R.TASK_EVENTS)}))"
+    provider = pick(R.PROVIDERS, k)
+    t1 = pick(TB.AUDIT_PII_TYPES, k)
+    t2 = pick(TB.AUDIT_PII_TYPES, f"{k} * 7 + 3")
+    model = (
+        f"CASE WHEN {k} >= 90 THEN '' WHEN {k} >= 80 THEN {q(R.CONFIGURED_DEFAULT_MODEL)} "
+        f"ELSE {case_map(provider, R.DEFAULT_MODEL, 'NULL')} END"
+    )
+    return (
+        f"audit AS (SELECT event_id, ts AS timestamp, {event} AS event, "
+        f"({is_task} AND value > {TB.BOUNDARY_VALUE}) AS data_left_boundary, "
+        f"CAST(user_id AS VARCHAR) AS session_id, 'user_' || CAST(user_id AS VARCHAR) AS \"user\", "
+        f"CASE WHEN {is_file} THEN '***' || {pick(TB.AUDIT_FILE_EXTS, k)} END AS filename, "
+        f"CASE WHEN {is_file} THEN {k} END AS pii_count, "
+        f"CASE WHEN {is_file} THEN (CASE WHEN {t1} = {t2} THEN [{t1}] ELSE [{t1}, {t2}] END) END AS pii_types, "
+        f"CASE WHEN {is_task} THEN {provider} END AS provider, "
+        f"CASE WHEN {is_task} THEN {model} END AS model FROM events)"
+    )
+
+
+def resolve_model_sql(provider: str, requested: str) -> str:
+    return (
+        f"(CASE WHEN trim(coalesce({requested}, '')) = '' THEN coalesce({case_map(provider, R.DEFAULT_MODEL, 'NULL')}, '') "
+        f"ELSE trim({requested}) END)"
+    )
+
+
+def event_label_sql(e: str) -> str:
+    return case_map(e, R.EVENT_LABEL, e)
+
+
+def event_color_sql(e: str) -> str:
+    return (
+        f"(CASE WHEN contains({e}, 'failed') THEN 'text-red-400' "
+        f"WHEN contains({e}, 'uploaded') OR contains({e}, 'created') THEN 'text-blue-400' "
+        f"WHEN contains({e}, 'complete') OR contains({e}, 'received') THEN 'text-green-400' "
+        f"ELSE 'text-pp-text-muted' END)"
+    )
+
+
+def csv_field_sql(v: str) -> str:
+    s = f"replace(coalesce({v}, ''), '\"', '\"\"')"
+    return f"(CASE WHEN regexp_matches({s}, '[,\"\\n]') THEN '\"' || {s} || '\"' ELSE {s} END)"
+
+
+def csv_line_sql() -> str:
+    vals = [
+        "strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'",
+        "event",
+        "CASE WHEN data_left_boundary THEN 'True' WHEN NOT data_left_boundary THEN 'False' END",
+        "session_id", "\"user\"", "filename", "CAST(pii_count AS VARCHAR)",
+        "CASE WHEN pii_types IS NOT NULL THEN '[''' || array_to_string(pii_types, ''', ''') || ''']' END",
+        "provider", "model",
+    ]
+    return " || ',' || ".join(csv_field_sql(v) for v in vals)

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilmark.functions import rules as R
 from veilmark.functions import spans as S
 from veilmark.functions.arrays import explode_kept
+from veilmark.operators import audit as AU
 from veilmark.operators import detect as D
 from veilmark.operators import mask as M
 from veilmark.operators import reinject as RJ
@@ -213,3 +215,83 @@ def q_token_pieces(spark, sf):
 def q_erase_sessions(spark, sf):
     vault = M.vault_rows(_masked_docs(spark, sf))
     return vault.join(_erase_list(spark, sf), "session_id", "left_anti")
+
+
+# -- audit log ---------------------------------------------------------------
+
+
+def _audit(spark, sf):
+    return TB.audit_events(spark, sf)
+
+
+@register("audit_scan")
+def q_audit_scan(spark, sf):
+    a = _audit(spark, sf)
+    return a.withColumn("pii_types", F.array_join("pii_types", ","))
+
+
+@register("dashboard_stats")
+def q_dashboard_stats(spark, sf):
+    docs = TB.documents(spark, sf).select("doc_id")
+    tasks = TB.conversations(spark, sf).select("conv_id").distinct()
+    return AU.dashboard_stats(_audit(spark, sf), docs, tasks)
+
+
+@register("pii_breakdown")
+def q_pii_breakdown(spark, sf):
+    return AU.pii_breakdown(_audit(spark, sf))
+
+
+@register("provider_usage")
+def q_provider_usage(spark, sf):
+    return AU.provider_usage(_audit(spark, sf))
+
+
+@register("daily_activity")
+def q_daily_activity(spark, sf):
+    return AU.daily_activity(_audit(spark, sf))
+
+
+@register("audit_count")
+def q_audit_count(spark, sf):
+    lines = _audit(spark, sf).select(F.to_json(F.struct("*")).alias("value"))
+    return AU.audit_count(lines)
+
+
+@register("audit_page")
+def q_audit_page(spark, sf):
+    return AU.audit_page(_audit(spark, sf), offset=100, limit=1000).select(
+        "event_id", "timestamp", "event", "session_id"
+    )
+
+
+@register("audit_csv_lines")
+def q_audit_csv_lines(spark, sf):
+    return AU.audit_csv_lines(_audit(spark, sf)).select("event_id", "line")
+
+
+@register("event_label")
+def q_event_label(spark, sf):
+    a = _audit(spark, sf)
+    return a.select("event_id", "event", AU.event_label(F.col("event")).alias("label"),
+                    AU.event_color(F.col("event")).alias("color"))
+
+
+@register("boundary_alerts")
+def q_boundary_alerts(spark, sf):
+    return AU.boundary_alerts(_audit(spark, sf)).select("event_id", "timestamp", "event", "session_id", "provider")
+
+
+@register("resolve_model")
+def q_resolve_model(spark, sf):
+    a = _audit(spark, sf).filter(F.col("event") == "task_created")
+    return a.select("event_id", "provider", F.col("model").alias("requested_model"),
+                    AU.resolve_model(F.col("provider"), F.col("model")).alias("model"))
+
+
+@register("unknown_models")
+def q_unknown_models(spark, sf):
+    a = _audit(spark, sf).filter(F.col("event") == "task_created")
+    used = a.select("provider", AU.resolve_model(F.col("provider"), F.col("model")).alias("model_id")).distinct()
+    reg = F.broadcast(R.model_registry(spark).select("provider", "model_id"))  # fixed ~40 rows
+    return used.join(reg, ["provider", "model_id"], "left_anti")

@@ -54,7 +54,7 @@ AUDIT_PII_TYPES = [
 ]
 AUDIT_FILE_EXTS = [".docx", ".xlsx", ".pdf", ".eml", ".txt"]
 # A task event above this value is recorded as data having left the boundary.
-BOUNDARY_VALUE = 400.0
+BOUNDARY_VALUE = 200.0
 # orders.o_orderstatus -> task status
 ORDER_STATUS_MAP = {"F": "completed", "O": "processing", "P": "failed"}
 # end of fixed values
@@ -96,7 +96,17 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_file, k).alias("pii_count"),
         F.when(is_file, types).alias("pii_types"),
         F.when(is_task, provider).alias("provider"),
-        F.when(is_task, F.try_element_at(_map_lit(rules.DEFAULT_MODEL), provider)).alias("model"),
+        F.when(is_task, requested_model(provider, k)).alias("model"),
+    )
+
+
+def requested_model(provider: Column, k: Column) -> Column:
+    """Model named by a task request: blank for k >= 90 (use the default), the service's
+    configured default id for 80 <= k < 90, else the provider's registry default."""
+    return (
+        F.when(k >= 90, F.lit(""))
+        .when(k >= 80, F.lit(rules.CONFIGURED_DEFAULT_MODEL))
+        .otherwise(F.try_element_at(_map_lit(rules.DEFAULT_MODEL), provider))
     )
 
 
