@@ -227,3 +227,89 @@ def csv_line_sql() -> str:
         "provider", "model",
     ]
     return " || ',' || ".join(csv_field_sql(v) for v in vals)
+
+
+def sheet_lines_cte(src: str) -> str:
+    """lines(doc_id, i, line): trimmed non-empty lines in order (0-based i)."""
+    return (
+        f"raw_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line0, "
+        f"unnest(generate_series(1, len(string_split(text, chr(10))))) AS n FROM {src}), "
+        f"lines AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS i, line "
+        f"FROM (SELECT doc_id, n, trim(line0) AS line FROM raw_lines) WHERE line <> '')"
+    )
+
+
+def sheet_cells_ctes(src: str) -> str:
+    pat = "'^([a-zA-Z]+)(\\d+):\\s*(.*)$'"
+    hdr = "(starts_with(line, '[Arkusz:') AND ends_with(line, ']'))"
+    return (
+        f"{sheet_lines_cte(src)}, "
+        f"tagged AS (SELECT doc_id, i, line, CASE WHEN {hdr} THEN trim(substr(line, 9, length(line) - 9)) END AS hname, "
+        f"NOT {hdr} AND regexp_matches(line, {pat}) AS is_cell FROM lines), "
+        f"sheeted AS (SELECT *, coalesce(last_value(hname IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Arkusz1') AS sheet FROM tagged), "
+        f"cells0 AS (SELECT doc_id, i, sheet, CAST(regexp_extract(line, {pat}, 2) AS BIGINT) AS \"row\", "
+        f"list_reduce(list_transform(string_split(upper(regexp_extract(line, {pat}, 1)), ''), lambda ch: ascii(ch) - 64), "
+        f"lambda acc, x: acc * 26 + x, 0) AS col, regexp_extract(line, {pat}, 3) AS value FROM sheeted WHERE is_cell), "
+        f"cells AS (SELECT doc_id, sheet, \"row\", CAST(col AS BIGINT) AS col, arg_max(value, i) AS value "
+        f"FROM cells0 GROUP BY doc_id, sheet, \"row\", col)"
+    )
+
+
+def tasks_ctes() -> str:
+    """tasks, files (same derivation as ``tables.tasks`` / ``tables.files``)."""
+    status = case_map("o.o_orderstatus", TB.ORDER_STATUS_MAP, "NULL")
+    provider = pick(R.PROVIDERS, "p.conv_id")
+    model = case_map(provider, R.DEFAULT_MODEL, "NULL")
+    ext = case_map("lang", TB.FILE_EXT_BY_LANG, "NULL")
+    return (
+        "per_conv AS (SELECT conv_id, count(*) AS message_count FROM conversations GROUP BY conv_id), "
+        f"tasks AS (SELECT p.conv_id AS task_id, p.conv_id AS file_id, 'cust_' || CAST(o.o_custkey AS VARCHAR) AS user_id, "
+        f"coalesce({status}, 'unknown') AS status, {provider} AS provider, {model} AS model, "
+        f"o.o_orderdate AS created_at, o.o_orderdate + to_minutes(CAST(p.message_count AS INTEGER)) AS last_activity_at, "
+        f"p.message_count FROM per_conv p LEFT JOIN orders o ON p.conv_id = o.o_orderkey), "
+        f"files AS (SELECT doc_id AS file_id, CASE WHEN {ext} IS NULL THEN {q(R.TEXT_PLACEHOLDER_FILENAME)} "
+        f"ELSE 'doc_' || CAST(doc_id AS VARCHAR) || {ext} END AS filename FROM documents)"
+    )
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def summary_cte() -> str:
+    cleaned = f"regexp_replace({strip_sql('coalesce(f.instruction, \'\')')}, '\\s+', ' ', 'g')"
+    fn = "coalesce(fl.filename, '')"
+    title = (
+        f"CASE WHEN {fn} <> '' AND {fn} <> {q(R.TEXT_PLACEHOLDER_FILENAME)} THEN {fn} "
+        f"WHEN {cleaned} <> '' THEN substr({cleaned}, 1, 72) WHEN {fn} <> '' THEN {fn} "
+        f"ELSE {q(R.UNTITLED_CONVERSATION)} END"
+    )
+    return (
+        "facts AS (SELECT conv_id, count(*) AS message_count, arg_max(text, turn) AS last_text, "
+        "arg_min(text, turn) FILTER (WHERE role = 'user') AS instruction FROM conversations GROUP BY conv_id), "
+        f"summary AS (SELECT t.task_id, {title} AS title, {fn} AS filename, coalesce(t.provider, '') AS provider, "
+        f"coalesce(t.model, '') AS model, coalesce(t.status, 'unknown') AS status, t.created_at, "
+        f"coalesce(t.last_activity_at, t.created_at) AS last_activity_at, coalesce(f.message_count, 0) AS message_count, "
+        f"substr(coalesce(f.last_text, ''), 1, 160) AS last_message_preview "
+        f"FROM tasks t LEFT JOIN facts f ON f.conv_id = t.task_id LEFT JOIN files fl ON fl.file_id = t.file_id)"
+    )
+
+
+def answers_cte() -> str:
+    from veilmark.sources.derived import ORDER_SHEET_SQL
+
+    tag = R.SOLUTION_TAG
+    block = q(f"(?s)<{tag}>(.*?)</{tag}>")
+    return (
+        f"dumps AS ({ORDER_SHEET_SQL}), "
+        f"answers AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN c.role = 'assistant' AND t.status = 'completed' "
+        f"THEN c.text || chr(10) || '<{tag}>' || chr(10) || d.text || chr(10) || '</{tag}>' ELSE c.text END AS text "
+        f"FROM conversations c LEFT JOIN tasks t ON t.task_id = c.conv_id LEFT JOIN dumps d ON d.doc_id = c.conv_id), "
+        f"solved AS (SELECT conv_id, turn, role, text, CASE WHEN regexp_matches(text, {block}) THEN "
+        f"{strip_sql(f'regexp_extract(text, {block}, 1)')} END AS solution, "
+        f"CASE WHEN regexp_matches(text, {block}) THEN coalesce(nullif({strip_sql(f"regexp_replace(text, {block}, '', 'g')")}, ''), "
+        f"{q(R.SOLUTION_DEFAULT_MESSAGE)}) ELSE text END AS message FROM answers), "
+        f"result AS (SELECT conv_id, solution AS solution_text, text AS last_text FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM solved WHERE role = 'assistant') WHERE rn = 1)"
+    )

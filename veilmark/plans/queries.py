@@ -15,9 +15,11 @@ from veilmark.functions import rules as R
 from veilmark.functions import spans as S
 from veilmark.functions.arrays import explode_kept
 from veilmark.operators import audit as AU
+from veilmark.operators import conversations as CV
 from veilmark.operators import detect as D
 from veilmark.operators import mask as M
 from veilmark.operators import reinject as RJ
+from veilmark.operators import sheets as SH
 from veilmark.operators import summary as SM
 from veilmark.session import spread
 from veilmark.sources import derived
@@ -295,3 +297,112 @@ def q_unknown_models(spark, sf):
     used = a.select("provider", AU.resolve_model(F.col("provider"), F.col("model")).alias("model_id")).distinct()
     reg = F.broadcast(R.model_registry(spark).select("provider", "model_id"))  # fixed ~40 rows
     return used.join(reg, ["provider", "model_id"], "left_anti")
+
+
+# -- sheets ------------------------------------------------------------------
+
+
+def _dumps(spark, sf):
+    return spread(derived.order_sheet_dump(spark, sf))
+
+
+@register("sheet_cells")
+def q_sheet_cells(spark, sf):
+    return SH.sheet_cells(_dumps(spark, sf))
+
+
+@register("sheet_cells_fallback")
+def q_sheet_cells_fallback(spark, sf):
+    return SH.sheet_cells(_dumps(spark, sf), fallback=True)
+
+
+@register("sheet_grid")
+def q_sheet_grid(spark, sf):
+    return SH.sheet_grid(SH.sheet_cells(_dumps(spark, sf)))
+
+
+@register("mask_cells")
+def q_mask_cells(spark, sf):
+    """M8: cells of each order's sheet masked with the vault of that order's text."""
+    vault = M.vault_rows(M.mask(D.with_spans(_order_texts(spark, sf))))
+    cells = SH.sheet_cells(_dumps(spark, sf))
+    return M.mask_cells(cells, vault, "doc_id", "value")
+
+
+# -- conversations and tasks ---------------------------------------------------
+
+
+def _summary(spark, sf):
+    return CV.conv_summary(TB.conversations(spark, sf), TB.tasks(spark, sf), TB.files(spark, sf))
+
+
+@register("conv_summary")
+def q_conv_summary(spark, sf):
+    return _summary(spark, sf)
+
+
+@register("conv_filter")
+def q_conv_filter(spark, sf):
+    return CV.conv_filter(_summary(spark, sf), provider="claude", status="completed").select("task_id", "title", "status")
+
+
+@register("conv_options")
+def q_conv_options(spark, sf):
+    return CV.conv_options(_summary(spark, sf))
+
+
+@register("owned_tasks")
+def q_owned_tasks(spark, sf):
+    recs = TB.task_records(spark, sf).select("task_id", "user_id", "username")
+    ids = TB.table(spark, sf, "customer").select(
+        F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("ident_user_id"),
+        F.col("c_name").alias("ident_username"),
+    )
+    return CV.owned(recs, ids).select("ident_user_id", "task_id")
+
+
+def _answers(spark, sf):
+    """Assistant turns; those of completed tasks end with a solution block holding the order's sheet dump."""
+    conv = TB.conversations(spark, sf)
+    tasks = TB.tasks(spark, sf).select(F.col("task_id").alias("conv_id"), "status")
+    dumps = derived.order_sheet_dump(spark, sf).select(F.col("doc_id").alias("conv_id"), F.col("text").alias("dump"))
+    j = conv.join(tasks, "conv_id", "left").join(dumps, "conv_id", "left")
+    tag = R.SOLUTION_TAG
+    text = F.when(
+        (F.col("role") == "assistant") & (F.col("status") == "completed"),
+        F.concat(F.col("text"), F.lit(f"\n<{tag}>\n"), F.col("dump"), F.lit(f"\n</{tag}>")),
+    ).otherwise(F.col("text"))
+    return j.select("conv_id", "turn", "role", text.alias("text"))
+
+
+@register("result_text")
+def q_result_text(spark, sf):
+    return CV.result_text(_answers(spark, sf))
+
+
+@register("solution_extract")
+def q_solution_extract(spark, sf):
+    a = _answers(spark, sf).filter(F.col("role") == "assistant")
+    sol, msg = RJ.solution_extract(F.col("text"))
+    return a.select("conv_id", "turn", sol.alias("solution"), msg.alias("message"))
+
+
+@register("task_state")
+def q_task_state(spark, sf):
+    res = CV.result_text(_answers(spark, sf)).withColumnRenamed("conv_id", "task_id")
+    t = TB.tasks(spark, sf).join(res, "task_id", "left")
+    return CV.task_state(t, F.col("solution_text"))
+
+
+@register("outbound_payload")
+def q_outbound_payload(spark, sf):
+    return CV.outbound_payload(TB.conversations(spark, sf), TB.tasks(spark, sf))
+
+
+@register("task_file")
+def q_task_file(spark, sf):
+    t = TB.tasks(spark, sf).select("task_id", "file_id")
+    f = TB.files(spark, sf)
+    j = t.join(f, "file_id", "left")
+    return j.select("task_id", "file_id", F.coalesce(F.col("filename"), F.lit("")).alias("filename"),
+                    F.col("filename").isNotNull().alias("has_file"))

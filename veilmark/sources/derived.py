@@ -72,3 +72,41 @@ SELECT o_orderkey AS doc_id,
   ' ' || lpad(CAST((o_orderkey * 29 + o_custkey) % 10000 AS VARCHAR), 4, '0') || '.' AS text
 FROM orders
 """
+
+
+def order_sheet_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spreadsheet dump per order (doc_id = o_orderkey): two sheets, a line before any
+    header, a duplicate cell (the later line wins) and one free-text line."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
+    )
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    lines = [
+        F.concat(F.lit("Z1: "), k),
+        F.lit("[Arkusz: Zamówienie]"),
+        F.lit("A1: Klucz"), F.concat(F.lit("B1: "), k),
+        F.lit("A2: Klient"), F.concat(F.lit("b2: "), c),
+        F.lit("A3: Status"), F.concat(F.lit("B3: "), F.col("o_orderstatus")),
+        F.lit("A4: NIP"), F.concat(F.lit("B4: "), _digits((F.col("o_orderkey") * 7919 + 1234567) % 10_000_000_000, 10)),
+        F.concat(F.lit("B1: "), k, F.lit("/v2")),
+        F.lit(""),
+        F.lit("[Arkusz: Kwoty ]"),
+        F.concat(F.lit("C2: "), F.col("o_totalprice").cast("string")),
+        F.concat(F.lit("AB60: "), F.col("o_orderpriority")),
+        F.lit("uwagi bez komórki"),
+    ]
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
+
+
+ORDER_SHEET_SQL = """
+SELECT o_orderkey AS doc_id,
+  'Z1: ' || CAST(o_orderkey AS VARCHAR) || chr(10) || '[Arkusz: Zamówienie]' || chr(10) ||
+  'A1: Klucz' || chr(10) || 'B1: ' || CAST(o_orderkey AS VARCHAR) || chr(10) ||
+  'A2: Klient' || chr(10) || 'b2: ' || CAST(o_custkey AS VARCHAR) || chr(10) ||
+  'A3: Status' || chr(10) || 'B3: ' || o_orderstatus || chr(10) ||
+  'A4: NIP' || chr(10) || 'B4: ' || lpad(CAST((o_orderkey * 7919 + 1234567) % 10000000000 AS VARCHAR), 10, '0') || chr(10) ||
+  'B1: ' || CAST(o_orderkey AS VARCHAR) || '/v2' || chr(10) || '' || chr(10) ||
+  '[Arkusz: Kwoty ]' || chr(10) || 'C2: ' || CAST(o_totalprice AS VARCHAR) || chr(10) ||
+  'AB60: ' || o_orderpriority || chr(10) || 'uwagi bez komórki' AS text
+FROM orders
+"""

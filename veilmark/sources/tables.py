@@ -137,3 +137,27 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.col("message_count"),
     )
+
+
+# FIXED VALUES: file name of a document by language ('en' = raw text submission)
+FILE_EXT_BY_LANG = {"pl": ".docx", "de": ".pdf", "fr": ".xlsx"}
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file record per document (file_id = doc_id, owner = source)."""
+    d = documents(spark, sf_dir).select("doc_id", "lang", "source")
+    ext = F.try_element_at(_map_lit(FILE_EXT_BY_LANG), F.col("lang"))
+    name = F.when(ext.isNull(), F.lit(rules.TEXT_PLACEHOLDER_FILENAME)).otherwise(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), ext)
+    )
+    return d.select(F.col("doc_id").alias("file_id"), name.alias("filename"), F.col("source").alias("owner"))
+
+
+def task_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks with ownership fields: failed tasks are legacy records without user id (username only)."""
+    t = tasks(spark, sf_dir)
+    cust = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("user_id"), F.col("c_name").alias("username")
+    )
+    j = t.join(cust, "user_id", "left")
+    return j.withColumn("user_id", F.when(F.col("status") == "failed", F.lit(None).cast("string")).otherwise(F.col("user_id")))
