@@ -16,7 +16,9 @@ from veilmark.functions import spans as S
 from veilmark.functions.arrays import explode_kept
 from veilmark.operators import audit as AU
 from veilmark.operators import conversations as CV
+from veilmark.operators import deep as DP
 from veilmark.operators import detect as D
+from veilmark.operators.detect import explode_spans as _explode_spans
 from veilmark.operators import mask as M
 from veilmark.operators import reinject as RJ
 from veilmark.operators import sheets as SH
@@ -406,3 +408,63 @@ def q_task_file(spark, sf):
     j = t.join(f, "file_id", "left")
     return j.select("task_id", "file_id", F.coalesce(F.col("filename"), F.lit("")).alias("filename"),
                     F.col("filename").isNotNull().alias("has_file"))
+
+
+# -- deep scan and guard ------------------------------------------------------
+
+# Candidate words a model would name: capitalised words of 8+ letters in the fragment.
+CANDIDATE_WORD = r"(?U)(?:^|\s)(\p{Lu}\p{Ll}{7,})"
+DEEP_TYPE = "SECRET_PROJECT"
+
+
+def _replies(spark, sf):
+    """(doc_id, text, spans, reply): the reply lists each candidate word of the fragment and a
+    declined form (last letter replaced by 'ą'), wrapped in chatter around the JSON array."""
+    d = D.with_spans(_docs(spark, sf))
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(DP.fragment(F.col("text")), F.lit(CANDIDATE_WORD), 1)))
+    items = F.flatten(F.transform(words, lambda w: F.array(
+        F.struct(w.alias("text"), F.lit(DEEP_TYPE).alias("type")),
+        F.struct(F.concat(F.substring(w, 1, F.length(w) - 1), F.lit("ą")).alias("text"), F.lit(DEEP_TYPE).alias("type")),
+    )))
+    reply = F.concat(F.lit("Znalazłem:\n"), F.to_json(items), F.lit("\nKoniec."))
+    return d.withColumn("reply", reply)
+
+
+@register("deep_align")
+def q_deep_align(spark, sf):
+    r = _replies(spark, sf)
+    new = S.public(DP.deep_new_spans(F.col("text"), F.col("spans"), F.col("reply")))
+    return explode_spans_public(r.select("doc_id", new.alias("spans")))
+
+
+@register("deep_merge")
+def q_deep_merge(spark, sf):
+    m = DP.deep_merge(_replies(spark, sf))
+    return m.select("doc_id", F.size("spans").alias("n_spans"), F.size("deep_spans").alias("n_deep"), "deep_scan_completed")
+
+
+@register("reply_salvage")
+def q_reply_salvage(spark, sf):
+    r = _replies(spark, sf)
+    return r.select("doc_id", F.size(DP.salvage(F.col("reply"))).alias("n_items"))
+
+
+@register("guard_rules")
+def q_guard_rules(spark, sf):
+    d = D.with_spans(_docs(spark, sf))
+    return d.select("doc_id", DP.guard_rules(F.col("spans")).alias("safe"))
+
+
+@register("guard_verdict")
+def q_guard_verdict(spark, sf):
+    """User turns as instructions; the following assistant turn as the guard's reply (none = timeout)."""
+    c = TB.conversations(spark, sf)
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("instruction"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    j = u.join(a, ["conv_id", "turn"], "left")
+    return j.select("conv_id", "turn", DP.guard_verdict(F.col("instruction"), F.col("reply")).alias("safe"),
+                    DP.guard_verdict(F.col("instruction"), F.col("reply"), strict=True).alias("safe_strict"))
+
+
+def explode_spans_public(df):
+    return _explode_spans(df, ["doc_id"])
