@@ -22,6 +22,7 @@ from veilmark.operators.detect import explode_spans as _explode_spans
 from veilmark.operators import mask as M
 from veilmark.operators import reinject as RJ
 from veilmark.operators import sheets as SH
+from veilmark.operators import vault as VT
 from veilmark.operators import summary as SM
 from veilmark.session import spread
 from veilmark.sources import derived
@@ -468,3 +469,60 @@ def q_guard_verdict(spark, sf):
 
 def explode_spans_public(df):
     return _explode_spans(df, ["doc_id"])
+
+
+# -- vault at rest, upserts, retention ------------------------------------------
+
+VAULT_PASSPHRASE = "veilmark-test-passphrase"
+AS_OF = "1999-01-01 00:00:00"
+FILE_TTL_SECONDS = 2 * 365 * 24 * 3600
+TASK_TTL_SECONDS = 3 * 365 * 24 * 3600
+
+
+@register("vault_roundtrip")
+def q_vault_roundtrip(spark, sf):
+    v = M.vault_rows(_masked_docs(spark, sf))
+    sealed = VT.seal(v.withColumn("plain", F.col("value")), VAULT_PASSPHRASE)
+    good = VT.decrypt(F.col("value_enc"), VAULT_PASSPHRASE)
+    bad = VT.decrypt(F.col("value_enc"), "wrong-" + VAULT_PASSPHRASE)
+    return sealed.select("session_id", "token", (good == F.col("plain")).alias("roundtrip_ok"),
+                         bad.isNull().alias("wrong_key_fails"))
+
+
+@register("vault_lookup")
+def q_vault_lookup(spark, sf):
+    v = M.vault_rows(_masked_docs(spark, sf))
+    opened = VT.open_vault(VT.seal(v, VAULT_PASSPHRASE), VAULT_PASSPHRASE)
+    maps = VT.session_maps(opened)
+    return maps.select("session_id", F.size("token_map").alias("n_tokens"), M.map_lines(F.col("token_map")).alias("token_map"))
+
+
+@register("upsert_latest")
+def q_upsert_latest(spark, sf):
+    ev = TB.table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    return VT.upsert_latest(ev, "user_id", "event_id")
+
+
+@register("ttl_expired_files")
+def q_ttl_expired_files(spark, sf):
+    o = TB.table(spark, sf, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderdate").alias("uploaded_at"))
+    _, removed = VT.ttl_split(o, F.col("uploaded_at"), AS_OF, FILE_TTL_SECONDS)
+    return removed.select("file_id")
+
+
+@register("ttl_expired_tasks")
+def q_ttl_expired_tasks(spark, sf):
+    t = VT.expire_task_contexts(TB.tasks(spark, sf), AS_OF, TASK_TTL_SECONDS)
+    return t.select("task_id", "context_expired")
+
+
+@register("vault_after_expiry")
+def q_vault_after_expiry(spark, sf):
+    """T2 + T3: vault rows of expired task contexts removed; the rest keep an expiry one TTL after activity."""
+    t = VT.expire_task_contexts(TB.tasks(spark, sf), AS_OF, TASK_TTL_SECONDS)
+    v = M.vault_rows(_masked_docs(spark, sf))
+    sess = t.select(F.col("task_id").cast("string").alias("session_id"),
+                    (F.coalesce("last_activity_at", "created_at") + F.expr(f"INTERVAL {TASK_TTL_SECONDS} SECONDS")).alias("expires_at"))
+    vv = v.join(sess, "session_id", "left")
+    kept, _ = VT.vault_expired(vv, AS_OF)
+    return kept.select("session_id", "token", "type", "value")
