@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
 from veilmark.functions import spans as S
+from veilmark.functions import text as TX
 from veilmark.functions.arrays import explode_kept
 from veilmark.operators import audit as AU
 from veilmark.operators import conversations as CV
@@ -25,6 +26,7 @@ from veilmark.operators import sheets as SH
 from veilmark.operators import vault as VT
 from veilmark.operators import summary as SM
 from veilmark.session import spread
+from veilmark.sources import binary as BIN
 from veilmark.sources import derived
 from veilmark.sources import tables as TB
 
@@ -526,3 +528,26 @@ def q_vault_after_expiry(spark, sf):
     vv = v.join(sess, "session_id", "left")
     kept, _ = VT.vault_expired(vv, AS_OF)
     return kept.select("session_id", "token", "type", "value")
+
+
+# -- ingest and sanitising ------------------------------------------------------
+
+
+@register("ingest_text")
+def q_ingest_text(spark, sf):
+    d = TB.documents(spark, sf).select("doc_id", "text")
+    ok, _ = BIN.ingest_text(d)
+    return ok.select("doc_id", F.length("text").alias("n_chars"))
+
+
+@register("sanitize_filename")
+def q_sanitize_filename(spark, sf):
+    f = TB.files(spark, sf)
+    return f.select("file_id", TX.sanitize_filename(F.col("filename")).alias("filename"))
+
+
+@register("sanitize_error")
+def q_sanitize_error(spark, sf):
+    """Order texts used as failure messages: every identifier scrubbed, then cut to 200 characters."""
+    o = _order_texts(spark, sf)
+    return o.select("doc_id", TX.sanitize_error(F.col("text")).alias("error"))
