@@ -26,6 +26,7 @@ from veilmark.operators import sheets as SH
 from veilmark.operators import vault as VT
 from veilmark.operators import summary as SM
 from veilmark.session import spread
+from veilmark.streaming import audit_stream as ST
 from veilmark.sources import binary as BIN
 from veilmark.sources import derived
 from veilmark.sources import tables as TB
@@ -551,3 +552,16 @@ def q_sanitize_error(spark, sf):
     """Order texts used as failure messages: every identifier scrubbed, then cut to 200 characters."""
     o = _order_texts(spark, sf)
     return o.select("doc_id", TX.sanitize_error(F.col("text")).alias("error"))
+
+
+# -- batch twins of the streaming operators --------------------------------------
+
+
+@register("daily_window_counts")
+def q_daily_window_counts(spark, sf):
+    return ST.daily_counts(_audit(spark, sf), watermark=None)
+
+
+@register("session_expiry")
+def q_session_expiry(spark, sf):
+    return ST.session_activity(_audit(spark, sf), watermark=None)
