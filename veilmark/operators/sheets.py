@@ -27,16 +27,16 @@ def col_index(letters: Column) -> Column:
 
 def col_letters(idx: Column) -> Column:
     """Inverse of ``col_index`` for 1..18278 (up to three letters)."""
+
     def letter(n: Column) -> Column:
-        return F.char(n + 64)
-
-    i = idx.cast("bigint")
-    one = letter(i)
-    two = F.concat(letter(F.floor((i - 1) / 26)), letter((i - 1) % 26 + 1))
-    a = F.floor((i - 27) / 676) + 1
-    rest = i - a * 676
-    three = F.concat(letter(a), letter(F.floor((rest - 1) / 26)), letter((rest - 1) % 26 + 1))
-    return F.when(i <= 26, one).when(i <= 702, two).otherwise(three)
+        return F.char(n.cast("bigint") + 64)
+
+    n = idx.cast("bigint") - 1
+    last = letter(n % 26 + 1)
+    m = F.floor(n / 26)  # leading part as a 1-based number
+    two = F.concat(letter(m), last)
+    three = F.concat(letter(F.floor((m - 1) / 26)), letter((m - 1) % 26 + 1), last)
+    return F.when(n < 26, last).when(n < 702, two).otherwise(three)
 
 
 def _strip(c: Column) -> Column:
