@@ -100,9 +100,14 @@ def map_lines(m: Column) -> Column:
 
 
 def merge_maps(base: Column, override: Column) -> Column:
-    """M6: instruction tokens override document tokens (last writer wins)."""
-    return F.map_concat(F.coalesce(base, F.create_map().cast("map<string,string>")),
-                        F.coalesce(override, F.create_map().cast("map<string,string>")))
+    """M6: instruction tokens override document tokens (last writer wins).
+
+    Keys of ``base`` that ``override`` also has are dropped first, so the result
+    does not depend on the session's map-key deduplication policy.
+    """
+    empty = F.create_map().cast("map<string,string>")
+    b, o = F.coalesce(base, empty), F.coalesce(override, empty)
+    return F.map_concat(F.map_filter(b, lambda k, v: ~F.map_contains_key(o, k)), o)
 
 
 def replace_values(text: Column, pairs: Column) -> Column:

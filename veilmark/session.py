@@ -15,7 +15,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 

@@ -1,9 +1,8 @@
 """Audit log as JSON lines: scan (S9), count (A8) and append sink.
 
 The log is read with a fixed schema (no inference pass over the data) in
-in DROPMALFORMED mode: malformed lines are dropped and blank lines produce no
-blank lines produce no row.  The sink appends day-partitioned files so later
-scans prune by day.
+DROPMALFORMED mode: malformed lines are dropped and blank lines produce no
+row.  The sink appends day-partitioned files so later scans prune by day.
 """
 
 from __future__ import annotations
