@@ -60,8 +60,12 @@ def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
     are redistributed round-robin.  A large scan already has far more input
     splits than cores and is returned unchanged (no shuffle at scale).
     """
-    spark = df.sparkSession
-    want = min_tasks or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        spark = df.sparkSession
+        want = min_tasks or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave the plan to the engine
+        return df
+    if have >= want:
         return df
     return df.repartition(want)
