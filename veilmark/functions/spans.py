@@ -106,6 +106,35 @@ def extract_spans(
     return F.filter(F.transform(raw, strip_span), lambda s: F.length(s["text"]) > 0)
 
 
+def may_match_space(pattern: str) -> bool:
+    """Whether a match could start or end with whitespace (only then is stripping needed).
+
+    Conservative scan: whitespace classes, a literal space, negated classes,
+    ``\\W``/``\\D``/``\\S``/``\\h``/``\\v``/``\\R``/``\\p``/``\\P`` and an unescaped ``.``
+    outside a character class all count as "may match whitespace".
+    """
+    i, in_class = 0, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            if pattern[i + 1] in "sSWDhvRpP":
+                return True
+            i += 2
+            continue
+        if ch == " ":
+            return True
+        if ch == "[":
+            if pattern[i + 1: i + 2] == "^":
+                return True
+            in_class = True
+        elif ch == "]":
+            in_class = False
+        elif ch == "." and not in_class:
+            return True
+        i += 1
+    return False
+
+
 def strip_span(s: Column) -> Column:
     """Trim Unicode whitespace from a span's text and move its offsets."""
     lead = F.length(F.regexp_extract(s["text"], r"(?U)^\s*", 0))
@@ -117,7 +146,8 @@ def extract_rules(text: Column, rules: Sequence[Rule], *, rank_offset: int = 0,
     """All rules, concatenated in rule order (then position): R1 over a rule list."""
     parts = []
     for i, r in enumerate(rules):
-        sp = extract_spans(text, java_pattern(r.pattern, flags), r.type, score=r.score, source=r.source, rank=rank_offset + i)
+        sp = extract_spans(text, java_pattern(r.pattern, flags), r.type, score=r.score, source=r.source,
+                           rank=rank_offset + i, strip=may_match_space(r.pattern))
         if r.validator == "luhn":
             sp = F.filter(sp, lambda s: luhn_valid(s["text"]))
         elif r.validator:
@@ -156,30 +186,21 @@ def overlaps(a: Column, b: Column, theta: float) -> Column:
     return ok & (ratio >= F.lit(theta))
 
 
-def by_length_desc(spans: Column) -> Column:
-    """Longest first; ties by rule rank, then position (a stable sort of rule order)."""
+def _sort_by_key(spans: Column, key) -> Column:
+    """Sort by a computed struct key using the natural ordering (no comparator lambda per comparison)."""
+    keyed = F.transform(spans, lambda s: F.struct(key(s).alias("k"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda x: x["s"])
 
-    def cmp(x: Column, y: Column) -> Column:
-        lx, ly = span_len(x), span_len(y)
-        return (
-            F.when(lx > ly, -1).when(lx < ly, 1)
-            .when(x["rank"] < y["rank"], -1).when(x["rank"] > y["rank"], 1)
-            .when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1)
-            .otherwise(0)
-        )
 
-    return F.array_sort(spans, cmp)
+def by_length_desc(spans: Column) -> Column:
+    """Longest first; ties by rule rank, then position (a stable sort of rule order)."""
+    return _sort_by_key(
+        spans, lambda s: F.struct((s["start"] - s["end"]).alias("neg_len"), s["rank"].alias("rank"), s["start"].alias("start"))
+    )
 
 
 def by_start(spans: Column) -> Column:
-    def cmp(x: Column, y: Column) -> Column:
-        return (
-            F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1)
-            .when(x["end"] < y["end"], -1).when(x["end"] > y["end"], 1)
-            .otherwise(0)
-        )
-
-    return F.array_sort(spans, cmp)
+    return _sort_by_key(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
 def greedy_keep(candidates: Column, theta: float, seed: Column | None = None, elem=SPANS_TYPE) -> Column:

@@ -59,7 +59,12 @@ def align(text: Column, items: Column) -> Column:
                                    rank=i, strip=False)
         fuzzy = S.extract_spans(text, _fuzzy_regex(it["text"]), it["type"], score=R.DEEP_SCORE, source="deep",
                                 rank=i, strip=False)
-        return F.when(F.size(lit_hits) > 0, lit_hits).when(F.length(it["text"]) > 3, fuzzy).otherwise(S.empty_spans())
+        # bind the literal hits once (a lambda parameter), instead of evaluating them twice
+        pick = F.transform(
+            F.array(lit_hits),
+            lambda h: F.when(F.size(h) > 0, h).when(F.length(it["text"]) > 3, fuzzy).otherwise(S.empty_spans()),
+        )
+        return F.element_at(pick, 1)
 
     return F.flatten(F.transform(items, one))
 
@@ -72,7 +77,8 @@ def deep_new_spans(text: Column, existing: Column, reply: Column) -> Column:
         lambda s: F.struct(*[s[f].alias(f) for f in S.PUBLIC_SPAN_FIELDS], F.lit(-1).alias("rank")),
     )
     kept = S.greedy_keep(cand, R.THETA_ACROSS, seed=existing_i)
-    return F.slice(kept, F.size(existing_i) + 1, F.greatest(F.size(kept) - F.size(existing_i), F.lit(0)))
+    # existing spans carry rank -1; keep only the new ones (``kept`` is referenced once)
+    return F.filter(kept, lambda s: s["rank"] >= 0)
 
 
 def deep_merge(df: DataFrame, text_col: str = "text", spans_col: str = "spans", reply_col: str = "reply") -> DataFrame:

@@ -72,15 +72,16 @@ def reinject(answers: DataFrame, vault: DataFrame, answer_key: str, session_col:
         .withColumn("session_known", F.col("_known_sid").isNotNull())
         .drop("_known_sid")
     )
-    toks = token_list(F.col("text"))
-    n_res = F.size(F.filter(toks, lambda t: F.map_contains_key(F.col("tmap"), t)))
+    # the token list is computed once into a column and reused
+    j = j.withColumn("_toks", token_list(F.col("text")))
+    toks = F.col("_toks")
+    j = j.withColumn("n_tokens", F.size(toks)).withColumn(
+        "n_resolved", F.size(F.filter(toks, lambda t: F.map_contains_key(F.col("tmap"), t)))
+    )
     return j.select(
-        "*",
+        *[c for c in j.columns if c != "_toks"],
         reinject_text(F.col("text"), F.col("tmap")).alias("reinjected"),
-        F.size(toks).alias("n_tokens"),
-        n_res.alias("n_resolved"),
-        F.when(F.col("session_known"), F.size(toks) - n_res).otherwise(F.lit(0)).alias("n_unresolved"),
-    )
+    ).withColumn("n_unresolved", F.when(F.col("session_known"), F.col("n_tokens") - F.col("n_resolved")).otherwise(F.lit(0)))
 
 
 def reinject_stats(answers_reinjected: DataFrame, session_sizes: DataFrame, answer_key: str, session_col: str) -> DataFrame:

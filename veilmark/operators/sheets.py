@@ -137,3 +137,4 @@ def sheet_grid(cells: DataFrame, key: str = "doc_id", row_cap: int = R.PREVIEW_R
     )
     return j.select(key, "sheet", "row", line.alias("cells"))
 
+
