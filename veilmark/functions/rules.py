@@ -316,3 +316,22 @@ def model_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         rows, "provider string, model_id string, name string, tier string, context int, is_default boolean"
     )
+
+
+def provider_catalog(spark: SparkSession, configured: DataFrame | None = None) -> DataFrame:
+    """One row per provider with its models (nested), default model and a configured flag.
+
+    ``configured`` is a (provider, api_key) settings table; a provider counts as
+    configured when its key is non-blank; the local provider always is.
+    """
+    reg = model_registry(spark)
+    models = reg.groupBy("provider").agg(
+        F.array_sort(F.collect_list(F.struct("model_id", "name", "tier", "context"))).alias("models"),
+        F.max(F.when(F.col("is_default"), F.col("model_id"))).alias("default_model"),
+    )
+    if configured is None:
+        flag = F.col("provider") == F.lit("ollama")
+        return models.withColumn("configured", flag)
+    keys = F.broadcast(configured.select("provider", (F.trim(F.coalesce("api_key", F.lit(""))) != "").alias("has_key")))
+    j = models.join(keys, "provider", "left")
+    return j.withColumn("configured", (F.col("provider") == "ollama") | F.coalesce(F.col("has_key"), F.lit(False))).drop("has_key")

@@ -173,3 +173,22 @@ def client_ip(xff: Column, peer: Column) -> Column:
     """First X-Forwarded-For element, else the peer address, else 'unknown'."""
     first = F.trim(F.split(xff, ",").getItem(0))
     return F.coalesce(F.when(F.coalesce(xff, F.lit("")) != "", first), peer, F.lit("unknown"))
+
+
+def csv_header(json_lines: DataFrame, order_cols: tuple[str, str] = ("timestamp", "event_id")) -> DataFrame:
+    """Union of the keys of all JSON records, in first-seen order when reading newest first.
+
+    A key's first appearance is in the newest record holding it, at its
+    position in that record.  Computed as a per-key aggregate (one row per
+    distinct key), never by walking records on the driver.  Output (key, ordinal).
+    """
+    ts, eid = order_cols
+    keys = json_lines.select(ts, eid, F.posexplode(F.json_object_keys("value")).alias("pos", "key"))
+    first = keys.groupBy("key").agg(
+        F.max(F.struct(F.col(ts).alias("ts"), F.col(eid).alias("eid"), (-F.col("pos")).alias("neg_pos"))).alias("first")
+    )
+    w_order = [F.col("first.ts").desc(), F.col("first.eid").desc(), F.col("first.neg_pos").desc()]
+    # the result has one row per distinct key (a few dozen), so a global ordering is cheap
+    from pyspark.sql import Window
+
+    return first.select("key", F.row_number().over(Window.orderBy(*w_order)).alias("ordinal"))

@@ -565,3 +565,10 @@ def q_daily_window_counts(spark, sf):
 @register("session_expiry")
 def q_session_expiry(spark, sf):
     return ST.session_activity(_audit(spark, sf), watermark=None)
+
+
+@register("audit_csv_header")
+def q_audit_csv_header(spark, sf):
+    a = _audit(spark, sf)
+    lines = a.select("timestamp", "event_id", F.to_json(F.struct(*[c for c in AU.CSV_COLUMNS])).alias("value"))
+    return AU.csv_header(lines)
