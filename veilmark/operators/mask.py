@@ -131,29 +131,50 @@ def longest_first(pairs: Column) -> Column:
 
 
 def inverse_pairs(vault: DataFrame, session_col: str = "session_id") -> DataFrame:
-    """H7: value -> token per session; one token per value (smallest token wins), longest value first.
+    """H7: one token per (session, value) — the smallest token wins (deterministic)."""
+    return vault.groupBy(session_col, "value").agg(F.min("token").alias("token"))
 
-    The group is one session's own tokens, bounded by what its documents contain.
-    """
-    per_value = vault.groupBy(session_col, "value").agg(F.min("token").alias("token"))
-    return per_value.groupBy(session_col).agg(
-        longest_first(F.collect_list(F.struct(F.col("value"), F.col("token")))).alias("pairs")
-    )
 
+CHUNK_VALUES = 2048  # values per chunk: bounds the list any single task holds
 
-def remask(turns: DataFrame, vault: DataFrame, session_key: str, text_col: str = "text") -> DataFrame:
-    """M7: re-mask turns with their session's values (longest value first).
 
-    ``turns`` keyed by ``session_key`` (cast to string to meet the vault's session_id).
+def remask(turns: DataFrame, vault: DataFrame, session_key: str, text_col: str = "text",
+           keys: list[str] | None = None, chunk_values: int = CHUNK_VALUES) -> DataFrame:
+    """M7: re-mask texts with every known value of their session (longest value first).
+
+    Exact for any session size without collecting a session's values in one
+    group: values are hashed into ``ceil(n / chunk_values)`` chunks per session,
+    each text is paired with every chunk of its session, the values it contains
+    are found per (text, chunk), and only those matches are grouped back per
+    text (bounded by what the text contains) and applied longest first.
+    ``keys`` identify a text uniquely (default: session key + ``turn``).
     """
+    keys = list(keys) if keys is not None else [session_key, "turn"]
     inv = inverse_pairs(vault)
-    t = turns.withColumn("_sid", F.col(session_key).cast("string"))
-    j = t.join(inv, t["_sid"] == inv["session_id"], "left")
-    pairs = F.coalesce(F.col("pairs"), F.array().cast("array<struct<value:string,token:string>>"))
-    return j.withColumn(text_col, replace_values(F.col(text_col), pairs)).drop("_sid", "session_id", "pairs")
+    sizes = inv.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("session_id", F.ceil(F.col("_n") / F.lit(chunk_values)).cast("int").alias("_chunks"))
+    chunked = inv.join(sizes, "session_id").withColumn(
+        "_chunk", F.pmod(F.xxhash64("value"), F.col("_chunks")).cast("int")
+    )
+    lists = chunked.groupBy("session_id", "_chunk").agg(F.collect_list(F.struct("value", "token")).alias("_vals"))
+
+    t = turns.withColumn("_tid", F.struct(*keys)).withColumn("_sid", F.col(session_key).cast("string"))
+    probes = t.select("_tid", "_sid", text_col).join(sizes, t["_sid"] == sizes["session_id"]).select(
+        "_tid", "_sid", text_col, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk")
+    )
+    hits = probes.join(lists, (probes["_sid"] == lists["session_id"]) & (probes["_chunk"] == lists["_chunk"])).select(
+        "_tid", F.filter("_vals", lambda v: F.col(text_col).contains(v["value"])).alias("_found")
+    )
+    found = hits.select("_tid", F.explode_outer("_found").alias("_p")).filter(F.col("_p").isNotNull())
+    per_text = found.groupBy("_tid").agg(longest_first(F.collect_list("_p")).alias("_pairs"))
+    j = t.join(per_text, "_tid", "left")
+    empty = F.array().cast("array<struct<value:string,token:string>>")
+    out = j.withColumn(text_col, replace_values(F.col(text_col), F.coalesce(F.col("_pairs"), empty)))
+    return out.drop("_tid", "_sid", "_pairs")
 
 
-def mask_cells(cells: DataFrame, vault: DataFrame, session_key: str, value_col: str = "value") -> DataFrame:
+def mask_cells(cells: DataFrame, vault: DataFrame, session_key: str, value_col: str = "value",
+               keys: list[str] | None = None) -> DataFrame:
     """M8: every known value inside each cell replaced by its token."""
-    return remask(cells, vault, session_key, value_col)
+    return remask(cells, vault, session_key, value_col, keys or [session_key, "sheet", "row", "col"])
 

@@ -25,7 +25,7 @@ from veilmark.operators import reinject as RJ
 from veilmark.operators import sheets as SH
 from veilmark.operators import vault as VT
 from veilmark.operators import summary as SM
-from veilmark.session import spread
+from veilmark.session import cut_lineage, spread
 from veilmark.streaming import audit_stream as ST
 from veilmark.sources import binary as BIN
 from veilmark.sources import derived
@@ -330,11 +330,23 @@ def q_sheet_grid(spark, sf):
 @register("mask_cells")
 def q_mask_cells(spark, sf):
     """M8: cells of each order's sheet masked with the vault of that order's text."""
-    vault = M.vault_rows(M.mask(D.with_spans(_order_texts(spark, sf))))
+    vault = cut_lineage(M.vault_rows(M.mask(D.with_spans(_order_texts(spark, sf)))))
     cells = SH.sheet_cells(_dumps(spark, sf))
     return M.mask_cells(cells, vault, "doc_id", "value")
 
 
+@register("remask_turns")
+def q_remask_turns(spark, sf):
+    """M7: a task's history (its document as turn -1, then the chat turns) re-masked with the
+    values of the document's vault, longest value first."""
+    vault = cut_lineage(M.vault_rows(_masked_docs(spark, sf)))
+    docs = TB.documents(spark, sf).select(F.col("doc_id").alias("conv_id"), F.lit(-1).cast("bigint").alias("turn"),
+                                          F.lit("file").alias("role"), "text")
+    conv_ids = TB.conversations(spark, sf).select("conv_id").distinct()
+    history = docs.join(conv_ids, "conv_id", "left_semi").unionByName(TB.conversations(spark, sf))
+    return M.remask(history, vault, "conv_id", "text", ["conv_id", "turn"])
+
+
 # -- conversations and tasks ---------------------------------------------------
 
 
