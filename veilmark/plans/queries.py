@@ -185,7 +185,8 @@ def _reinjected(spark, sf, erase: bool):
     documents (S14) and every card-number entry (a type-level retention purge),
     so answers carry tokens the vault no longer resolves.
     """
-    m = _masked_docs(spark, sf)
+    # masked once and written to the checkpoint folder: answers and vault both read it
+    m = cut_lineage(_masked_docs(spark, sf).select("doc_id", "masked_text", "tspans"))
     vault = M.vault_rows(m)
     if erase:
         vault = vault.join(_erase_list(spark, sf), "session_id", "left_anti").filter(F.col("type") != PURGED_TYPE)
