@@ -173,3 +173,18 @@ def test_office_ingest(spark):
     assert [os.path.basename(r.path) for r in rejects.collect()] == ["bad.exe"]
     ok, bad = BIN.ingest_text(spark.createDataFrame([("  \n",), ("abc",)], "text string"))
     assert ok.count() == 1 and bad.count() == 1
+
+
+def test_parse_store_and_legacy_import(spark):
+    rows = spark.createDataFrame([("key1", '{"name":"test","value":42}'), ("bad", "{not json"), ("nullv", None)],
+                                 "key string, value string")
+    ok, bad = VT.parse_store(rows, "value", "name string, value int")
+    assert sorted(r.key for r in ok.collect()) == ["key1", "nullv"] and [r.key for r in bad.collect()] == ["bad"]
+    d = _scratch()
+    blob = b"Hello, binary world! \x00\xff\xfe"
+    with open(os.path.join(d, "legacy-docx-1.original_bytes"), "wb") as f:
+        f.write(blob)
+    kv = spark.createDataFrame([("legacy-docx-1", '{"filename":"umowa.docx","ext":".docx"}'),
+                                ("legacy-xlsx-1", '{"filename":"raport.xlsx","ext":".xlsx"}')], "key string, value string")
+    got = {r.key: r.original_bytes for r in BIN.legacy_import(spark, kv, d).collect()}
+    assert bytes(got["legacy-docx-1"]) == blob and got["legacy-xlsx-1"] is None

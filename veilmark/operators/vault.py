@@ -2,7 +2,8 @@
 
 Parquet has no in-place update: an upsert appends a new version and readers
 take the latest per key with ``max_by`` (a mergeable aggregate: a key holding
-a third of all versions is still combined map-side, never sorted in one task).
+a third of all versions is combined map-side first, so the final step for that
+key sees one partial row per map task).
 Deletion is a ``left_anti`` join against an erase list.  Time is always an
 explicit ``as_of`` parameter, never the wall clock inside a query.
 """
@@ -86,6 +87,7 @@ def vault_expired(vault: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
 
 def parse_store(rows: DataFrame, value_col: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(parsed, corrupt) — JSON payloads that do not parse are split off, not fatal."""
-    parsed = rows.withColumn("_p", F.from_json(F.col(value_col), schema, {"mode": "PERMISSIVE"}))
-    bad = F.col("_p").isNull() & F.col(value_col).isNotNull()
+    parsed = rows.withColumn("_p", F.from_json(F.col(value_col), schema))
+    # a payload that is not valid JSON at all (from_json alone would give a struct of nulls)
+    bad = F.col(value_col).isNotNull() & F.get_json_object(F.col(value_col), "$").isNull()
     return parsed.filter(~bad), parsed.filter(bad).drop("_p")

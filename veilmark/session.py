@@ -39,11 +39,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the shared folder comes from the session configuration and is
     never replaced by a machine-local one.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder; no machine-local fallback on a cluster")
         d = tempfile.mkdtemp(prefix="veilmark-ckpt-", dir=os.environ.get("VEILMARK_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
