@@ -67,3 +67,45 @@ def test_detect_matches_python_model(spark, batch):
         got.setdefault(r.doc_id, []).append((r.type, r.start, r.end, r.text))
     for i, t in enumerate(batch):
         assert sorted(got.get(i, []), key=lambda x: (x[1], x[0])) == model(t), repr(t)
+
+
+spans_st = st.lists(
+    st.tuples(st.integers(1, 4), st.integers(0, 300), st.integers(0, 90), st.sampled_from(["A", "B", "C"])),
+    min_size=1, max_size=60,
+)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.too_slow, HealthCheck.data_too_large])
+@given(spans_st)
+def test_overlap_pairs_equal_all_pairs(spark, raw):
+    rows = sorted({(d, t, s, s + ln, "x") for d, s, ln, t in raw})
+    df = spark.createDataFrame(rows, "doc_id long, type string, start int, end int, text string")
+    got = sorted((r.doc_id, r.a_type, r.a_start, r.a_end, r.b_type, r.b_start, r.b_end, r.is_duplicate)
+                 for r in D.span_overlap_pairs(df, bin_size=8).collect())
+    want = []
+    for a in rows:
+        for b in rows:
+            if a[0] != b[0] or a[3] <= a[2] or b[3] <= b[2]:
+                continue
+            if not ((a[2], a[3], a[1]) < (b[2], b[3], b[1])):
+                continue
+            ov = min(a[3], b[3]) - max(a[2], b[2])
+            if ov > 0:
+                want.append((a[0], a[1], a[2], a[3], b[1], b[2], b[3], ov / min(a[3] - a[2], b[3] - b[2]) >= 0.5))
+    assert got == sorted(want)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.too_slow, HealthCheck.data_too_large])
+@given(st.lists(texts, min_size=30, max_size=40))
+def test_mask_reinject_roundtrip(spark, batch):
+    from pyspark.sql import functions as F
+
+    from veilmark.operators import mask as M
+    from veilmark.operators import reinject as RJ
+
+    df = spark.createDataFrame(list(enumerate(batch)), "doc_id long, text string")
+    m = M.mask(D.with_spans(df))
+    vault = M.vault_rows(m)
+    r = RJ.reinject(m.select("doc_id", F.col("masked_text").alias("text")), vault, "doc_id", "doc_id")
+    got = {x.doc_id: x.reinjected for x in r.collect()}
+    assert [got[i] for i in range(len(batch))] == batch
