@@ -117,24 +117,30 @@ def sheet_cells(dumps: DataFrame, key: str = "doc_id", text_col: str = "text", f
 def sheet_grid(cells: DataFrame, key: str = "doc_id", row_cap: int = R.PREVIEW_ROW_CAP) -> DataFrame:
     """Preview rows 1..min(cap, max_row) x cols 1..max_col (max_col over all rows), missing = ''.
 
-    Output (key, sheet, row, cells) with the row's values joined by a tab.
+    No skeleton join: per (file, sheet) the dimensions and the at most ``row_cap``
+    preview rows are aggregated once (a bounded list), then the grid rows are
+    generated and each looks up its own row in that list.  Output (key, sheet,
+    row, cells) with the row's values joined by a tab.
     """
-    dims = cells.groupBy(key, "sheet").agg(F.max("row").alias("max_row"), F.max("col").alias("max_col"))
-    skel = dims.filter(F.least(F.col("max_row"), F.lit(row_cap)) > 0).select(
-        key, "sheet", "max_col",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("max_row"), F.lit(row_cap)).cast("bigint"))).alias("row"),
+    rows = cells.groupBy(key, "sheet", "row").agg(
+        F.max("col").alias("row_max_col"),
+        F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("vals"),
     )
-    rows = cells.filter((F.col("row") >= 1) & (F.col("row") <= row_cap)).groupBy(key, "sheet", "row").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("vals")
+    in_preview = (F.col("row") >= 1) & (F.col("row") <= row_cap)
+    sheets = rows.groupBy(key, "sheet").agg(
+        F.max("row").alias("max_row"),
+        F.max("row_max_col").alias("max_col"),
+        F.collect_list(F.when(in_preview, F.struct("row", "vals"))).alias("preview"),  # at most row_cap entries
     )
-    j = skel.join(rows, [key, "sheet", "row"], "left")
-    line = F.array_join(
-        F.transform(
-            F.sequence(F.lit(1).cast("bigint"), F.col("max_col").cast("bigint")),
-            lambda c: F.coalesce(F.try_element_at(F.col("vals"), c), F.lit("")),
-        ),
-        "\t",
+    n = F.least(F.col("max_row"), F.lit(row_cap).cast("bigint"))
+    grid = sheets.filter(n >= 1).select(
+        key, "sheet", "max_col", "preview", F.explode(F.sequence(F.lit(1).cast("bigint"), n)).alias("row")
     )
-    return j.select(key, "sheet", "row", line.alias("cells"))
-
-
+    vals = F.try_element_at(F.filter(F.col("preview"), lambda p: p["row"] == F.col("row")), F.lit(1))["vals"]
+    # bind the row's map once as a lambda parameter, then fill columns 1..max_col
+    line = F.element_at(F.transform(F.array(vals), lambda v: F.array_join(
+        F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("max_col").cast("bigint")),
+                    lambda c: F.coalesce(F.try_element_at(v, c), F.lit(""))),
+        "\t",
+    )), 1)
+    return grid.select(key, "sheet", "row", line.alias("cells"))
