@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_EMPTY_MAP = "map<string,string>"
 
 
 def vault_key(passphrase: Column | str) -> Column:

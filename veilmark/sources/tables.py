@@ -83,7 +83,6 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_file = event.isin(*rules.FILE_EVENTS)
     is_task = event.isin(*rules.TASK_EVENTS)
     provider = _pick(rules.PROVIDERS, k)
-    n = len(AUDIT_PII_TYPES)
     types = F.array_distinct(F.array(_pick(AUDIT_PII_TYPES, k), _pick(AUDIT_PII_TYPES, k * 7 + 3)))
     return ev.select(
         F.col("event_id"),
