@@ -24,20 +24,18 @@ PREFILTER = r"[0-9@]"
 def base_spans(text: Column, recognizers: Sequence[R.Rule] | None = None, theta: float = R.THETA_WITHIN) -> Column:
     """P1 (re-aimed): stage-1 pattern recognizers, score >= 0.4, types remapped.
 
+    Score and type are properties of a recognizer, so the threshold and the
+    remap are resolved once when the expression is built, not per span.
     Overlapping stage-1 spans are resolved like rule spans (longest first) so
     the masker never sees two spans over the same characters.
     """
     recs = list(recognizers) if recognizers is not None else R.default_base_recognizers()
-    raw = S.extract_rules(text, recs)
-    raw = F.filter(raw, lambda s: s["score"] >= F.lit(0.4))
-    raw = F.transform(
-        raw,
-        lambda s: F.struct(
-            s["text"].alias("text"), R.type_remap(s["type"]).alias("type"), s["start"].alias("start"),
-            s["end"].alias("end"), s["score"].alias("score"), s["source"].alias("source"), s["rank"].alias("rank"),
-        ),
-    )
-    return S.dedup_within(raw, theta)
+    recs = [
+        R.Rule(R.TYPE_REMAP.get(r.type, r.type), r.pattern, r.score, r.source, r.validator)
+        for r in recs
+        if r.score >= 0.4
+    ]
+    return S.dedup_within(S.extract_rules(text, recs), theta)
 
 
 def rule_spans_raw(text: Column, rules: Sequence[R.Rule] | None = None) -> Column:
