@@ -109,3 +109,22 @@ def test_mask_reinject_roundtrip(spark, batch):
     r = RJ.reinject(m.select("doc_id", F.col("masked_text").alias("text")), vault, "doc_id", "doc_id")
     got = {x.doc_id: x.reinjected for x in r.collect()}
     assert [got[i] for i in range(len(batch))] == batch
+
+
+def test_detect_matches_python_model_on_whole_tables(spark):
+    """Every document and every derived order text of sf0.001, whole texts."""
+    from veilmark.sources import derived
+    from veilmark.sources import tables as TB
+
+    sf = "/root/testdata/sf0.001"
+    for df in (TB.documents(spark, sf).select("doc_id", "text"), derived.order_texts(spark, sf)):
+        texts = {r.doc_id: r.text for r in df.collect()}
+        got = {}
+        for r in D.detect(df).collect():
+            got.setdefault(r.doc_id, []).append((r.type, r.start, r.end, r.text))
+        n_spans = 0
+        for k, t in texts.items():
+            want = model(t)
+            n_spans += len(want)
+            assert sorted(got.get(k, []), key=lambda x: (x[1], x[0])) == want, k
+        assert n_spans > 0
