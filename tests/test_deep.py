@@ -1,4 +1,4 @@
-"""Deep-scan replies (reference fixture cases) and the guard."""
+"""Deep-scan replies (fixture cases from FIXTURES.md) and the guard."""
 
 from pyspark.sql import functions as F
 

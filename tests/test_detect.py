@@ -1,4 +1,4 @@
-"""Rule detection on the reference's fixed strings, overlap predicate, tie rules."""
+"""Rule detection on the fixed strings of FIXTURES.md, overlap predicate, tie rules."""
 
 from pyspark.sql import functions as F
 
