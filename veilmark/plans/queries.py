@@ -44,11 +44,11 @@ def register(name: str):
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(TB.documents(spark, sf).select("doc_id", "text"))
+    return spread(TB.documents(spark, sf).select("doc_id", "text"), "doc_id")
 
 
 def _order_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(derived.order_texts(spark, sf))
+    return spread(derived.order_texts(spark, sf), "doc_id")
 
 
 def _masked_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,7 +310,7 @@ def q_unknown_models(spark, sf):
 
 
 def _dumps(spark, sf):
-    return spread(derived.order_sheet_dump(spark, sf))
+    return spread(derived.order_sheet_dump(spark, sf), "doc_id")
 
 
 @register("sheet_cells")

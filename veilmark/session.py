@@ -57,12 +57,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None, min_tasks: int | None = None) -> DataFrame:
     """Make CPU-heavy row-local work use every core.
 
     A scan of a few small files yields fewer tasks than cores; then the rows
-    are redistributed round-robin.  A large scan already has far more input
-    splits than cores and is returned unchanged (no shuffle at scale).
+    are redistributed — hash-partitioned on ``key`` when given (a unique row
+    key: even, and no sort of the rows is needed to make it deterministic),
+    else round-robin.  A large scan already has far more input splits than
+    cores and is returned unchanged (no shuffle at scale).
     """
     try:
         spark = df.sparkSession
@@ -72,4 +74,4 @@ def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
         return df
     if have >= want:
         return df
-    return df.repartition(want)
+    return df.repartition(want, key) if key else df.repartition(want)
