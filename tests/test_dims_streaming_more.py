@@ -62,3 +62,15 @@ def test_late_deep_results_batch(spark):
                                  "doc_id long, done_at timestamp")
     j = ST.late_deep_results(files, deep).select(F.col("f.doc_id").alias("id"), F.col("d.done_at").isNotNull().alias("hit"))
     assert {r.id: r.hit for r in j.collect()} == {1: True, 2: False}
+
+
+def test_ownership_fallback_chain(spark):
+    from veilmark.operators import conversations as CV
+
+    recs = spark.createDataFrame(
+        [("t1", "u1", "alice", None), ("t2", " ", "bob", None), ("t3", None, None, "carol"), ("t4", None, "", None)],
+        "task_id string, user_id string, username string, user string")
+    ids = spark.createDataFrame([("u1", "zed"), ("u2", "bob"), ("u3", "carol"), ("anonymous", "anonymous")],
+                                "ident_user_id string, ident_username string")
+    got = {(r.ident_user_id, r.task_id) for r in CV.owned(recs, ids, legacy_user="user").collect()}
+    assert got == {("u1", "t1"), ("u2", "t2"), ("u3", "t3"), ("anonymous", "t4")}

@@ -93,13 +93,15 @@ def owner_key(user_id: Column, username: Column, legacy_user: Column | None = No
     )
 
 
-def owned(records: DataFrame, identities: DataFrame, user_id: str = "user_id", username: str = "username") -> DataFrame:
+def owned(records: DataFrame, identities: DataFrame, user_id: str = "user_id", username: str = "username",
+          legacy_user: str | None = None) -> DataFrame:
     """P16 as an equi-join: records x identities(ident_user_id, ident_username) on the owner rule.
 
     A record with a user id matches that id; one with only a username matches that
     name; one with neither belongs to the anonymous identity.
     """
-    rec = records.withColumn("_owner", owner_key(F.col(user_id), F.col(username)))
+    legacy = F.col(legacy_user) if legacy_user else None
+    rec = records.withColumn("_owner", owner_key(F.col(user_id), F.col(username), legacy))
     ids = identities.select(
         "*",
         F.explode(F.array(
