@@ -188,3 +188,17 @@ def test_parse_store_and_legacy_import(spark):
                                 ("legacy-xlsx-1", '{"filename":"raport.xlsx","ext":".xlsx"}')], "key string, value string")
     got = {r.key: r.original_bytes for r in BIN.legacy_import(spark, kv, d).collect()}
     assert bytes(got["legacy-docx-1"]) == blob and got["legacy-xlsx-1"] is None
+
+
+def test_audit_append_sink_defaults_and_partitions(spark):
+    d = _scratch()
+    out = os.path.join(d, "audit")
+    ev = spark.createDataFrame([("file_uploaded", "s1", None), ("task_created", "s2", True)],
+                               "event string, session_id string, data_left_boundary boolean")
+    AJ.append_audit(ev, out)
+    AJ.append_audit(ev.limit(1), out)
+    back = AJ.read_audit(spark, out)
+    rows = back.select("event", "session_id", "data_left_boundary", "timestamp").collect()
+    assert len(rows) == 3 and all(r.timestamp is not None for r in rows)
+    assert sorted((r.session_id, r.data_left_boundary) for r in rows) == [("s1", False), ("s1", False), ("s2", True)]
+    assert any(name.startswith("day=") for name in os.listdir(out))
