@@ -134,3 +134,33 @@ def spread_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+# ---------------------------------------------------------------------------
+# Marking single rows of a written table without shuffling its texts
+# ---------------------------------------------------------------------------
+#: Most 64-row marks that are broadcast (16 bytes of data each).
+BROADCAST_MARKS = 1_000_000
+
+
+def marked(rows: DataFrame, rid: str, flagged: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: is its number among those of ``flagged``?
+
+    The numbers (column ``rid`` of both) are packed into one 64-bit mask for each
+    64 consecutive rows.  The masks are counted first: up to ``BROADCAST_MARKS``
+    of them (64 million rows with at least one flagged row in each 64) are
+    broadcast, so the wide table stays where it is; beyond that it is joined on
+    the block number.
+    """
+    masks = written(
+        flagged.groupBy(F.shiftright(F.col(rid), 6).alias("mark_block"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({rid} & 63 as int))")).alias("mark_mask")),
+        "marks",
+    )
+    if masks.count() <= BROADCAST_MARKS:
+        masks = F.broadcast(masks)
+    # the numbers of one writer's rows are dense, so a block is 64 rows at most
+    block = F.shiftright(rows[rid], 6)
+    joined = rows.join(masks, block == masks["mark_block"], "left")
+    bit = F.coalesce(F.col("mark_mask"), F.lit(0)).bitwiseAND(F.expr(f"shiftleft(1L, cast({rid} & 63 as int))"))
+    return joined.withColumn(name, bit != 0).drop("mark_block", "mark_mask")

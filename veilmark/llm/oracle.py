@@ -24,4 +24,13 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.k = 1
 """
 
-ORACLE: dict[str, str] = {"op4_url_filter": OP4}
+OP3 = r"""
+WITH n AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t)
+"""
+
+ORACLE: dict[str, str] = {"op3_exact_dedup": OP3, "op4_url_filter": OP4}

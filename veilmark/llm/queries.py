@@ -6,20 +6,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilmark.llm import packing, urls
+from veilmark.llm import docprints, exact, langid, neardup, packing, secrets, sentpiece, toxicity, urls
 from veilmark.llm.common import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = exact.decided(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", *[F.col(names[c]).alias(c) for c in ("keep_id", "group_size", "kept", "text_sha256")])
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docprints.compare(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentpiece.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_language_id": op10_language_id,
 }
