@@ -263,10 +263,11 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def grouped(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+def grouped(docs: DataFrame, shingle: int, distance: int, whole: bool) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     """(rows, roots, names): the written rows with number and fingerprint; (fp, root) of every fingerprint."""
     names = {c: free_name(docs, c) for c in ("rid", "fp")}
-    rows = numbered(docs.withColumn(names["fp"], fingerprints(F.col("text"), shingle)), "simhash", names["rid"])
+    rows = docs.withColumn(names["fp"], fingerprints(F.col("text"), shingle))
+    rows = numbered(rows if whole else rows.select("doc_id", names["fp"]), "simhash", names["rid"])
     nodes = written(rows.select(F.col(names["fp"]).alias("fp")).distinct(), "nodes")
     found = components(links(nodes, distance))
     roots = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -275,7 +276,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTA
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the group) of every row."""
-    rows, roots, names = grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, distance)
+    rows, roots, names = grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, distance, whole=False)
     fp = names["fp"]
     smallest = rows.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("m")).join(roots, "fp")
     named = smallest.groupBy("root").agg(F.min("m").alias("component_id"))
@@ -286,7 +287,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest doc_id (null last), then the first written."""
-    rows, roots, names = grouped(docs, shingle, distance)
+    rows, roots, names = grouped(docs, shingle, distance, whole=True)
     rid, fp = names["rid"], names["fp"]
     doc_id = F.col("doc_id").cast("long")
     thin = rows.select(F.col(fp).alias("row_fp"), F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col(rid).alias("rid")).alias("row"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import docprints, exact, langid, neardup, packing, secrets, sentpiece, toxicity, urls
+from veilmark.llm import docprints, exact, langid, lm, neardup, packing, secrets, sentpiece, toxicity, urls
 from veilmark.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = exact.decided(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", *[F.col(names[c]).alias(c) for c in ("keep_id", "group_size", "kept", "text_sha256")])
@@ -51,6 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,

@@ -71,8 +71,8 @@ INSULTS = (
     "idiot moron stupid loser scum jerk imbecile dummkopf trottel arschloch blödmann "
     "connard crétin imbécile abruti idiota imbécil estúpido gilipollas"
 ).split()
-#: Prior means: constant, insult, directed, negated, reported, threat.
-PRIOR = {"constant": -3.0, "insult": 2.0, "directed": 0.5, "negated": -1.0, "reported": -0.7, "threat": 3.0}
+#: Prior means: constant, insult of the list above, learned stem, directed, negated, reported, threat.
+PRIOR = {"constant": -3.0, "insult": 2.0, "stem": 1.0, "directed": 0.5, "negated": -1.0, "reported": -0.7, "threat": 3.0}
 #: Precision of the priors.
 PENALTY = 0.5
 # end of fixed values
@@ -297,8 +297,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_TEXTS) -> Gra
         kind.setdefault(x["text"], []).append(x["toxic"])
     toxic = sorted(t for t, k in kind.items() if sum(k) * 2 > len(k))
     clean = sorted(t for t, k in kind.items() if sum(k) * 2 <= len(k))
-    entries = sorted({w + "$" for w in INSULTS} | set(learned_stems(toxic, clean)))
-    prior = {"constant": PRIOR["constant"]} | {e: PRIOR["insult"] for e in entries} | {k: PRIOR[k] for k in MARKS}
+    listed = {w + "$" for w in INSULTS}
+    entries = sorted(listed | set(learned_stems(toxic, clean)))
+    prior = {"constant": PRIOR["constant"]} | {e: PRIOR["insult" if e in listed else "stem"] for e in entries} | {k: PRIOR[k] for k in MARKS}
     grammar = Grammar(entries, prior)
     if not toxic or not clean:
         return grammar
