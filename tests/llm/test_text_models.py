@@ -141,14 +141,14 @@ def tiny_model():
 def test_attention_probabilities_sum_to_one():
     m = tiny_model()
     ids = np.arange(40, 49)
-    x, valid, _, _, _ = next(attention.windows(ids, np.array([0, len(ids)])))
+    x, first, _, _, _ = next(attention.windows(ids, np.array([0, len(ids)])))
     for position in (0, 5):
         y = np.zeros((attention.VOCABULARY, attention.SCORED), np.int64)
         y[:, position] = np.arange(attention.VOCABULARY)
         total = 0.0
         for a in range(0, attention.VOCABULARY, 4096):
             part = y[a:a + 4096]
-            lp = m.log_probabilities(np.repeat(x, len(part), 0), np.repeat(valid, len(part), 0), part)
+            lp = m.log_probabilities(np.repeat(x, len(part), 0), np.repeat(first, len(part), 0), part)
             total += np.exp(lp[:, position]).sum()
         assert abs(total - 1) < 1e-3
 
@@ -157,35 +157,42 @@ def test_windows_score_each_id_once():
     off = np.array([0, 0, 1, 31, 95, 300])
     ids = np.arange(300) + 7
     seen = Counter()
-    for x, valid, y, wanted, text in attention.windows(ids, off, together=3):
+    for x, first, y, wanted, text in attention.windows(ids, off, together=3):
         for i in range(len(text)):
+            t = int(text[i])
+            mine = ids[off[t]:off[t + 1]].tolist()
+            full = [attention.END, *mine, attention.END]
             for j in np.flatnonzero(wanted[i]):
-                seen[int(text[i]), int(y[i, j])] += 1
-                before = x[i, attention.CONTEXT + j]
-                t = int(text[i])
-                mine = ids[off[t]:off[t + 1]].tolist()
-                full = [attention.END, *mine, attention.END]
+                seen[t, int(y[i, j])] += 1
                 k = mine.index(y[i, j]) + 1 if y[i, j] != attention.END else len(full) - 1
-                assert full[k - 1] == before and valid[i, attention.CONTEXT + j]
+                have = min(k, attention.CONTEXT + j + 1)
+                assert x[i, attention.CONTEXT + j + 1 - have:attention.CONTEXT + j + 1].tolist() == full[k - have:k]
+                assert first[i] == (k <= attention.SCORED)
     want = Counter((t, int(v)) for t in range(5) for v in ids[off[t]:off[t + 1]]) + Counter({(t, attention.END): 1 for t in range(5)})
     assert seen == want
 
 
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for n in (np.zeros(0, int), np.array([0, 127, 128, 16383, 16384, 2097151, 2097152, 2**28 - 1]), rng.integers(0, 1 << 22, 5000)):
+        assert (lm.unpacked(lm.packed(n)) == n).all()
+
+
 def test_gradients_agree_with_differences():
     m = tiny_model()
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
     rng = np.random.default_rng(5)
     ids = rng.integers(0, 2000, 150)
-    x, valid, y, wanted, _ = next(attention.windows(ids, np.array([0, 70, 150])))
+    x, first, y, wanted, _ = next(attention.windows(ids, np.array([0, 70, 150])))
 
     def loss():
         m.tables = None
-        lp = m.log_probabilities(x, valid, y)
+        lp = m.log_probabilities(x, first, y)
         rare = m.vocabulary.klass[y] == attention.HEAD_CLASSES
         lp = lp - np.where(rare, m.vocabulary.rare[y], 0)
         return -lp[wanted].sum() / wanted.sum()
 
-    grads = m._gradients(x, valid, y, wanted)
+    grads = m._gradients(x, first, y, wanted)
     for name, g in grads.items():
         flat = m.p[name].reshape(-1)
         at = int(np.abs(g).reshape(-1).argmax())
