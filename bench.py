@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from veilmark.plans.queries import QUERIES  # noqa: E402
-from veilmark.session import get_spark  # noqa: E402
+from veilmark.session import TEXT_PARTITIONS, get_spark  # noqa: E402
 
 HEADLINE = [
     "detect_all",
@@ -35,7 +35,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="veilmark-bench")
+    # the tables are single files of one row group each, so the caller names the number of text partitions
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="veilmark-bench", **{TEXT_PARTITIONS: cpus})
     times: dict[str, float] = {}
     for name in names:
         fn = QUERIES[name]

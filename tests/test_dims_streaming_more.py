@@ -64,6 +64,32 @@ def test_late_deep_results_batch(spark):
     assert {r.id: r.hit for r in j.collect()} == {1: True, 2: False}
 
 
+def test_result_text_and_lists(spark):
+    from veilmark.operators import conversations as CV
+
+    a = spark.createDataFrame(
+        [(1, 0, "user", "q"), (1, 1, "assistant", "<ROZWIAZANIE>s1</ROZWIAZANIE>"), (1, 3, "assistant", " plain "),
+         (2, 0, "user", "<ROZWIAZANIE>no</ROZWIAZANIE>"), (3, 1, "assistant", " x "),
+         (4, 1, "assistant", "<ROZWIAZANIE>a</ROZWIAZANIE>"), (4, 2, "assistant", "<ROZWIAZANIE> b </ROZWIAZANIE>"), (5, 1, "assistant", "<ROZWIAZANIE> </ROZWIAZANIE>")],
+        "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.solution_text, r.result_text) for r in CV.result_text(a).collect()}
+    assert got == {1: ("s1", "s1"), 2: (None, ""), 3: (None, "x"), 4: ("b", "b"), 5: ("", "<ROZWIAZANIE> </ROZWIAZANIE>")}
+    t0 = dt.datetime(2026, 1, 1)
+    summary = spark.createDataFrame([(i, f"t{i}", t) for i, t in enumerate([t0, t0 + dt.timedelta(1), None, t0])], "task_id long, title string, last_activity_at timestamp")
+    owners = spark.createDataFrame([("u", 0), ("u", 1), ("u", 2), ("v", 3), ("w", 9)], "owner string, task_id long")
+    assert sorted((r.owner, r.rank, r.task_id) for r in CV.conv_list(summary, owners).collect()) == [("u", 1, 1), ("u", 2, 0), ("u", 3, 2), ("v", 1, 3)]
+
+
+def test_expired_contexts_lose_their_vault_rows(spark):
+    now = dt.datetime(2026, 4, 23, 12, 0, 0)
+    tasks = spark.createDataFrame([("a", now - dt.timedelta(hours=2), None), ("b", now - dt.timedelta(hours=2), now), ("c", None, None)],
+                                  "task_id string, created_at timestamp, last_activity_at timestamp")
+    v = spark.createDataFrame([(s, "[X_aaaa]", s) for s in "abcd"], "session_id string, token string, value string")
+    kept, flagged = VT.erase_expired_contexts(v, tasks, "2026-04-23 12:00:00", 3600)
+    assert sorted(r.session_id for r in kept.collect()) == ["b", "c", "d"]
+    assert {r.task_id: r.context_expired for r in flagged.collect()} == {"a": True, "b": False, "c": False}
+
+
 def test_ownership_fallback_chain(spark):
     from veilmark.operators import conversations as CV
 

@@ -37,7 +37,7 @@ def test_spans_disjoint_sorted_and_exact(spark, sf_small):
 
 
 def test_same_value_same_token(spark):
-    df = spark.createDataFrame([(1, "a@b.pl i znowu a@b.pl")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "a@b.pl i znowu a@b.pl.")], "doc_id long, text string")
     (r,) = M.mask(D.with_spans(df)).collect()
     toks = [s.token for s in r.tspans]
     assert len(toks) == 2 and toks[0] == toks[1] and r.masked_text.count(toks[0]) == 2
@@ -61,6 +61,85 @@ def test_remask_longest_first(spark):
     assert r.text == "[OSOBA_aaaa] i [OSOBA_bbbb]"
 
 
+def _given(spark, rows):
+    """(doc_id, text, spans) with spans (start, end, type) cut from the text."""
+    data = [(i, t, [(t[a:b], k, a, b, 1.0, "given") for a, b, k in spans]) for i, t, spans in rows]
+    return spark.createDataFrame(data, "doc_id long, text string, spans array<struct<text:string,type:string,start:int,end:int,score:double,source:string>>")
+
+
+def _tokens_in(row):
+    return {s.token for s in row.tspans}
+
+
+def test_overlapping_spans_leave_nothing_in_clear_text(spark):
+    text = "ABCDEFGHIJKLMNOPQRST uvw"
+    cases = [[(0, 10, "A"), (8, 20, "B")], [(5, 8, "A"), (0, 20, "B")], [(0, 3, "A"), (2, 6, "B"), (5, 9, "C"), (1, 20, "D")], [(0, 20, "A"), (3, 5, "B")]]
+    rows = M.mask(_given(spark, [(i, text, c) for i, c in enumerate(cases)])).orderBy("doc_id").collect()
+    for r, spans in zip(rows, cases, strict=True):
+        rest = r.masked_text
+        for t in _tokens_in(r):
+            rest = rest.replace(t, "")
+        covered = set().union(*(range(a, b) for a, b, _ in spans))
+        assert rest == "".join(c for i, c in enumerate(text) if i not in covered)
+    back = RJ.reinject(M.mask(_given(spark, [(i, text, c) for i, c in enumerate(cases)])).select("doc_id", F.col("masked_text").alias("text")),
+                       M.vault_rows(M.mask(_given(spark, [(i, text, c) for i, c in enumerate(cases)]))), "doc_id", "doc_id").collect()
+    assert all(b.reinjected == text for b in back)
+
+
+def test_types_outside_the_token_grammar_are_restored(spark):
+    kinds = ["IT-INFRA 2", "", "zażółć/9", "漢字", "a|b", "PERSON", "[X]"]
+    df = _given(spark, [(i, "wartość tutaj", [(0, 7, k)]) for i, k in enumerate(kinds)])
+    m = M.mask(df)
+    r = RJ.reinject(m.select("doc_id", F.col("masked_text").alias("text")), M.vault_rows(m), "doc_id", "doc_id").collect()
+    assert [(x.reinjected, x.n_tokens, x.n_unresolved) for x in r] == [("wartość tutaj", 1, 0)] * len(kinds)
+
+
+def test_masking_many_spans(spark):
+    n = 2000
+    text = "".join(f"<{i:05d}> " for i in range(n))
+    df = _given(spark, [(0, text, [(8 * i + 1, 8 * i + 6, "N") for i in range(n)])])
+    (r,) = M.mask(df).collect()
+    assert len(r.tspans) == n and r.masked_text == "".join(f"<{s.token}> " for s in r.tspans)
+
+
+def test_remask_leaves_tokens_alone(spark):
+    vault = spark.createDataFrame([("1", "[PROJEKT_TAJNY_aaaaaaaaaaaa]", "S", "10.0.0.5"), ("1", "[X_bbbbbbbbbbbb]", "X", "PROJEKT"),
+                                   ("1", "[X_cccccccccccc]", "X", "IP"), ("2", "[X_dddddddddddd]", "X", "nie")],
+                                  "session_id string, token string, type string, value string")
+    turns = spark.createDataFrame([(1, 0, "IP 10.0.0.5 i [PROJEKT_abcd] PROJEKT nie"), (1, 1, "x"), (3, 0, "IP")], "conv_id long, turn long, text string")
+    got = {(r.conv_id, r.turn): r.text for r in M.remask(turns, vault, "conv_id").collect()}
+    assert got == {(1, 0): "[X_cccccccccccc] [PROJEKT_TAJNY_aaaaaaaaaaaa] i [PROJEKT_abcd] [X_bbbbbbbbbbbb] nie", (1, 1): "x", (3, 0): "IP"}
+
+
+def test_remask_takes_the_token_of_the_earliest_span(spark):
+    vault = spark.createDataFrame([("1", "[A_aaaa]", "A", "Ola", 9), ("1", "[B_bbbb]", "B", "Ola", 2)],
+                                  "session_id string, token string, type string, value string, first_start int")
+    turns = spark.createDataFrame([(1, 0, "Ola")], "conv_id long, turn long, text string")
+    assert [r.text for r in M.remask(turns, vault, "conv_id").collect()] == ["[B_bbbb]"]
+
+
+def test_payload_leaks_are_seen(spark):
+    from veilmark.operators import conversations as CV
+
+    vault = spark.createDataFrame([("1", "[X_aaaaaaaaaaaa]", "X", "tajne słowo")], "session_id string, token string, type string, value string")
+    lines = spark.createDataFrame([(1, 0, "user", "a tajne słowo b"), (1, 1, "user", "a [X_aaaaaaaaaaaa] b"), (2, 0, "user", "tajne słowo")],
+                                  "conv_id long, seq long, role string, line string")
+    assert [(r.conv_id, r.seq) for r in CV.payload_leaks(lines, vault).collect()] == [(1, 0)]
+    turns = spark.createDataFrame([(1, 0, "user", "to tajne słowo")], "conv_id long, turn long, role string, text string")
+    docs = spark.createDataFrame([(1, "dokument [X_aaaaaaaaaaaa]")], "conv_id long, masked_text string")
+    tasks = spark.createDataFrame([(1, "ollama")], "task_id long, provider string")
+    out = CV.outbound_payload(turns, docs, vault, tasks)
+    assert sorted((r.seq, r.role, r.line) for r in out.collect()) == [(0, "document", "dokument [X_aaaaaaaaaaaa]"), (1, "Użytkownik", "to [X_aaaaaaaaaaaa]")]
+    assert CV.payload_leaks(out, vault).count() == 0
+
+
+def test_missing_tokens(spark):
+    vault = spark.createDataFrame([("1", f"[X_{i:012x}]", "X", str(i)) for i in range(5)], "session_id string, token string, type string, value string")
+    answers = spark.createDataFrame([("a", 1, "[X_000000000001] [X_000000000003]"), ("b", 1, ""), ("c", 2, "")], "id string, sid long, text string")
+    got = sorted((r.id, r.token[-2]) for r in RJ.missing_tokens(answers, vault, "id", "sid").collect())
+    assert got == [("a", "0"), ("a", "2"), ("a", "4")] + [("b", str(i)) for i in range(5)]
+
+
 def test_solution_extract(spark):
     df = spark.createDataFrame([("Intro <ROZWIAZANIE>\n wynik \n</ROZWIAZANIE> koniec",), ("<ROZWIAZANIE>x</ROZWIAZANIE>",),
                                 ("bez tagów",)], "text string")

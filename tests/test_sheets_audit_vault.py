@@ -7,6 +7,7 @@ import os
 import tempfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilmark.functions import text as TX
@@ -16,7 +17,7 @@ from veilmark.operators import vault as VT
 from veilmark.sources import audit_json as AJ
 from veilmark.sources import binary as BIN
 
-DUMP = "[Arkusz: Dane]\nA1: Imie i nazwisko\nB1: PESEL\nA2: Jan Kowalski\nB2: 92010212345"
+DUMP = "[Arkusz: Lista]\nA1: Osoba\nB1: Numer\nA2: Ola Nowak\nB2: 71040598765"
 
 
 def _scratch():
@@ -24,9 +25,9 @@ def _scratch():
 
 
 def test_col_index(spark):
-    df = spark.createDataFrame([("A",), ("Z",), ("AB",), ("zz",)], "c string")
+    df = spark.createDataFrame([("A",), ("Z",), ("AB",), ("zz",), ("XFD",), ("XFE",), ("Telef",), ("Wynagrodzeniebrutto",), ("",)], "c string")
     got = [r.i for r in df.select(SH.col_index(F.col("c")).alias("i")).collect()]
-    assert got == [1, 26, 28, 702]
+    assert got == [1, 26, 28, 702, 16384, None, None, None, None]
     back = [r.l for r in spark.range(1, 800).select(SH.col_letters(F.col("id")).alias("l")).collect()]
     assert back[0] == "A" and back[27] == "AB" and back[701] == "ZZ" and back[702] == "AAA"
 
@@ -34,10 +35,12 @@ def test_col_index(spark):
 def test_sheet_cells_and_grid(spark):
     df = spark.createDataFrame([(1, DUMP), (2, "x: y\nC3: a\nC3: b\n[Arkusz: S2]\nA1: q")], "doc_id long, text string")
     cells = {(r.doc_id, r.sheet, r.row, r.col): r.value for r in SH.sheet_cells(df).collect()}
-    assert cells[(1, "Dane", 2, 2)] == "92010212345"
+    assert cells[(1, "Lista", 2, 2)] == "71040598765"
     assert cells[(2, "Arkusz1", 3, 3)] == "b"
-    grid = {(r.doc_id, r.sheet, r.row): r.cells for r in SH.sheet_grid(SH.sheet_cells(df)).collect()}
-    assert grid[(1, "Dane", 1)] == "Imie i nazwisko\tPESEL"
+    rows = SH.sheet_grid(SH.sheet_cells(df)).collect()
+    grid = {(r.doc_id, r.sheet, r.row): r.cells for r in rows}
+    assert len(grid) == len(rows) == 2 + 3 + 1
+    assert grid[(1, "Lista", 1)] == "Osoba\tNumer"
     assert grid[(2, "Arkusz1", 1)] == "\t\t" and grid[(2, "Arkusz1", 3)] == "\t\tb"
 
 
@@ -59,22 +62,50 @@ def _rebuild_model(text):
             for ch in m.group(1).upper():
                 col = col * 26 + ord(ch) - 64
             r = int(m.group(2))
-            max_row = max(max_row, r)
-            out[(sheet, r, col)] = m.group(3)
+            if r < 10**18:
+                max_row = max(max_row, r)
+            if len(m.group(1)) <= 3 and col <= 16384 and 1 <= r <= 1048576:
+                out[(sheet, r, col)] = m.group(3)
         else:
             max_row += 1
-            out[(sheet, max_row, 1)] = line
+            if max_row <= 1048576:
+                out[(sheet, max_row, 1)] = line
     return out
 
 
+def _random_dumps():
+    import random
+
+    rng = random.Random(7)
+    lines = ["free", "A{}: x", "zz{}: y", "[Arkusz: P]", "[Arkusz: ]", "  ", "Telef{}: z", "B{}:", "[Arkusz: Q]"]
+    return ["\n".join(rng.choice(lines).format(rng.randint(0, 40)) for _ in range(rng.randint(0, 60))) for _ in range(30)]
+
+
+def test_sections_keep_their_order(spark):
+    df = spark.createDataFrame([(1, "A1: top\n[Arkusz: X]\nA1: a\nB3: b\n[Arkusz: Y]\nA1: c\n[Arkusz: X]\nA2: d\nTelef7: no\n[Arkusz: E]\nfree")], "doc_id long, text string")
+    cells = sorted((r.section, r.sheet, r.row, r.col, r.value) for r in SH.sheet_cells(df).collect())
+    assert cells == [(0, "Arkusz1", 1, 1, "top"), (1, "X", 1, 1, "a"), (1, "X", 3, 2, "b"), (2, "Y", 1, 1, "c"), (3, "X", 2, 1, "d")]
+    grid = sorted((r.section, r.row, r.cells) for r in SH.sheet_grid(SH.sheet_cells(df)).collect())
+    assert grid == [(0, 1, "top"), (1, 1, "a\t"), (1, 2, "\t"), (1, 3, "\tb"), (2, 1, "c"), (3, 1, ""), (3, 2, "d")]
+    assert {r.row for r in SH.sheet_grid(SH.sheet_cells(df).where("section = 1"), row_cap=2).collect()} == {1, 2}
+
+
+def test_a_long_sheet_gives_all_rows(spark):
+    df = spark.createDataFrame([(1, "A1: a\nA9000: z")], "doc_id long, text string")
+    rows = {r.row: r.cells for r in SH.sheet_grid(SH.sheet_cells(df)).collect()}
+    assert len(rows) == 9000 and rows[1] == "a" and rows[9000] == "z" and rows[4500] == ""
+
+
 def test_fallback_matches_model(spark):
-    texts = ["plain\nA5: x\nmore\n[Arkusz: ]\nfree\nB2: y\n", DUMP + "\nnotes here\nC9: z\ntail", "only text\nand more"]
+    texts = ["plain\nA5: x\nmore\n[Arkusz: ]\nfree\nB2: y\n", DUMP + "\nnotes here\nC9: z\ntail", "only text\nand more",
+             "", "Telef1: 5\nfree\nA0: zero\nXFE9: far\nfree\nA99999999999999999999: big\nend", "[Arkusz: X]\nA1: a\n[Arkusz: Y]\nb\n[Arkusz: X]\nc",
+             "A1048576: last\nbelow\n[Arkusz: Z]\nfree"] + _random_dumps()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {}
     for r in SH.sheet_cells(df, fallback=True).collect():
         got.setdefault(r.doc_id, {})[(r.sheet, r.row, r.col)] = r.value
     for i, t in enumerate(texts):
-        assert got[i] == _rebuild_model(t)
+        assert got.get(i, {}) == _rebuild_model(t)
 
 
 def test_audit_jsonl_scan_count_page(spark):
@@ -88,6 +119,35 @@ def test_audit_jsonl_scan_count_page(spark):
     assert AJ.count_lines(spark, d) == 4
     page = [r.event for r in AU.audit_page(ev, 0, 2).collect()]
     assert page == ["e3", "e2"]
+    for bad in ({"limit": 1001}, {"limit": 0}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            AU.audit_page(ev, **bad)
+    assert [r.corrupt for r in AJ.read_corrupt(spark, d).collect()] == ["{not json"]
+
+
+def test_audit_fields_of_any_kind(spark):
+    lines = ['{"event":"a","pii_count":"3","pii_types":["X","Y"],"reason":"quota","details":{"k":[1]}}', '{"event":"b","pii_count":"many","data_left_boundary":"true"}',
+             '[1]', '"text"', '7', '{"event":5}', "{}", "null", '{"event":"c","pii_types":"no list"}']
+    df = AJ.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")).cache()
+    ok = {r.event: r for r in df.where("corrupt IS NULL").collect()}
+    assert df.where("corrupt IS NULL").count() == 5 and df.count() == 9
+    assert ok["a"].pii_count == 3 and ok["a"].pii_types == ["X", "Y"] and ok["a"].extra == {"reason": "quota", "details": '{"k":[1]}'}
+    assert ok["b"].pii_count is None and ok["b"].extra == {"pii_count": "many"} and ok["b"].data_left_boundary is True
+    assert "5" in ok and None in ok
+    assert sorted(r.corrupt for r in df.where("corrupt IS NOT NULL").collect()) == sorted(['[1]', '"text"', "7", "null"])
+
+
+def test_csv_lines_are_numbered_newest_first(spark):
+    rows = [(i, dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i // 3), f"e{i}") for i in range(500)] + [(900, None, "none")]
+    ev = spark.createDataFrame(rows, "event_id long, timestamp timestamp, event string").repartition(5)
+    got = [r for r in AU.audit_csv_lines(ev, columns=["timestamp", "event"]).orderBy("line_no").collect()]
+    assert [r.line_no for r in got] == list(range(502)) and got[0].line == "timestamp,event"
+    assert [r.event_id for r in got[1:]] == [*range(499, -1, -1), 900]
+
+
+def test_dashboard_of_nothing_is_zero(spark):
+    ev = spark.createDataFrame([], "event string, pii_count long")
+    assert tuple(AU.dashboard_stats(ev).first()) == (0, 0, 0, 0, 0, 0)
 
 
 def test_csv_quoting(spark):
@@ -97,13 +157,13 @@ def test_csv_quoting(spark):
 
 
 def test_vault_roundtrip_wrong_key_and_erase(spark):
-    v = spark.createDataFrame([("session-1", "[OSOBA_aaaa]", "Jan Kowalski"), ("session-1", "[PESEL_bbbb]", "92010212345"),
+    v = spark.createDataFrame([("session-1", "[OSOBA_aaaa]", "Ola Nowak"), ("session-1", "[PESEL_bbbb]", "71040598765"),
                                ("session-2", "[OSOBA_cccc]", "Anna")], "session_id string, token string, value string")
     sealed = VT.seal(v, "secret")
-    ok = VT.session_maps(VT.open_vault(sealed, "secret")).collect()
-    assert {r.session_id: dict(r.token_map) for r in ok}["session-1"] == {"[OSOBA_aaaa]": "Jan Kowalski",
-                                                                             "[PESEL_bbbb]": "92010212345"}
-    assert VT.session_maps(VT.open_vault(sealed, "wrong")).count() == 0
+    ok = VT.session_entries(VT.open_vault(sealed, "secret")).collect()
+    assert {(r.token, r.value) for r in ok if r.session_id == "session-1"} == {("[OSOBA_aaaa]", "Ola Nowak"), ("[PESEL_bbbb]", "71040598765")}
+    assert {r.session_id: r.n_tokens for r in VT.session_sizes(v).collect()} == {"session-1": 2, "session-2": 1}
+    assert VT.session_entries(VT.open_vault(sealed, "wrong")).count() == 0
     erased = VT.erase(v, spark.createDataFrame([("session-1",)], "session_id string"))
     assert [r.session_id for r in erased.collect()] == ["session-2"]
 
@@ -119,18 +179,19 @@ def test_upsert_and_ttl(spark):
 
 
 def test_sanitizers(spark):
-    df = spark.createDataFrame([("Jan_Kowalski_umowa.docx",), ("raport.XLSX",), ("noextension",)], "f string")
+    df = spark.createDataFrame([("plan_na_maj.docx",), ("a.b.XLSX",), ("bez_rozszerzenia",)], "f string")
     assert [r.s for r in df.select(TX.sanitize_filename(F.col("f")).alias("s")).collect()] == ["***.docx", "***.xlsx", "***"]
-    e = spark.createDataFrame([("Failed at row: Jan Kowalski, PESEL 92010212345, email jan@firma.pl",), ("x" * 500,)], "e string")
-    a, b = [r.s for r in e.select(TX.sanitize_error(F.col("e")).alias("s")).collect()]
-    assert "[PESEL]" in a and "[EMAIL]" in a and "92010212345" not in a and "jan@firma.pl" not in a
+    e = spark.createDataFrame([("zapis 71040598765 odrzucony, autor ola@sklep.example",), ("x" * 500,)], "e string")
+    a, b = [r.s for r in e.select(TX.sanitize_error(F.col("e"), 200).alias("s")).collect()]
+    assert "[PESEL]" in a and "[EMAIL]" in a and "71040598765" not in a and "ola@sklep.example" not in a
     assert len(b) < 250 and b.endswith("[truncated]")
+    assert [len(r.s) for r in e.select(TX.sanitize_error(F.col("e")).alias("s")).collect()][1] == 500
 
 
 def _docx_bytes():
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    doc = (f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Jan Kowalski, PESEL 92010212345, mieszka w Warszawie.</w:t>'
-           f'</w:r></w:p><w:p><w:r><w:t>Numer telefonu: 600 123 456, email: jan@firma.pl</w:t></w:r></w:p></w:body></w:document>')
+    doc = (f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Ola Nowak, numer 71040598765, Nowa Sól.</w:t>'
+           f'</w:r></w:p><w:p><w:r><w:t>tel. 511 222 333, ola@sklep.example</w:t></w:r></w:p></w:body></w:document>')
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
         z.writestr("word/document.xml", doc)
@@ -140,12 +201,12 @@ def _docx_bytes():
 def _xlsx_bytes():
     s = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    wb = f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="Dane" sheetId="1" r:id="rId1"/></sheets></workbook>'
+    wb = f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="Lista" sheetId="1" r:id="rId1"/></sheets></workbook>'
     rels = ('<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
             '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
-    sst = f'<sst xmlns="{s}"><si><t>Imie i nazwisko</t></si><si><t>PESEL</t></si><si><t>Jan Kowalski</t></si></sst>'
+    sst = f'<sst xmlns="{s}"><si><t>Osoba</t></si><si><t>Numer</t></si><si><t>Ola Nowak</t></si></sst>'
     ws = (f'<worksheet xmlns="{s}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row>'
-          f'<row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2"><v>92010212345</v></c></row></sheetData></worksheet>')
+          f'<row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2"><v>71040598765</v></c></row></sheetData></worksheet>')
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
         z.writestr("xl/workbook.xml", wb)
@@ -167,7 +228,7 @@ def test_office_ingest(spark):
         f.write(b"MZ")
     docs, rejects = BIN.read_office_files(spark, d)
     got = {os.path.basename(r.path): r.text for r in docs.collect()}
-    assert got["umowa.docx"].split("\n")[1] == "Numer telefonu: 600 123 456, email: jan@firma.pl"
+    assert got["umowa.docx"].split("\n")[1] == "tel. 511 222 333, ola@sklep.example"
     assert got["dane.xlsx"] == DUMP
     assert got["list.eml"].startswith("Temat: Umowa\nOd: a@b.pl\nDo: c@d.pl\n\nTresc listu")
     assert [os.path.basename(r.path) for r in rejects.collect()] == ["bad.exe"]

@@ -24,6 +24,7 @@ class Rule:
     score: float
     source: str
     validator: str | None = None        # e.g. "luhn": keep only matches passing the check
+    needs: str | None = None            # cheap regex that every text with a match contains (None: not known)
 
 
 # ---------------------------------------------------------------------------
@@ -127,8 +128,7 @@ SEVERITY_RANK: dict[str, int] = {"critical": 0, "warning": 1, "info": 2}
 
 # Deep-scan and guard constants.
 DEEP_SCORE = 0.6
-DEEP_TEXT_CAP = 4000
-DEEP_DEFAULT_TYPE = "OTHER_PII"
+DEEP_FRAGMENT_CHARS = 4000
 DECLENSION_LETTERS = "a-ząęółńśćźż"
 GUARD_THREAT_WORD = "ZAGROZENIE"
 GUARD_CLEAN_WORD = "CZYSTE"
@@ -140,7 +140,8 @@ THETA_WITHIN = 0.1
 THETA_ACROSS = 0.5
 
 # Token shape accepted on reinjection (4 hex in the classic format, up to 32 here).
-TOKEN_PATTERN = r"\[[A-ZĄĆĘŁŃÓŚŹŻ_]+_[a-f0-9]{4,32}\]"
+PREFIX_LETTERS = "A-ZĄĆĘŁŃÓŚŹŻ_"
+TOKEN_PATTERN = rf"\[[{PREFIX_LETTERS}]+_[a-f0-9]{{4,32}}\]"
 
 # Placeholder filename of a raw-text submission and default conversation title.
 TEXT_PLACEHOLDER_FILENAME = "text_message.txt"
@@ -150,7 +151,6 @@ SOLUTION_DEFAULT_MESSAGE = "Plik został przetworzony. Sprawdź podgląd poniże
 SHEET_HEADER_PREFIX = "[Arkusz:"
 DEFAULT_SHEET_NAME = "Arkusz1"
 REBUILD_DEFAULT_SHEET = "Wynik"
-PREVIEW_ROW_CAP = 50
 SUPPORTED_EXTENSIONS = [".docx", ".xlsx", ".pdf", ".eml", ".msg", ".txt"]
 
 # Provider registry: provider -> models (id, name, tier, context) and default model.
@@ -231,10 +231,10 @@ EVENT_LABEL: dict[str, str] = {
 FILE_EVENTS = ["file_uploaded", "text_submitted"]
 TASK_EVENTS = ["task_created"]
 INCIDENT_EVENTS = ["security_incident", "auth_failed"]
-DASHBOARD_EVENT_CAP = 10_000
-AUDIT_PAGE_CAP = 1_000
-BREAKDOWN_TOP = 15
-DAILY_DAYS = 30
+AUDIT_PAGE_MAX = 1_000
+# Last column (XFD) and row of the sheet format.
+SHEET_MAX_COL = 16_384
+SHEET_MAX_ROW = 1_048_576
 SESSION_TTL_SECONDS = 3600
 
 # ---------------------------------------------------------------------------
@@ -242,22 +242,28 @@ SESSION_TTL_SECONDS = 3600
 # ---------------------------------------------------------------------------
 
 # Stage-1 recognizers (re-aimed analyzer: pattern recognizers, no NLP model).
-# These are this engine's own choices, ranked in this order for ties.
+# These are this engine's own choices, ranked in this order for ties.  Digits
+# are ASCII: the checks on a match read its digits as numbers.
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 BASE_RECOGNIZERS: list[Rule] = [
-    Rule("CREDIT_CARD", r"\b(?:\d[ -]?){15}\d\b", 1.0, "base", validator="luhn"),
-    Rule("EMAIL_ADDRESS", r"[\w.+-]+@[\w-]+\.[\w.]+", 1.0, "base"),
-    Rule("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", 0.6, "base"),
+    Rule("CREDIT_CARD", r"\b(?:[0-9][ -]?){15}[0-9]\b", 1.0, "base", validator="luhn", needs="[0-9]"),
+    # the domain ends in a word character, so a sentence's full stop is not part of it
+    Rule("EMAIL_ADDRESS", r"[\w.+-]+@(?:[\w-]+\.)+\w+", 1.0, "base", needs="@"),
+    Rule("IP_ADDRESS", rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", 0.6, "base", needs="[0-9]"),
 ]
-# Optional recognizers a user may add to the stage-1 list.
+# Words of a text and of a gazetteer name, and the words a name may have.
+WORD_PATTERN = r"[\p{L}\p{N}#]+"
+GAZETTEER_WORDS = 8
+# Further recognizers a user may add to the stage-1 list (query ``detect_extra``).
 EXTRA_RECOGNIZERS: list[Rule] = [
-    Rule("CRYPTO", r"\b(?:bc1|[13])[a-zA-HJ-NP-Z0-9]{25,39}\b", 1.0, "base"),
-    Rule("DATE_TIME", r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?\b", 0.6, "base"),
-    Rule("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?\b", 0.9, "base"),
+    Rule("CRYPTO", r"\b(?:bc1|[13])[a-zA-HJ-NP-Z0-9]{25,39}\b", 1.0, "base", needs="[0-9]"),
+    Rule("DATE_TIME", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?\b", 0.6, "base", needs="[0-9]"),
+    Rule("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?\b", 0.9, "base", needs="[0-9]"),
 ]
 
 
 def business_rules() -> list[Rule]:
-    return [Rule(t, p, RULE_SCORE, "rule") for t, p in BUSINESS_RULES]
+    return [Rule(t, p, RULE_SCORE, "rule", needs="[0-9]") for t, p in BUSINESS_RULES]
 
 
 def default_base_recognizers() -> list[Rule]:
@@ -277,7 +283,9 @@ def type_remap(col: Column) -> Column:
 
 
 def token_prefix(col: Column) -> Column:
-    return F.coalesce(F.try_element_at(_map_literal(TOKEN_PREFIX), col), F.upper(col))
+    """Prefix of a type's tokens; an unknown type's name is written in the letters of the token grammar."""
+    name = F.regexp_replace(F.upper(F.coalesce(col, F.lit(""))), f"[^{PREFIX_LETTERS}]", "_")
+    return F.coalesce(F.try_element_at(_map_literal(TOKEN_PREFIX), col), F.when(name == "", F.lit("_")).otherwise(name))
 
 
 def type_label(col: Column) -> Column:

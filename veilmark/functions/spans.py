@@ -23,6 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilmark.functions.arrays import FEW, indices, let, prefix_scan
 from veilmark.functions.rules import Rule
 
 SPAN_TYPE = T.StructType(
@@ -74,12 +75,15 @@ def extract_spans(
     source: str | Column,
     rank: int | Column = 0,
     strip: bool = True,
+    needs: str | None = None,
 ) -> Column:
     """Every non-overlapping match of ``pattern`` in ``text`` as spans.
 
     ``pattern`` is a complete Java regex (flags included) or a column of them
     (used for per-row literal candidates).  With ``strip`` the match is cut
     of surrounding whitespace, offsets moved accordingly, empty ones dropped.
+    ``needs`` is a cheap pattern that every text with a match contains.  Texts
+    without a match are walked once; running offsets cost no array copies.
     """
     pat = F.lit(pattern) if isinstance(pattern, str) else pattern
     tcol = F.lit(type_) if isinstance(type_, str) else type_
@@ -87,23 +91,20 @@ def extract_spans(
     ocol = F.lit(source) if isinstance(source, str) else source
     rcol = F.lit(rank) if not isinstance(rank, Column) else rank
 
-    matches = F.regexp_extract_all(text, pat, 0)
-    pieces = F.split(text, pat, -1)
-    init = F.struct(F.lit(0).alias("pos"), empty_spans().alias("out"))
+    def placed(m: Column, gaps: Column) -> Column:
+        """Spans of the matches ``m``; ``gaps`` are the lengths of the text before each."""
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, t: g + F.length(t))
+        return let(steps, lambda st: let(prefix_scan(st, "sum"), lambda before: F.transform(
+            m, lambda t, i: _span(t, tcol, F.get(before, i) + F.get(gaps, i), scol, ocol, rcol))))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["pos"] + F.length(pair["g"])
-        m = pair["m"]
-        out = F.when(m.isNull(), acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(_span(m, tcol, start, scol, ocol, rcol)))
-        )
-        return F.struct((start + F.coalesce(F.length(m), F.lit(0))).alias("pos"), out.alias("out"))
+    def found(m: Column) -> Column:
+        gaps = F.transform(F.split(text, pat, -1), lambda g: F.length(g))
+        return F.when(F.size(m) > 0, let(gaps, lambda g: placed(m, g))).otherwise(empty_spans())
 
-    zipped = F.zip_with(pieces, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    raw = F.aggregate(zipped, init, step, lambda acc: acc["out"])
-    if not strip:
-        return raw
-    return F.filter(F.transform(raw, strip_span), lambda s: F.length(s["text"]) > 0)
+    raw = let(F.regexp_extract_all(text, pat, 0), found)
+    if strip:
+        raw = F.filter(F.transform(raw, strip_span), lambda s: F.length(s["text"]) > 0)
+    return F.when(text.rlike(needs), raw).otherwise(empty_spans()) if needs else raw
 
 
 def may_match_space(pattern: str) -> bool:
@@ -139,15 +140,18 @@ def strip_span(s: Column) -> Column:
     """Trim Unicode whitespace from a span's text and move its offsets."""
     lead = F.length(F.regexp_extract(s["text"], r"(?U)^\s*", 0))
     stripped = F.regexp_replace(s["text"], r"(?U)^\s+|\s+$", "")
-    return _span(stripped, s["type"], s["start"] + lead, s["score"], s["source"], s["rank"])
+    cut = _span(stripped, s["type"], s["start"] + lead, s["score"], s["source"], s["rank"])
+    return F.when(s["text"].rlike(r"(?U)^\s|\s$"), cut).otherwise(s)
 
 
 def extract_rules(text: Column, rules: Sequence[Rule], *, rank_offset: int = 0, flags: str = JAVA_FLAGS) -> Column:
     """All rules, concatenated in rule order (then position): R1 over a rule list."""
     parts = []
+    # a condition that all rules share is checked once, by the caller
+    shared = len({r.needs for r in rules}) == 1
     for i, r in enumerate(rules):
         sp = extract_spans(text, java_pattern(r.pattern, flags), r.type, score=r.score, source=r.source,
-                           rank=rank_offset + i, strip=may_match_space(r.pattern))
+                           rank=rank_offset + i, strip=may_match_space(r.pattern), needs=None if shared else r.needs)
         if r.validator == "luhn":
             sp = F.filter(sp, lambda s: luhn_valid(s["text"]))
         elif r.validator:
@@ -160,12 +164,10 @@ def extract_rules(text: Column, rules: Sequence[Rule], *, rank_offset: int = 0,
 
 def luhn_valid(value: Column) -> Column:
     """Luhn checksum over the digits of ``value`` (separators ignored)."""
-    digits = F.split(F.reverse(F.regexp_replace(value, r"[^0-9]", "")), "")
+    digits = F.filter(F.split(F.reverse(F.regexp_replace(value, r"[^0-9]", "")), ""), lambda d: d != "")
     weighted = F.transform(
         digits,
-        lambda d, i: F.when(
-            i % 2 == 1, F.when(d.cast("int") * 2 > 9, d.cast("int") * 2 - 9).otherwise(d.cast("int") * 2)
-        ).otherwise(d.cast("int")),
+        lambda d, i: let(d.try_cast("int"), lambda v: F.when(i % 2 == 0, v).when(v * 2 > 9, v * 2 - 9).otherwise(v * 2)),
     )
     total = F.aggregate(weighted, F.lit(0), lambda acc, x: acc + x)
     return (F.size(digits) > 0) & (total % 10 == 0)
@@ -203,20 +205,74 @@ def by_start(spans: Column) -> Column:
     return _sort_by_key(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
+def _clusters(spans: Column) -> Column:
+    """Start-sorted spans as arrays of those that overlap one another in a chain."""
+    def cut(heads: Column, n: Column) -> Column:
+        return F.transform(heads, lambda h, k: F.slice(spans, h + 1, F.coalesce(F.get(heads, k + 1), n) - h))
+
+    def split(reach: Column) -> Column:
+        return let(
+            F.filter(indices(F.size(spans)), lambda i: F.coalesce(F.get(spans, i)["start"] >= F.get(reach, i), F.lit(True))),
+            lambda heads: cut(heads, F.size(spans)),
+        )
+
+    return let(F.transform(spans, lambda s: s["end"]), lambda ends: let(prefix_scan(ends, "max"), split))
+
+
+def _placed(spans: Column, place) -> Column:
+    """Spans with their place in the order of priority, sorted by position."""
+    return F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), place(i).alias("place"), s.alias("s")))
+
+
+def _by_cluster(items: Column, resolve) -> Column:
+    """``resolve`` (items in order of priority -> kept items) applied to each cluster; kept spans in order of priority.
+
+    Only spans of one cluster can overlap, so the greedy pass never looks at more.
+    """
+    def ordered(c: Column) -> Column:
+        keyed = F.array_sort(F.transform(c, lambda x: F.struct(x["place"].alias("place"), x.alias("x"))))
+        return F.transform(keyed, lambda k: k["x"])
+
+    def each(c: Column) -> Column:
+        return F.when(F.size(c) == 1, c).otherwise(resolve(ordered(c)))
+
+    def all_of(sorted_items: Column) -> Column:
+        kept = F.flatten(F.transform(_clusters(sorted_items), each))
+        return F.transform(ordered(kept), lambda x: x["s"])
+
+    return let(F.array_sort(items), all_of)
+
+
+def _item_type(elem: T.ArrayType) -> str:
+    return f"array<struct<start:int,end:int,place:int,s:{elem.elementType.simpleString()}>>"
+
+
 def greedy_keep(candidates: Column, theta: float, seed: Column | None = None, elem=SPANS_TYPE) -> Column:
     """Keep each candidate (in array order) unless it overlaps a kept one.
 
     With ``seed`` the kept list starts with those spans (which are all kept).
     ``elem`` is the array type of the candidates (internal spans by default).
     """
-    init = seed if seed is not None else F.array().cast(elem)
-    return F.aggregate(
-        candidates,
-        init,
-        lambda acc, s: F.when(F.exists(acc, lambda k: overlaps(s, k, theta)), acc).otherwise(
-            F.concat(acc, F.array(s))
-        ),
-    )
+    init = F.array().cast(_item_type(elem))
+
+    def resolve(items: Column) -> Column:
+        return F.aggregate(items, init, lambda acc, x: F.when(
+            (x["place"] >= 0) & F.exists(acc, lambda k: overlaps(x["s"], k["s"], theta)), acc).otherwise(F.concat(acc, F.array(x))))
+
+    def small(c: Column, start: Column) -> Column:
+        return F.aggregate(c, start, lambda acc, s: F.when(
+            F.exists(acc, lambda k: overlaps(s, k, theta)), acc).otherwise(F.concat(acc, F.array(s))))
+
+    if seed is None:
+        return let(candidates, lambda c: F.when(F.size(c) <= 1, c).when(F.size(c) <= FEW, small(c, F.array().cast(elem))).otherwise(
+            _by_cluster(_placed(c, lambda i: i), resolve)))
+
+    def merged(pair: Column) -> Column:
+        sd, c = pair["seed"], pair["c"]
+        every = F.concat(_placed(sd, lambda i: i - F.size(sd)), _placed(c, lambda i: i))
+        return F.when(F.size(c) == 0, sd).when(F.size(sd) + F.size(c) <= FEW, small(c, sd)).otherwise(_by_cluster(every, resolve))
+
+    return let(F.struct(seed.alias("seed"), candidates.alias("c")), merged)
 
 
 def dedup_within(spans: Column, theta: float = 0.1) -> Column:
@@ -229,9 +285,43 @@ def merge_stages(base: Column, added: Column, theta: float = 0.5) -> Column:
     return greedy_keep(added, theta, seed=base)
 
 
+def _uncovered(x: Column, kept: Column) -> Column:
+    """Parts [a, b) of a span that no kept item covers."""
+    part = "array<struct<a:int,b:int>>"
+
+    def minus(parts: Column, k: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda p: F.filter(
+            F.array(F.struct(p["a"].alias("a"), F.least(p["b"], k["start"]).alias("b")),
+                    F.struct(F.greatest(p["a"], k["end"]).alias("a"), p["b"].alias("b"))),
+            lambda q: q["a"] < q["b"])))
+
+    return F.aggregate(kept, F.array(F.struct(x["start"].alias("a"), x["end"].alias("b"))).cast(part), minus)
+
+
 def make_disjoint(spans: Column, elem=PUBLIC_SPANS_TYPE) -> Column:
-    """Last pass before masking: drop any span that touches an earlier kept one."""
-    return by_start(greedy_keep(spans, 0.0, elem=elem))
+    """Last pass before masking: disjoint spans that cover every character that any span covers.
+
+    Of overlapping spans the earlier in the array keeps its place; a later one is
+    cut to the parts that are not covered yet (parts of white space only are left out).
+    """
+    init = F.array().cast(_item_type(elem))
+    rest = [f.name for f in elem.elementType.fields if f.name not in ("text", "start", "end")]
+
+    def part(x: Column, q: Column) -> Column:
+        fields = {"text": F.substring(x["s"]["text"], q["a"] - x["start"] + 1, q["b"] - q["a"]), "start": q["a"], "end": q["b"],
+                  **{f: x["s"][f] for f in rest}}
+        s = F.struct(*[fields[f.name].cast(f.dataType).alias(f.name) for f in elem.elementType.fields])
+        return F.struct(q["a"].alias("start"), q["b"].alias("end"), x["place"].alias("place"), s.alias("s"))
+
+    def resolve(items: Column) -> Column:
+        return F.aggregate(items, init, lambda acc, x: F.concat(acc, F.filter(
+            F.transform(_uncovered(x, acc), lambda q: part(x, q)), lambda y: y["s"]["text"].rlike(r"(?U)\S"))))
+
+    def merged(all_: Column) -> Column:
+        whole = F.transform(resolve(all_), lambda x: x["s"])
+        return F.when(F.size(all_) <= 1, F.transform(all_, lambda x: x["s"])).when(F.size(all_) <= FEW, whole).otherwise(_by_cluster(all_, resolve))
+
+    return by_start(let(_placed(spans, lambda i: i), merged))
 
 
 def public(spans: Column) -> Column:

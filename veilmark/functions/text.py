@@ -22,8 +22,8 @@ def sanitize_filename(name: Column) -> Column:
     return F.concat(F.lit(MASKED_NAME), ext)
 
 
-def sanitize_error(error: Column, max_length: int = 200) -> Column:
-    """Scrub identifiers, cut to ``max_length``, mark the cut.
+def sanitize_error(error: Column, max_length: int | None = None) -> Column:
+    """Scrub identifiers; with ``max_length`` cut to it and mark the cut.
 
     The scrubbing runs on the whole message before the cut, so a value split
     by the cut can never leak half-masked.
@@ -31,5 +31,7 @@ def sanitize_error(error: Column, max_length: int = 200) -> Column:
     s = F.coalesce(error, F.lit(""))
     for pat, label in ERROR_SCRUBBERS:
         s = F.regexp_replace(s, "(?U)" + pat, label)
+    if max_length is None:
+        return s
     cut = F.substring(s, 1, max_length)
     return F.when(F.length(s) > max_length, F.concat(cut, F.lit(TRUNCATION_MARK))).otherwise(cut)

@@ -9,7 +9,7 @@ top-k reports (TakeOrderedAndProject) and the explicit audit page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
@@ -45,32 +45,39 @@ def dashboard_stats(audit: DataFrame, active_sessions: DataFrame | None = None,
     for p in parts[1:]:
         u = u.unionByName(p)
     return u.agg(
-        F.sum(F.when(_is(R.FILE_EVENTS), 1).otherwise(0)).cast("bigint").alias("total_files"),
-        F.sum(F.when(_is(R.TASK_EVENTS), 1).otherwise(0)).cast("bigint").alias("total_tasks"),
-        F.sum(F.when(_is(R.FILE_EVENTS), F.coalesce(F.col("pii_count"), F.lit(0))).otherwise(0)).cast("bigint").alias(
+        F.coalesce(F.sum(F.when(_is(R.FILE_EVENTS), 1).otherwise(0)), F.lit(0)).cast("bigint").alias("total_files"),
+        F.coalesce(F.sum(F.when(_is(R.TASK_EVENTS), 1).otherwise(0)), F.lit(0)).cast("bigint").alias("total_tasks"),
+        F.coalesce(F.sum(F.when(_is(R.FILE_EVENTS), F.coalesce(F.col("pii_count"), F.lit(0))).otherwise(0)), F.lit(0)).cast("bigint").alias(
             "total_pii_detected"
         ),
-        F.sum(F.when(_is(R.INCIDENT_EVENTS), 1).otherwise(0)).cast("bigint").alias("security_incidents"),
-        F.sum("_s").cast("bigint").alias("active_sessions"),
-        F.sum("_t").cast("bigint").alias("active_tasks"),
+        F.coalesce(F.sum(F.when(_is(R.INCIDENT_EVENTS), 1).otherwise(0)), F.lit(0)).cast("bigint").alias("security_incidents"),
+        F.coalesce(F.sum("_s"), F.lit(0)).cast("bigint").alias("active_sessions"),
+        F.coalesce(F.sum("_t"), F.lit(0)).cast("bigint").alias("active_tasks"),
     )
 
 
-def pii_breakdown(audit: DataFrame, top: int = R.BREAKDOWN_TOP, cap: int | None = None) -> DataFrame:
-    """A4: number of upload events naming each type (not spans), top ``top``; ties by type."""
+def _ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` (a row per type, provider or day) with its rank in the report's order."""
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))
+
+
+def pii_breakdown(audit: DataFrame, top: int | None = None, cap: int | None = None) -> DataFrame:
+    """A4: number of upload events naming each type (not spans), most named first; ties by type.
+
+    ``top`` keeps the first so many.
+    """
     a = latest(audit, cap).filter(_is(R.FILE_EVENTS))
     ex = a.select(F.explode_outer(F.array_distinct("pii_types")).alias("type")).filter(F.col("type").isNotNull())
-    return ex.groupBy("type").agg(F.count(F.lit(1)).alias("n_events")).orderBy(
-        F.col("n_events").desc(), F.col("type")
-    ).limit(top)
+    counts = ex.groupBy("type").agg(F.count(F.lit(1)).alias("n_events"))
+    order = [F.col("n_events").desc(), F.col("type")]
+    return _ranked(counts.orderBy(*order).limit(top) if top is not None else counts, *order)
 
 
 def provider_usage(audit: DataFrame, cap: int | None = None) -> DataFrame:
-    """A5: task events per provider (missing -> 'unknown'), most used first."""
+    """A5: task events per provider (missing -> 'unknown'), most used first; ties by name."""
     a = latest(audit, cap).filter(_is(R.TASK_EVENTS))
-    return a.groupBy(F.coalesce(F.col("provider"), F.lit("unknown")).alias("provider")).agg(
-        F.count(F.lit(1)).alias("n_tasks")
-    )
+    counts = a.groupBy(F.coalesce(F.col("provider"), F.lit("unknown")).alias("provider")).agg(F.count(F.lit(1)).alias("n_tasks"))
+    return _ranked(counts, F.col("n_tasks").desc(), F.col("provider"))
 
 
 def day_of(ts: Column) -> Column:
@@ -78,24 +85,26 @@ def day_of(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "yyyy-MM-dd"), F.lit("unknown"))
 
 
-def daily_activity(audit: DataFrame, days: int = R.DAILY_DAYS, cap: int | None = None) -> DataFrame:
-    """Uploads + texts + tasks per day, the last ``days`` days that had activity, ascending."""
+def daily_activity(audit: DataFrame, days: int | None = None, cap: int | None = None) -> DataFrame:
+    """Uploads + texts + tasks per day in ascending order; ``days`` keeps the last so many with activity."""
     a = latest(audit, cap).filter(_is(R.FILE_EVENTS + R.TASK_EVENTS))
     per_day = a.groupBy(day_of(F.col("timestamp")).alias("date")).agg(F.count(F.lit(1)).alias("n_events"))
-    return per_day.orderBy(F.col("date").desc()).limit(days)
+    return _ranked(per_day.orderBy(F.col("date").desc()).limit(days) if days is not None else per_day, F.col("date"))
 
 
 def audit_count(audit_lines: DataFrame) -> DataFrame:
     """Non-blank lines (malformed ones included) of a raw JSONL text table (column ``value``)."""
-    return audit_lines.filter(F.trim(F.col("value")) != "").agg(F.count(F.lit(1)).alias("n_entries"))
+    return audit_lines.filter(F.col("value").rlike(r"\S")).agg(F.count(F.lit(1)).alias("n_entries"))
 
 
 def audit_page(audit: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
-    """Newest first, rows [offset, offset+limit); limit clipped to 1..1000, offset >= 0."""
-    limit = max(1, min(int(limit), R.AUDIT_PAGE_CAP))
-    offset = max(0, int(offset))
+    """Newest first, rows [offset, offset+limit).  A limit outside 1..1000 or a negative offset is an error."""
+    if not 1 <= int(limit) <= R.AUDIT_PAGE_MAX:
+        raise ValueError(f"limit must be 1 to {R.AUDIT_PAGE_MAX}, not {limit}")
+    if int(offset) < 0:
+        raise ValueError(f"offset must not be negative, not {offset}")
     ordered = audit.orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
-    return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
+    return ordered.offset(int(offset)).limit(int(limit)) if offset else ordered.limit(int(limit))
 
 
 def event_label(event: Column) -> Column:
@@ -145,18 +154,44 @@ def csv_value(name: str) -> Column:
     return c.cast("string")
 
 
-def audit_csv_lines(audit: DataFrame, cap: int | None = None) -> DataFrame:
-    """One CSV line per event (header = fixed column order), newest first via ``line_no``.
+def audit_csv_lines(audit: DataFrame, cap: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """(line_no, event_id, line): the header at 0, then one CSV line per event, newest first.
 
-    The header row has ``line_no`` 0.  ``cap`` reproduces the export limit.
+    Numbers come from a range sort and the sizes of its runs, so the events are never
+    in one task.  ``cap`` reproduces the export limit.
     """
+    cols = columns or CSV_COLUMNS
     a = latest(audit, cap)
-    body = a.select(
-        F.col("event_id"),
-        F.col("timestamp"),
-        F.concat_ws(",", *[_csv_field(csv_value(c)) for c in CSV_COLUMNS]).alias("line"),
-    )
-    return body
+    body = a.select("event_id", "timestamp", F.concat_ws(",", *[_csv_field(csv_value(c)) for c in cols]).alias("line"))
+    numbered = numbered_in_order(body, ["timestamp", "event_id"], "line_no")
+    header = audit.sparkSession.range(1).select(
+        F.lit(0).cast("bigint").alias("line_no"), F.lit(None).cast("bigint").alias("event_id"), F.lit(",".join(cols)).alias("line"))
+    return header.unionByName(numbered.select("line_no", "event_id", "line"))
+
+
+def numbered_in_order(df: DataFrame, newest_first: list[str], name: str, runs: int = 64) -> DataFrame:
+    """``df`` numbered from 1 in descending order of its key columns.
+
+    The first key is a timestamp; its values' quantiles (a bounded list) cut the
+    table into runs, each numbered in its own task, and the sizes of the runs before
+    give the offset.
+    """
+    first, *_ = newest_first
+    at = F.unix_micros(F.col(first).cast("timestamp"))
+    q = df.select(F.percentile_approx(at, [i / runs for i in range(1, runs)], 1000)).first()[0] or []
+    cuts = sorted(set(q), reverse=True)
+    run = F.lit(0)
+    for c in cuts:
+        run = run + F.when(at.isNull() | (at < c), 1).otherwise(0)
+    dealt = df.withColumn("_run", run)
+    sizes = {r[0]: r[1] for r in dealt.groupBy("_run").count().collect()}  # one row per run
+    before, total = [], 0
+    for i in range(len(cuts) + 1):
+        before.append(total)
+        total += sizes.get(i, 0)
+    w = Window.partitionBy("_run").orderBy(*[F.col(c).desc() for c in newest_first])
+    offset = F.lit(before).cast("array<bigint>")[F.col("_run")]
+    return dealt.withColumn(name, offset + F.row_number().over(w)).drop("_run")
 
 
 def resolve_model(provider: Column, requested: Column) -> Column:
@@ -187,8 +222,6 @@ def csv_header(json_lines: DataFrame, order_cols: tuple[str, str] = ("timestamp"
     first = keys.groupBy("key").agg(
         F.max(F.struct(F.col(ts).alias("ts"), F.col(eid).alias("eid"), (-F.col("pos")).alias("neg_pos"))).alias("first")
     )
-    w_order = [F.col("first.ts").desc(), F.col("first.eid").desc(), F.col("first.neg_pos").desc()]
-    # the result has one row per distinct key (a few dozen), so a global ordering is cheap
-    from pyspark.sql import Window
-
-    return first.select("key", F.row_number().over(Window.orderBy(*w_order)).alias("ordinal"))
+    order = [F.col("first.ts").desc(), F.col("first.eid").desc(), F.col("first.neg_pos").desc()]
+    # one row per distinct key (a few dozen)
+    return first.select("key", F.row_number().over(Window.orderBy(*order)).alias("ordinal"))

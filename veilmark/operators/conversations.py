@@ -3,18 +3,21 @@ P16, P17, P19, T4, J1, M14, M15, prompt assembly).
 
 Per-conversation facts are mergeable aggregates (count, max_by, min_by), so a
 conversation with a huge number of turns is pre-aggregated map-side and never
-collected into one list.  The outbound payload is emitted as ordered lines,
-one per turn, instead of one concatenated string.
+collected into one list.  The outbound payload is emitted as ordered lines, the
+masked document and then one per turn, instead of one concatenated string.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
+from veilmark.operators.joins import salted_join
+from veilmark.operators.mask import remask
 from veilmark.operators.reinject import solution_extract
 
+# FIXED VALUES: characters of a list entry's preview and title
 PREVIEW_CHARS = 160
 TITLE_CHARS = 72
 
@@ -30,26 +33,30 @@ def conv_facts(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
-def conversation_title(filename: Column, instruction: Column) -> Column:
+def conversation_title(filename: Column, instruction: Column, chars: int | None = None) -> Column:
     """Filename unless it is the raw-text placeholder; else the instruction with whitespace
-    collapsed, first 72 characters; else the filename or 'Untitled conversation'."""
+    collapsed (its first ``chars`` characters, if given); else the filename or 'Untitled conversation'."""
     cleaned = F.regexp_replace(F.regexp_replace(F.coalesce(instruction, F.lit("")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
     fn = F.coalesce(filename, F.lit(""))
     return (
         F.when((fn != "") & (fn != R.TEXT_PLACEHOLDER_FILENAME), fn)
-        .when(cleaned != "", F.substring(cleaned, 1, TITLE_CHARS))
+        .when(cleaned != "", cleaned if chars is None else F.substring(cleaned, 1, chars))
         .when(fn != "", fn)
         .otherwise(F.lit(R.UNTITLED_CONVERSATION))
     )
 
 
-def conv_summary(turns: DataFrame, tasks: DataFrame, files: DataFrame) -> DataFrame:
-    """W5 record per task: title, status, provider, model, times, counts, preview, expiry flag."""
+def conv_summary(turns: DataFrame, tasks: DataFrame, files: DataFrame, title_chars: int | None = None, preview_chars: int | None = None) -> DataFrame:
+    """W5 record per task: title, status, provider, model, times, counts, last message.
+
+    ``title_chars`` and ``preview_chars`` cut the title and the last message.
+    """
+    preview = F.coalesce(F.col("last_text"), F.lit(""))
     facts = conv_facts(turns).withColumnRenamed("conv_id", "task_id")
     t = tasks.drop("message_count").join(facts, "task_id", "left").join(files.select("file_id", "filename"), "file_id", "left")
     return t.select(
         "task_id",
-        conversation_title(F.col("filename"), F.col("instruction")).alias("title"),
+        conversation_title(F.col("filename"), F.col("instruction"), title_chars).alias("title"),
         F.coalesce(F.col("filename"), F.lit("")).alias("filename"),
         F.coalesce(F.col("provider"), F.lit("")).alias("provider"),
         F.coalesce(F.col("model"), F.lit("")).alias("model"),
@@ -57,7 +64,7 @@ def conv_summary(turns: DataFrame, tasks: DataFrame, files: DataFrame) -> DataFr
         F.col("created_at"),
         F.coalesce(F.col("last_activity_at"), F.col("created_at")).alias("last_activity_at"),
         F.coalesce(F.col("message_count"), F.lit(0)).alias("message_count"),
-        F.substring(F.coalesce(F.col("last_text"), F.lit("")), 1, PREVIEW_CHARS).alias("last_message_preview"),
+        (preview if preview_chars is None else F.substring(preview, 1, preview_chars)).alias("last_message_preview"),
     )
 
 
@@ -143,26 +150,52 @@ def payload_role(provider: Column, role: Column) -> Column:
     return out
 
 
-def outbound_payload(turns: DataFrame, tasks: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Ordered payload lines per conversation: ``role: text`` with provider-specific role names."""
-    t = turns.join(tasks.select(F.col("task_id").alias(key), "provider"), key, "left")
-    return t.select(
-        key, F.col("turn").alias("seq"),
-        F.concat(payload_role(F.col("provider"), F.col("role")), F.lit(": "), F.col("text")).alias("line"),
-    )
+def outbound_payload(turns: DataFrame, documents: DataFrame, vault: DataFrame, tasks: DataFrame, key: str = "conv_id") -> DataFrame:
+    """What leaves the boundary, as ordered lines (key, seq, role, line) of each conversation.
+
+    Line 0 is the masked document (``documents``: key, masked_text); turn t (0, 1, ...)
+    is line t + 1, re-masked with every value of the conversation's vault, with the
+    role names of the target provider.  No text enters without re-masking.
+    """
+    masked = remask(turns.select(key, "turn", "role", "text"), vault, key, "text", [key, "turn"])
+    provider = tasks.select(F.col("task_id").alias("_task"), "provider")
+    t = salted_join(masked, provider, F.col(key), "_task", F.xxhash64("turn"))
+    lines = t.select(key, (F.col("turn") + 1).cast("bigint").alias("seq"), payload_role(F.col("provider"), F.col("role")).alias("role"), F.col("text").alias("line"))
+    of = turns.select(key).distinct()
+    head = documents.join(of, key, "left_semi").select(key, F.lit(0).cast("bigint").alias("seq"), F.lit("document").alias("role"), F.col("masked_text").alias("line"))
+    return head.unionByName(lines)
+
+
+def payload_leaks(payload: DataFrame, vault: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Check of a payload: (key, seq) of lines with a vault value outside tokens (none if it is safe)."""
+    pieces = payload.select(key, "seq", F.posexplode(F.split("line", R.TOKEN_PATTERN, -1)).alias("n", "piece")).where("piece <> ''")
+    # a value that is found is replaced by a mark that no text contains
+    marked = remask(pieces, vault.withColumn("token", F.lit("\x00")), key, "piece", [key, "seq", "n"])
+    return marked.where(F.contains("piece", F.lit("\x00"))).select(key, "seq").distinct()
 
 
 def result_text(answers: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Per conversation the solution block of the last assistant answer, else that answer."""
+    """Per conversation the latest solution of any turn, else the last assistant answer, else ''.
+
+    A conversation without an assistant turn gives an empty text.
+    """
     sol, msg = solution_extract(F.col("text"))
-    per = answers.filter(F.col("role") == "assistant").select(key, "turn", sol.alias("solution"), msg.alias("message"), "text")
-    last = per.groupBy(key).agg(
-        F.max_by(F.struct("solution", "text"), "turn").alias("last"),
-    )
-    return last.select(
-        key,
-        F.col("last.solution").alias("solution_text"),
-        F.coalesce(F.nullif(F.col("last.solution"), F.lit("")), F.regexp_replace(F.col("last.text"), r"^\s+|\s+$", "")).alias(
-            "result_text"
-        ),
+    says = F.col("role") == "assistant"
+    per = answers.select(key, "turn", F.when(says, sol).alias("solution"), F.when(says, F.col("text")).alias("text"))
+    # a later solution replaces an earlier one; turns without one leave it
+    got = per.groupBy(key).agg(
+        F.max_by("solution", F.when(F.col("solution").isNotNull(), F.col("turn"))).alias("solution_text"),
+        F.max_by("text", F.when(F.col("text").isNotNull(), F.col("turn"))).alias("last_text"),
     )
+    last = F.regexp_replace(F.coalesce("last_text", F.lit("")), r"^\s+|\s+$", "")
+    return got.select(key, "solution_text", F.coalesce(F.nullif(F.col("solution_text"), F.lit("")), last).alias("result_text"))
+
+
+def conv_list(summary: DataFrame, owners: DataFrame) -> DataFrame:
+    """Each owner's conversations, last activity first (ties by task): (owner, rank, task_id, title, last_activity_at).
+
+    ``owners``: (owner, task_id), from ``owned``.
+    """
+    j = owners.join(summary, "task_id")
+    w = Window.partitionBy("owner").orderBy(F.col("last_activity_at").desc_nulls_last(), F.col("task_id"))
+    return j.select("owner", F.row_number().over(w).alias("rank"), "task_id", "title", "last_activity_at")

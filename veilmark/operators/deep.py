@@ -6,7 +6,7 @@ table ``(doc_id, reply)``.  Everything after the reply is Catalyst:
 * P12 ``salvage``: first ``[`` .. last ``]``, parsed as a JSON array, keeping
   objects with non-blank ``text`` and a ``type``; anything unparsable -> [].
 * P9  ``align``: every case-insensitive literal occurrence of each candidate in
-  the *whole* text (the reply was produced from a 4,000-character fragment, P13).
+  the *whole* text (replies are produced from fragments that cover it, P13).
 * P10 declension fallback when a candidate has no literal hit.
 * P11 merge: drop spans overlapping (theta .5) existing or earlier new spans.
 
@@ -20,13 +20,26 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
 from veilmark.functions import spans as S
+from veilmark.functions.arrays import cut, let, text_blocks
 
 _ITEM = "struct<text:string,type:string>"
 
 
-def fragment(text: Column, cap: int = R.DEEP_TEXT_CAP) -> Column:
-    """The part of the text shown to the model."""
-    return F.substring(text, 1, cap)
+def fragments(text: Column, size: int = R.DEEP_FRAGMENT_CHARS, overlap: int = 200) -> Column:
+    """The whole text as consecutive fragments of ``size`` characters, each shown to the model.
+
+    Neighbours share ``overlap`` characters, so a value of up to that length is whole
+    in one of them; every character of the text is in a fragment.
+    """
+    step = size - overlap
+    last = F.greatest(F.ceil((F.length(text) - overlap) / F.lit(step)).cast("int") - 1, F.lit(0))
+    return let(text_blocks(text), lambda blocks: F.transform(
+        F.sequence(F.lit(0), last), lambda k: cut(blocks, k * step, F.least(k * step + size, F.length(text)))))
+
+
+def salvage_all(replies: Column) -> Column:
+    """P12 over the replies to all fragments of a text: their candidates, each once, in order of first appearance."""
+    return F.array_distinct(F.flatten(F.transform(replies, salvage)))
 
 
 def salvage(reply: Column) -> Column:
@@ -69,22 +82,27 @@ def align(text: Column, items: Column) -> Column:
     return F.flatten(F.transform(items, one))
 
 
-def deep_new_spans(text: Column, existing: Column, reply: Column) -> Column:
-    """New spans not duplicating (theta .5) existing spans or earlier new ones."""
-    cand = align(text, salvage(reply))
+def new_spans(existing: Column, candidates: Column) -> Column:
+    """Candidate spans not duplicating (theta .5) existing spans or earlier new ones."""
     existing_i = F.transform(
         F.coalesce(existing, F.array().cast(S.PUBLIC_SPANS_TYPE)),
         lambda s: F.struct(*[s[f].alias(f) for f in S.PUBLIC_SPAN_FIELDS], F.lit(-1).alias("rank")),
     )
-    kept = S.greedy_keep(cand, R.THETA_ACROSS, seed=existing_i)
+    kept = S.greedy_keep(candidates, R.THETA_ACROSS, seed=existing_i)
     # existing spans carry rank -1; keep only the new ones (``kept`` is referenced once)
     return F.filter(kept, lambda s: s["rank"] >= 0)
 
 
-def deep_merge(df: DataFrame, text_col: str = "text", spans_col: str = "spans", reply_col: str = "reply") -> DataFrame:
+def with_new_spans(df: DataFrame, text_col: str = "text", spans_col: str = "spans", replies_col: str = "replies", out: str = "deep_spans") -> DataFrame:
+    """``df`` with the new spans that the replies to its text's fragments give (each step a column of its own)."""
+    items, found = f"_{out}_items", f"_{out}_found"
+    staged = df.withColumn(items, salvage_all(F.col(replies_col))).withColumn(found, align(F.col(text_col), F.col(items)))
+    return staged.withColumn(out, S.public(new_spans(F.col(spans_col), F.col(found)))).drop(items, found)
+
+
+def deep_merge(df: DataFrame, text_col: str = "text", spans_col: str = "spans", replies_col: str = "replies") -> DataFrame:
     """Append the new spans to the existing ones and mark the deep scan done."""
-    new = S.public(deep_new_spans(F.col(text_col), F.col(spans_col), F.col(reply_col)))
-    return df.withColumn("deep_spans", new).withColumn(
+    return with_new_spans(df, text_col, spans_col, replies_col).withColumn(
         spans_col, F.concat(F.col(spans_col), F.col("deep_spans"))
     ).withColumn("deep_scan_completed", F.lit(True))
 

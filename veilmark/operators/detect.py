@@ -14,12 +14,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
 from veilmark.functions import spans as S
-from veilmark.functions.arrays import explode_kept
-
-# Every stage-1 recognizer and business rule needs a digit or an '@'; texts
-# without either skip all regex work (most documents have no PII at all).
-PREFILTER = r"[0-9@]"
-
+from veilmark.functions.arrays import explode_kept, let, prefix_scan
 
 def base_spans(text: Column, recognizers: Sequence[R.Rule] | None = None, theta: float = R.THETA_WITHIN) -> Column:
     """P1 (re-aimed): stage-1 pattern recognizers, score >= 0.4, types remapped.
@@ -31,7 +26,7 @@ def base_spans(text: Column, recognizers: Sequence[R.Rule] | None = None, theta:
     """
     recs = list(recognizers) if recognizers is not None else R.default_base_recognizers()
     recs = [
-        R.Rule(R.TYPE_REMAP.get(r.type, r.type), r.pattern, r.score, r.source, r.validator)
+        R.Rule(R.TYPE_REMAP.get(r.type, r.type), r.pattern, r.score, r.source, r.validator, r.needs)
         for r in recs
         if r.score >= 0.4
     ]
@@ -48,21 +43,31 @@ def rule_spans(text: Column, rules: Sequence[R.Rule] | None = None, theta: float
     return S.dedup_within(rule_spans_raw(text, rules), theta)
 
 
-def all_spans(
-    text: Column,
-    recognizers: Sequence[R.Rule] | None = None,
-    rules: Sequence[R.Rule] | None = None,
-    prefilter: str | None = PREFILTER,
-) -> Column:
-    """Stage-1 spans, then rule spans that are not duplicates (theta .5)."""
-    merged = S.merge_stages(base_spans(text, recognizers), rule_spans(text, rules), R.THETA_ACROSS)
-    if prefilter:
-        merged = F.when(text.rlike(prefilter), merged).otherwise(S.empty_spans())
-    return merged
+def with_spans(
+    df: DataFrame, text_col: str = "text", out: str = "spans",
+    recognizers: Sequence[R.Rule] | None = None, rules: Sequence[R.Rule] | None = None,
+) -> DataFrame:
+    """``df`` with the array of stage-1 spans, then rule spans that are not duplicates (theta .5).
+
+    When every rule states what its matches need, texts that meet none of these
+    conditions skip the whole expression; one rule without a condition switches
+    that off.  The stages are columns of their own, so the analyzer resolves one
+    nest of lambdas at a time; nothing is shuffled.
+    """
+    recs = list(recognizers) if recognizers is not None else R.default_base_recognizers()
+    rls = list(rules) if rules is not None else R.business_rules()
+    text, base, added = F.col(text_col), f"_{out}_base", f"_{out}_rules"
+    staged = df.withColumn(base, _where_needed(text, recs, base_spans(text, recs))).withColumn(added, _where_needed(text, rls, rule_spans(text, rls)))
+    merged = S.merge_stages(F.col(base), F.col(added), R.THETA_ACROSS)
+    return staged.withColumn(out, S.public(merged)).drop(base, added)
 
 
-def with_spans(df: DataFrame, text_col: str = "text", out: str = "spans", **kw) -> DataFrame:
-    return df.withColumn(out, S.public(all_spans(F.col(text_col), **kw)))
+def _where_needed(text: Column, rules: Sequence[R.Rule], spans: Column) -> Column:
+    needs = [r.needs for r in rules]
+    if not needs or None in needs:
+        return spans
+    any_of = "|".join(f"(?:{n})" for n in dict.fromkeys(needs))
+    return F.when(text.rlike(any_of), spans).otherwise(S.empty_spans())
 
 
 def explode_spans(df: DataFrame, keys: Sequence[str], spans_col: str = "spans") -> DataFrame:
@@ -80,22 +85,20 @@ def explode_spans(df: DataFrame, keys: Sequence[str], spans_col: str = "spans")
 
 def detect(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("doc_id",), **kw) -> DataFrame:
     """Document table -> long spans table (the ``detect_all`` query)."""
-    spans = S.public(all_spans(F.col(text_col), **kw))
-    return explode_spans(df.select(*keys, spans.alias("spans")), list(keys))
+    return explode_spans(with_spans(df.select(*keys, text_col), text_col, "spans", **kw), list(keys))
 
 
 def detect_stage(df: DataFrame, stage: str, text_col: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One stage only: ``base`` (P1), ``rules_raw`` (R1), ``rules`` (R2)."""
     t = F.col(text_col)
     expr = {"base": base_spans(t), "rules_raw": rule_spans_raw(t), "rules": rule_spans(t)}[stage]
-    expr = F.when(t.rlike(PREFILTER), expr).otherwise(S.empty_spans())
     return explode_spans(df.select(*keys, S.public(expr).alias("spans")), list(keys))
 
 
 def pii_per_doc(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A2: number of spans and sorted distinct types per document (documents without PII included)."""
-    spans = all_spans(F.col(text_col))
-    return df.select(
+    spans = F.col("spans")
+    return with_spans(df.select(key, text_col), text_col, "spans").select(
         F.col(key),
         F.size(spans).alias("total_pii"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["type"]))), ",").alias("pii_types"),
@@ -145,5 +148,47 @@ def candidate_spans(df: DataFrame, key: str = "doc_id", text_col: str = "text")
         S.extract_rules(t, R.default_base_recognizers()),
         rule_spans_raw(t),
     )
-    raw = F.when(t.rlike(PREFILTER), raw).otherwise(S.empty_spans())
     return explode_spans(df.select(key, S.public(raw).alias("spans")), [key])
+
+
+def gazetteer_spans(
+    texts: DataFrame, names: DataFrame, key: str = "doc_id", text_col: str = "text", score: float = R.DEEP_SCORE, source: str = "gazetteer",
+) -> DataFrame:
+    """P9 with a candidate table: long spans of every name (name, type) in every text.
+
+    Names match case-insensitively between word boundaries.  Both sides meet on the
+    lower-cased first word, so neither is broadcast and no text meets all names; a
+    text's row in the join holds a word and its place, not the text.  The rest of a
+    name is compared with the words that follow, kept as a short slice.  Of
+    overlapping names the longest stays.
+    """
+    each = texts.select(key, word_places(F.col(text_col)).alias("w")).select(key, "w", F.posexplode_outer("w").alias("i", "word")).where("word IS NOT NULL")
+    sides = each.select(key, F.lower("word.text").alias("first"), F.slice("w", F.col("i") + 1, R.GAZETTEER_WORDS).alias("following"))
+    parts = names.select("type", word_places(F.col("name")).alias("parts")).where(F.size("parts").between(1, R.GAZETTEER_WORDS))
+    wanted = parts.select(
+        "type", F.size("parts").alias("n"), F.lower(_phrase(F.col("parts"))).alias("phrase"), F.lower(F.get("parts", F.lit(0))["text"]).alias("first"),
+    ).distinct()
+    got = sides.join(wanted, "first").withColumn("got", F.slice("following", F.lit(1), F.col("n"))).where(F.lower(_phrase(F.col("got"))) == F.col("phrase"))
+    span = F.struct(
+        _phrase(F.col("got")).alias("text"), "type", F.get("got", F.lit(0))["start"].alias("start"), F.element_at("got", -1)["end"].alias("end"),
+        F.lit(score).cast("double").alias("score"), F.lit(source).alias("source"), F.lit(0).alias("rank"))
+    per_text = got.groupBy(key).agg(F.array_sort(F.collect_list(span.cast(S.SPAN_TYPE))).alias("spans"))  # a text's own hits
+    return explode_spans(per_text.select(key, S.public(S.dedup_within(F.col("spans"), R.THETA_WITHIN)).alias("spans")), [key])
+
+
+def _phrase(placed: Column) -> Column:
+    """The text from the first to the last of consecutive words."""
+    return F.array_join(F.transform(placed, lambda x, i: F.when(i == 0, x["text"]).otherwise(F.concat(x["gap"], x["text"]))), "")
+
+
+def word_places(text: Column) -> Column:
+    """array<struct<text, gap, start, end>> of the words of a text; ``gap`` is the text before a word."""
+    def placed(m: Column, g: Column) -> Column:
+        steps = F.zip_with(F.slice(g, F.lit(1), F.size(m)), m, lambda a, b: F.length(a) + F.length(b))
+        return let(prefix_scan(steps, "sum"), lambda before: F.transform(m, lambda w, i: F.struct(
+            w.alias("text"), F.get(g, i).alias("gap"), (F.get(before, i) + F.length(F.get(g, i))).cast("int").alias("start"),
+            (F.get(before, i) + F.length(F.get(g, i)) + F.length(w)).cast("int").alias("end"))))
+
+    none = F.array().cast("array<struct<text:string,gap:string,start:int,end:int>>")
+    return let(F.regexp_extract_all(text, F.lit(R.WORD_PATTERN), F.lit(0)), lambda m: F.when(
+        F.size(m) > 0, let(F.split(text, R.WORD_PATTERN, -1), lambda g: placed(m, g))).otherwise(none))

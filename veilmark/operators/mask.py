@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
 from veilmark.functions import spans as S
-from veilmark.functions.arrays import explode_kept
+from veilmark.functions.arrays import cut, explode_kept, let, neighbours_distinct, text_blocks
+from veilmark.operators.joins import salted_join
 
 DEFAULT_WIDTH = 12
 
@@ -36,22 +37,21 @@ def tokenize_spans(spans: Column, session: Column, width: int = DEFAULT_WIDTH, s
 
 
 def masked_text(text: Column, tspans: Column) -> Column:
-    """M1: replace each span by its token, left to right in one pass (spans are disjoint)."""
-    init = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    """M1: replace each span by its token (spans are disjoint and sorted); work follows the text and the spans."""
+    def built(blocks: Column) -> Column:
+        def before(s: Column, i: Column) -> Column:
+            prev = F.when(i == 0, F.lit(0)).otherwise(F.get(tspans, F.greatest(i - 1, F.lit(0)))["end"])
+            return F.concat(cut(blocks, prev, s["start"]), s["token"])
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.struct(s["end"].alias("pos"), F.concat(acc["out"], gap, s["token"]).alias("out"))
+        tail = cut(blocks, F.element_at(tspans, -1)["end"], F.length(text))
+        return F.concat(F.array_join(F.transform(tspans, before), ""), tail)
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.greatest(F.length(text) - acc["pos"], F.lit(0))))
-
-    return F.when(F.size(tspans) == 0, text).otherwise(F.aggregate(tspans, init, step, finish))
+    return F.when(F.size(tspans) == 0, text).otherwise(let(text_blocks(text), built))
 
 
 def token_entries(tspans: Column) -> Column:
-    """M5: distinct (token, value) entries in first-seen order."""
-    return F.array_distinct(F.transform(tspans, lambda s: F.struct(s["token"].alias("token"), s["text"].alias("value"))))
+    """M5: distinct (token, value) entries."""
+    return neighbours_distinct(F.array_sort(F.transform(tspans, lambda s: F.struct(s["token"].alias("token"), s["text"].alias("value")))))
 
 
 def mask(
@@ -72,17 +72,18 @@ def mask(
     )
 
 
-def vault_rows(masked: DataFrame, key: str = "doc_id", session_col: str | None = None) -> DataFrame:
-    """Long vault table (session_id, token, type, value) from masked rows; one row per distinct token."""
+def vault_rows(masked: DataFrame, key: str = "doc_id", session_col: str | None = None, with_start: bool = False) -> DataFrame:
+    """Long vault table (session_id, token, type, value) from masked rows; one row per distinct token of a row.
+
+    ``with_start`` adds ``first_start``, where the token's first span begins (H7).
+    """
     session = F.col(session_col or key).cast("string")
-    ent = F.array_distinct(
-        F.transform(F.col("tspans"), lambda s: F.struct(s["token"].alias("token"), s["type"].alias("type"), s["text"].alias("value")))
-    )
-    return (
-        masked.select(session.alias("session_id"), explode_kept(ent).alias("e"))
-        .filter(F.col("e").isNotNull())
-        .select("session_id", "e.*")
-    )
+    ent = F.array_sort(F.transform(F.col("tspans"), lambda s: F.struct(
+        s["token"].alias("token"), s["type"].alias("type"), s["text"].alias("value"), s["start"].alias("start"))))
+    first = let(ent, lambda a: F.filter(a, lambda x, i: (i == 0) | (
+        (x["token"] != F.get(a, i - 1)["token"]) | (x["type"] != F.get(a, i - 1)["type"]) | (x["value"] != F.get(a, i - 1)["value"]))))
+    rows = masked.select(session.alias("session_id"), explode_kept(first).alias("e")).filter(F.col("e").isNotNull())
+    return rows.select("session_id", "e.token", "e.type", "e.value", *([F.col("e.start").alias("first_start")] if with_start else []))
 
 
 def token_collisions(vault: DataFrame) -> DataFrame:
@@ -111,62 +112,79 @@ def merge_maps(base: Column, override: Column) -> Column:
 
 
 def replace_values(text: Column, pairs: Column) -> Column:
-    """M7/M8 core: sequential ``replace(value -> token)`` over (value, token) pairs in the given order."""
-    return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["value"], p["token"]))
+    """M7/M8 core: ``replace(value -> token)`` over (value, token) pairs in the given order.
+
+    Pieces that have the shape of a token (in the text, or inserted by an earlier
+    pair) are never changed (H6).
+    """
+    def step(acc: Column, p: Column) -> Column:
+        def joined(tokens: Column) -> Column:
+            pieces = F.transform(F.split(acc, R.TOKEN_PATTERN, -1), lambda x: F.replace(x, p["value"], p["token"]))
+            return F.array_join(F.zip_with(pieces, tokens, lambda x, t: F.concat(x, F.coalesce(t, F.lit("")))), "")
+
+        return F.when(F.contains(acc, p["value"]), let(F.regexp_extract_all(acc, F.lit(R.TOKEN_PATTERN), F.lit(0)), joined)).otherwise(acc)
+
+    return F.aggregate(pairs, text, step)
 
 
 def longest_first(pairs: Column) -> Column:
     """Sort (value, token) pairs by value length desc, then value (deterministic)."""
+    keyed = F.array_sort(F.transform(pairs, lambda p: F.struct((-F.length(p["value"])).alias("n"), p["value"].alias("value"), p["token"].alias("token"))))
+    return F.transform(keyed, lambda k: F.struct(k["value"].alias("value"), k["token"].alias("token")))
 
-    def cmp(x: Column, y: Column) -> Column:
-        lx, ly = F.length(x["value"]), F.length(y["value"])
-        return (
-            F.when(lx > ly, -1).when(lx < ly, 1)
-            .when(x["value"] < y["value"], -1).when(x["value"] > y["value"], 1)
-            .when(x["token"] < y["token"], -1).when(x["token"] > y["token"], 1)
-            .otherwise(0)
-        )
 
-    return F.array_sort(pairs, cmp)
+def inverse_pairs(vault: DataFrame, session_col: str = "session_id") -> DataFrame:
+    """H7: one token per (session, value): that of the earliest span if the vault has ``first_start``, then the smallest."""
+    at = F.col("first_start") if "first_start" in vault.columns else F.lit(0)
+    return vault.where(F.length("value") > 0).groupBy(session_col, "value").agg(F.min(F.struct(at.alias("at"), "token"))["token"].alias("token"))
 
 
-def inverse_pairs(vault: DataFrame, session_col: str = "session_id") -> DataFrame:
-    """H7: one token per (session, value) — the smallest token wins (deterministic)."""
-    return vault.groupBy(session_col, "value").agg(F.min("token").alias("token"))
+#: Letters of the key under which a value and the texts that may hold it meet.
+GRAM = 4
+
+
+def _grams(text: Column, n: Column) -> Column:
+    """Distinct runs of ``n`` characters of a text of at least ``n`` characters."""
+    return let(F.split(text, ""), lambda chars: F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))))
 
 
-CHUNK_VALUES = 2048  # values per chunk: bounds the list any single task holds
+def value_keys(inv: DataFrame) -> DataFrame:
+    """Each (session, value) with the run of ``GRAM`` characters in it that fewest values of its session share.
+
+    Shorter values are their own key.
+    """
+    n = F.least(F.length("value"), F.lit(GRAM))
+    each = inv.select("session_id", "value", "token", n.alias("n"), F.explode(let(F.col("value"), lambda v: _grams(v, F.least(F.length(v), F.lit(GRAM))))).alias("gram"))
+    shared = each.groupBy("session_id", "gram").agg(F.count(F.lit(1)).alias("shared"))
+    best = F.min(F.struct("shared", "gram", "token"))
+    found = each.join(shared, ["session_id", "gram"]).groupBy("session_id", "value", "n").agg(best.alias("k"))
+    return found.select("session_id", "value", "n", F.col("k.gram").alias("gram"), F.col("k.token").alias("token"))
 
 
 def remask(turns: DataFrame, vault: DataFrame, session_key: str, text_col: str = "text",
-           keys: list[str] | None = None, chunk_values: int = CHUNK_VALUES) -> DataFrame:
+           keys: list[str] | None = None) -> DataFrame:
     """M7: re-mask texts with every known value of their session (longest value first).
 
-    Exact for any session size without collecting a session's values in one
-    group: values are hashed into ``ceil(n / chunk_values)`` chunks per session,
-    each text is paired with every chunk of its session, the values it contains
-    are found per (text, chunk), and only those matches are grouped back per
-    text (bounded by what the text contains) and applied longest first.
-    ``keys`` identify a text uniquely (default: session key + ``turn``).
+    A text and a value of its session meet only on (session, run of characters),
+    where the value's run is the one that fewest values of the session share.  The
+    match is checked in full, and a text's own matches are grouped back and applied.
+    Work follows the characters of the texts and the true matches, not texts x
+    values.  ``keys`` identify a text uniquely (default: session key + ``turn``).
     """
     keys = list(keys) if keys is not None else [session_key, "turn"]
-    inv = inverse_pairs(vault)
-    sizes = inv.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select("session_id", F.ceil(F.col("_n") / F.lit(chunk_values)).cast("int").alias("_chunks"))
-    chunked = inv.join(sizes, "session_id").withColumn(
-        "_chunk", F.pmod(F.xxhash64("value"), F.col("_chunks")).cast("int")
-    )
-    lists = chunked.groupBy("session_id", "_chunk").agg(F.collect_list(F.struct("value", "token")).alias("_vals"))
-
+    values = value_keys(inverse_pairs(vault))
+    known = values.select("session_id", "n").distinct().groupBy("session_id").agg(F.collect_set("n").alias("lengths"))  # 1 to GRAM
     t = turns.withColumn("_tid", F.struct(*keys)).withColumn("_sid", F.col(session_key).cast("string"))
-    probes = t.select("_tid", "_sid", text_col).join(sizes, t["_sid"] == sizes["session_id"]).select(
-        "_tid", "_sid", text_col, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk")
-    )
-    hits = probes.join(lists, (probes["_sid"] == lists["session_id"]) & (probes["_chunk"] == lists["_chunk"])).select(
-        "_tid", F.filter("_vals", lambda v: F.col(text_col).contains(v["value"])).alias("_found")
-    )
-    found = hits.select("_tid", F.explode_outer("_found").alias("_p")).filter(F.col("_p").isNotNull())
-    per_text = found.groupBy("_tid").agg(longest_first(F.collect_list("_p")).alias("_pairs"))
+    probes = salted_join(t.select("_tid", "_sid", text_col), known, F.col("_sid"), "session_id", F.xxhash64("_tid"), "inner")
+    probes = probes.select("_tid", "_sid", text_col, F.explode("lengths").alias("_n")).where(F.length(text_col) >= F.col("_n"))
+    probes = probes.select("_tid", "_sid", text_col, F.explode(let(F.struct(F.col(text_col).alias("t"), "_n"), lambda x: _grams(x["t"], x["_n"]))).alias("_gram"))
+    # the text stays out of the join: candidates first, then their check against the text
+    met = probes.select("_tid", "_sid", "_gram").join(values, (F.col("_sid") == values["session_id"]) & (F.col("_gram") == values["gram"]))
+    candidates = met.select("_tid", "value", "token")
+    checked = candidates.join(t.select(F.col("_tid").alias("_of"), F.col(text_col).alias("_text")), F.col("_tid") == F.col("_of"))
+    found = checked.where(F.contains(F.col("_text"), F.col("value"))).select("_tid", F.struct("value", "token").alias("_p"))
+    per_text = found.groupBy("_tid").agg(longest_first(F.collect_list("_p")).alias("_pairs"))  # values that the text holds
     j = t.join(per_text, "_tid", "left")
     empty = F.array().cast("array<struct<value:string,token:string>>")
     out = j.withColumn(text_col, replace_values(F.col(text_col), F.coalesce(F.col("_pairs"), empty)))
@@ -177,4 +195,3 @@ def mask_cells(cells: DataFrame, vault: DataFrame, session_key: str, value_col:
                keys: list[str] | None = None) -> DataFrame:
     """M8: every known value inside each cell replaced by its token."""
     return remask(cells, vault, session_key, value_col, keys or [session_key, "sheet", "row", "col"])
-

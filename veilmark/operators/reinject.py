@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
 from veilmark.functions.arrays import explode_kept, posexplode_kept
+from veilmark.operators.joins import SALTS, salted_join
 
 TOKEN_RE = R.TOKEN_PATTERN
 _EMPTY_MAP = "map<string,string>"
@@ -63,14 +64,14 @@ def reinject(answers: DataFrame, vault: DataFrame, answer_key: str, session_col:
     """
     a = answers.withColumnRenamed(text_col, "text") if text_col != "text" else answers
     maps = answer_maps(a, vault, answer_key, session_col)
-    # One row per session that still has vault entries (an empty map reports nothing).
-    known = vault.select(F.col("session_id").alias("_known_sid")).distinct()
+    # one row per session that still has vault entries (an empty map reports nothing); a session's
+    # answers are dealt to several tasks
+    known = vault.groupBy("session_id").agg(F.lit(True).alias("_known"))
     j = (
-        a.join(maps, answer_key, "left")
-        .join(known, F.col(session_col).cast("string") == F.col("_known_sid"), "left")
+        salted_join(a.join(maps, answer_key, "left"), known, F.col(session_col).cast("string"), "session_id", F.xxhash64(answer_key))
         .withColumn("tmap", F.coalesce(F.col("tmap"), F.create_map().cast(_EMPTY_MAP)))
-        .withColumn("session_known", F.col("_known_sid").isNotNull())
-        .drop("_known_sid")
+        .withColumn("session_known", F.coalesce(F.col("_known"), F.lit(False)))
+        .drop("_known")
     )
     # the token list is computed once into a column and reused
     j = j.withColumn("_toks", token_list(F.col("text")))
@@ -87,7 +88,8 @@ def reinject(answers: DataFrame, vault: DataFrame, answer_key: str, session_col:
 def reinject_stats(answers_reinjected: DataFrame, session_sizes: DataFrame, answer_key: str, session_col: str) -> DataFrame:
     """Per answer — tokens of the session map, distinct ones used, missing from the response."""
     used = F.size(F.map_keys(F.col("tmap")))
-    j = answers_reinjected.join(session_sizes, F.col(session_col).cast("string") == session_sizes["session_id"], "left")
+    j = salted_join(
+        answers_reinjected, session_sizes, F.col(session_col).cast("string"), "session_id", F.xxhash64(answer_key))
     total = F.coalesce(F.col("n_session_tokens"), F.lit(0))
     return j.select(
         answer_key,
@@ -97,6 +99,20 @@ def reinject_stats(answers_reinjected: DataFrame, session_sizes: DataFrame, answ
     )
 
 
+def missing_tokens(answers: DataFrame, vault: DataFrame, answer_key: str, session_col: str, text_col: str = "text") -> DataFrame:
+    """Rows (answer, token) of the session's tokens that an answer does not contain.
+
+    The rows asked for are answers x tokens of their session less those used.  The
+    tokens of a session are dealt to ``SALTS`` tasks, and every answer visits each.
+    """
+    a = answers.select(F.col(answer_key), F.col(session_col).cast("string").alias("_sid"), F.col(text_col).alias("_text"))
+    asked = a.select(answer_key, "_sid", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_asalt"))
+    tokens = vault.select("session_id", "token").distinct().withColumn("_vsalt", F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int"))
+    owed = asked.join(tokens, (F.col("_sid") == F.col("session_id")) & (F.col("_asalt") == F.col("_vsalt"))).select(answer_key, "token")
+    used = a.select(answer_key, explode_kept(F.array_distinct(token_list(F.col("_text")))).alias("token")).filter(F.col("token").isNotNull())
+    return owed.join(used, [answer_key, "token"], "left_anti")
+
+
 def token_pieces(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, pos, piece, is_token) — text split into token and non-token pieces, empty ones dropped."""
     t = F.col(text_col)

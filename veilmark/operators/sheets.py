@@ -1,28 +1,28 @@
 """Spreadsheet dumps: text -> cells -> preview grid.
 
 A dump is one text per file: ``[Arkusz: name]`` header lines and ``B7: value``
-cell lines.  Parsing is row-local (one ``aggregate`` over the file's lines
-carries the current sheet and the running max row), so no window over a
-shuffled file is needed; only "last line wins" for duplicate cells and the
-grid assembly group by (file, sheet[, row]).
+cell lines.  Parsing is row-local and reads each line once; running values come
+from block scans, not from a fold that copies its output.  Only "last line wins"
+for duplicate cells and the grid group by (file, section[, row]).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
-from veilmark.functions.arrays import explode_kept
+from veilmark.functions.arrays import explode_kept, let, prefix_scan
 
 CELL_RE = r"^([a-zA-Z]+)(\d+):\s*(.*)$"
 _HDR = R.SHEET_HEADER_PREFIX
 
 
 def col_index(letters: Column) -> Column:
-    """'A' -> 1, 'Z' -> 26, 'AB' -> 28 (base 26 without zero)."""
+    """'A' -> 1, 'Z' -> 26, 'AB' -> 28 (base 26 without zero); null beyond the sheet format's last column."""
     chars = F.split(F.upper(letters), "")
-    return F.aggregate(chars, F.lit(0).cast("bigint"), lambda acc, ch: acc * 26 + (F.ascii(ch) - 64))
+    n = F.aggregate(chars, F.lit(0), lambda acc, ch: acc * 26 + (F.ascii(ch) - 64))
+    return F.when(letters.rlike("^[A-Za-z]{1,3}$"), let(n, lambda v: F.when(v <= R.SHEET_MAX_COL, v.cast("bigint"))))
 
 
 def col_letters(idx: Column) -> Column:
@@ -55,92 +55,136 @@ def _header_name(line: Column) -> Column:
     return _strip(F.substring(line, len(_HDR) + 1, F.length(line) - len(_HDR) - 1))
 
 
-_CELL_T = "array<struct<line:int,sheet:string,row:bigint,col:bigint,value:string,matched:boolean>>"
+def _parsed(text: Column) -> Column:
+    """Every non-blank line, read once: array<struct<line, name, letters, row, value>> (name: of a header, else null)."""
+    def one(line: Column, i: Column) -> Column:
+        hdr = _is_header(line)
+        cell = ~hdr & line.rlike(CELL_RE)
+        return F.struct(
+            i.alias("i"), line.alias("line"), F.when(hdr, _header_name(line)).alias("name"),
+            F.when(cell, F.regexp_extract(line, CELL_RE, 1)).alias("letters"),
+            # a number beyond 18 digits is no row of a sheet
+            F.when(cell, F.regexp_extract(line, CELL_RE, 2).try_cast("bigint")).alias("row"),
+            F.when(cell, F.regexp_extract(line, CELL_RE, 3)).alias("value"),
+        )
 
+    return F.transform(_lines(text), one)
+
+
+def _sections(lines: Column, default_sheet: str) -> Column:
+    """array<struct<section, sheet, body>>: the lines under each header; section 0 is before the first header."""
+    def split(heads: Column) -> Column:
+        first = F.coalesce(F.get(heads, F.lit(0)), F.size(lines))
+        top = F.struct(F.lit(0).alias("section"), F.lit(default_sheet).alias("sheet"), F.slice(lines, F.lit(1), first).alias("body"))
+        rest = F.transform(heads, lambda h, k: F.struct(
+            (k + 1).alias("section"), F.get(lines, h)["name"].alias("sheet"),
+            F.slice(lines, h + 2, F.coalesce(F.get(heads, k + 1), F.size(lines)) - h - 1).alias("body")))
+        return F.concat(F.array(top), rest)
+
+    heads = F.when(F.size(lines) > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0))), lambda i: F.get(lines, i)["name"].isNotNull()))
+    return let(F.coalesce(heads, F.array().cast("array<int>")), split)
 
-def parse_dump(text: Column, default_sheet: str = R.DEFAULT_SHEET_NAME, fallback: bool = False) -> Column:
-    """S6 (preview grammar) / S7 (rebuild grammar with ``fallback``) as one pass over the lines.
 
-    Returns array<struct<line, sheet, row, col, value, matched>>.  Preview
-    grammar drops unmatched lines; rebuild grammar puts them in column A at
-    the sheet's running max row + 1 (max row starts at 1 per sheet), uses
-    'Sheet1' for a blank header name and cuts new names to 31 characters.
+def _preview_cells(section: Column) -> Column:
+    cells = F.filter(section["body"], lambda x: x["row"].isNotNull() & col_index(x["letters"]).isNotNull())
+    return F.transform(cells, lambda x: F.struct(
+        section["section"].alias("section"), section["sheet"].alias("sheet"), x["i"].alias("line"), x["row"].alias("row"),
+        col_index(x["letters"]).alias("col"), x["value"].alias("value")))
+
+
+def _rebuilt_cells(section: Column) -> Column:
+    """Free text goes to column A below all rows so far.
+
+    With u(i) free lines up to line i, the running last row is
+    u(i) + max(1, row(j) - u(j) over the cells j up to i), so two running scans give
+    it without a fold over the lines.
     """
-    lines = _lines(text)
-    init = F.struct(
-        F.lit(default_sheet).alias("sheet"), F.lit(1).cast("bigint").alias("max_row"),
-        F.lit(0).alias("i"), F.array().cast(_CELL_T).alias("out"),
-    )
+    name = F.substring(F.when(section["sheet"] == "", F.lit(BLANK_SHEET)).otherwise(section["sheet"]), 1, SHEET_NAME_CHARS)
 
-    def step(acc: Column, line: Column) -> Column:
-        hdr = _is_header(line)
-        name = _header_name(line)
-        if fallback:
-            name = F.substring(F.when(name == "", F.lit("Sheet1")).otherwise(name), 1, 31)
-        letters = F.regexp_extract(line, CELL_RE, 1)
-        is_cell = (~hdr) & line.rlike(CELL_RE)
-        row = F.regexp_extract(line, CELL_RE, 2).try_cast("bigint")
-        cell = F.struct(
-            acc["i"].alias("line"), acc["sheet"].alias("sheet"), row.alias("row"), col_index(letters).alias("col"),
-            F.regexp_extract(line, CELL_RE, 3).alias("value"), F.lit(True).alias("matched"),
-        )
-        text_cell = F.struct(
-            acc["i"].alias("line"), acc["sheet"].alias("sheet"), (acc["max_row"] + 1).alias("row"),
-            F.lit(1).cast("bigint").alias("col"), line.alias("value"), F.lit(False).alias("matched"),
-        )
-        new_sheet = F.when(hdr, name).otherwise(acc["sheet"])
-        if fallback:
-            new_max = F.when(hdr, F.lit(1).cast("bigint")).when(is_cell, F.greatest(acc["max_row"], row)).otherwise(
-                acc["max_row"] + 1
-            )
-            new_out = F.when(hdr, acc["out"]).when(is_cell, F.concat(acc["out"], F.array(cell))).otherwise(
-                F.concat(acc["out"], F.array(text_cell))
-            )
-        else:
-            new_max = acc["max_row"]
-            new_out = F.when(is_cell, F.concat(acc["out"], F.array(cell))).otherwise(acc["out"])
-        return F.struct(new_sheet.alias("sheet"), new_max.alias("max_row"), (acc["i"] + 1).alias("i"), new_out.alias("out"))
-
-    return F.aggregate(lines, init, step, lambda acc: acc["out"])
+    def with_free(body: Column, free: Column) -> Column:
+        # free: free lines before each line
+        peaks = F.zip_with(body, free, lambda x, u: F.when(x["letters"].isNotNull(), F.coalesce(x["row"], F.lit(1)) - u))
+        return let(prefix_scan(peaks, "max"), lambda peak: F.filter(F.transform(body, lambda x, i: F.struct(
+            section["section"].alias("section"), name.alias("sheet"), x["i"].alias("line"),
+            F.when(x["letters"].isNotNull(), x["row"]).otherwise(
+                F.get(free, i) + 1 + F.greatest(F.lit(1).cast("bigint"), F.coalesce(F.get(peak, i), F.lit(1).cast("bigint")))).alias("row"),
+            F.when(x["letters"].isNotNull(), col_index(x["letters"])).otherwise(F.lit(1).cast("bigint")).alias("col"),
+            F.when(x["letters"].isNotNull(), x["value"]).otherwise(x["line"]).alias("value"),
+        )), lambda c: c["row"].between(1, R.SHEET_MAX_ROW) & c["col"].isNotNull()))
+
+    def of(body: Column) -> Column:
+        flags = F.transform(body, lambda x: F.when(x["letters"].isNull(), F.lit(1)).otherwise(F.lit(0)))
+        return let(prefix_scan(flags, "sum"), lambda free: with_free(body, free))
+
+    return F.when(F.size(section["body"]) > 0, let(section["body"], of)).otherwise(F.array().cast(_CELL_T))
+
+
+_CELL_T = "array<struct<section:int,sheet:string,line:int,row:bigint,col:bigint,value:string>>"
+BLANK_SHEET = "Sheet1"
+#: Longest sheet name that the format takes.
+SHEET_NAME_CHARS = 31
+
+
+def parse_dump(text: Column, default_sheet: str = R.DEFAULT_SHEET_NAME, fallback: bool = False) -> Column:
+    """S6 (preview grammar) / S7 (rebuild grammar with ``fallback``): all cells, each line read once.
+
+    Returns array<struct<section, sheet, line, row, col, value>>.  A cell line whose
+    letters are no column of the sheet format, or whose row is no number, is dropped.
+    The preview grammar drops other unmatched lines; the rebuild grammar puts them in
+    column A below the last row so far (a dropped cell line counts for that row),
+    uses 'Sheet1' for a blank header name and cuts names to 31 characters.
+    """
+    each = _rebuilt_cells if fallback else _preview_cells
+    return let(_parsed(text), lambda lines: F.flatten(F.transform(_sections(lines, default_sheet), each)))
 
 
 def sheet_cells(dumps: DataFrame, key: str = "doc_id", text_col: str = "text", fallback: bool = False,
                 default_sheet: str | None = None) -> DataFrame:
-    """Long ``cells`` table (key, sheet, row, col, value); duplicate cells: last line wins."""
+    """Long ``cells`` table; duplicate cells: last line wins.
+
+    Preview: (key, section, sheet, row, col, value), a section for each header in
+    their order, also where headers repeat.  Rebuild: (key, sheet, row, col, value),
+    lines under headers of one name write into one sheet.
+    """
     ds = default_sheet or (R.REBUILD_DEFAULT_SHEET if fallback else R.DEFAULT_SHEET_NAME)
     cells = dumps.select(key, explode_kept(parse_dump(F.col(text_col), ds, fallback)).alias("c")).filter(
         F.col("c").isNotNull()
     ).select(key, "c.*")
-    return cells.groupBy(key, "sheet", "row", "col").agg(F.max_by("value", "line").alias("value"))
+    by = ["sheet"] if fallback else ["section", "sheet"]
+    return cells.groupBy(key, *by, "row", "col").agg(F.max_by("value", "line").alias("value"))
 
 
-def sheet_grid(cells: DataFrame, key: str = "doc_id", row_cap: int = R.PREVIEW_ROW_CAP) -> DataFrame:
-    """Preview rows 1..min(cap, max_row) x cols 1..max_col (max_col over all rows), missing = ''.
+def sheet_grid(cells: DataFrame, key: str = "doc_id", row_cap: int | None = None) -> DataFrame:
+    """Preview rows 1..max_row (or ``row_cap``) x cols 1..max_col (max_col over all rows), missing = ''.
 
-    No skeleton join: per (file, sheet) the dimensions and the at most ``row_cap``
-    preview rows are aggregated once (a bounded list), then the grid rows are
-    generated and each looks up its own row in that list.  Output (key, sheet,
-    row, cells) with the row's values joined by a tab.
+    (key, section, sheet, row, cells), the row's values joined by a tab.  A row that
+    has cells also gives the empty rows since the row before it, so no skeleton of
+    the grid is shuffled or joined; a line is put together from its own cells.
     """
-    rows = cells.groupBy(key, "sheet", "row").agg(
-        F.max("col").alias("row_max_col"),
-        F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("vals"),
-    )
-    in_preview = (F.col("row") >= 1) & (F.col("row") <= row_cap)
-    sheets = rows.groupBy(key, "sheet").agg(
-        F.max("row").alias("max_row"),
-        F.max("row_max_col").alias("max_col"),
-        F.collect_list(F.when(in_preview, F.struct("row", "vals"))).alias("preview"),  # at most row_cap entries
-    )
-    n = F.least(F.col("max_row"), F.lit(row_cap).cast("bigint"))
-    grid = sheets.filter(n >= 1).select(
-        key, "sheet", "max_col", "preview", F.explode(F.sequence(F.lit(1).cast("bigint"), n)).alias("row")
-    )
-    vals = F.try_element_at(F.filter(F.col("preview"), lambda p: p["row"] == F.col("row")), F.lit(1))["vals"]
-    # bind the row's map once as a lambda parameter, then fill columns 1..max_col
-    line = F.element_at(F.transform(F.array(vals), lambda v: F.array_join(
-        F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("max_col").cast("bigint")),
-                    lambda c: F.coalesce(F.try_element_at(v, c), F.lit(""))),
-        "\t",
-    )), 1)
-    return grid.select(key, "sheet", "row", line.alias("cells"))
+    by = [key, "section", "sheet"]
+    rows = cells.groupBy(*by, "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("vals"))
+    w = Window.partitionBy(*by)
+    last_col = F.element_at("vals", -1)["col"]
+    placed = rows.select(
+        *by, "row", "vals", F.max(last_col).over(w).alias("max_col"),
+        F.greatest(F.lag("row", 1, 0).over(w.orderBy("row")), F.lit(0).cast("bigint")).alias("above"),
+    ).where(F.col("row") >= 1)
+    if row_cap is not None:
+        placed = placed.where(F.col("above") < row_cap)
+    to = F.col("row") if row_cap is None else F.least(F.col("row"), F.lit(row_cap).cast("bigint"))
+
+    def line(vals: Column) -> Column:
+        cell = F.transform(vals, lambda e, i: F.concat(
+            F.repeat(F.lit("\t"), (e["col"] - F.when(i == 0, F.lit(1).cast("bigint")).otherwise(F.get(vals, F.greatest(i - 1, F.lit(0)))["col"])).cast("int")),
+            e["value"]))
+        return F.array_join(cell, "")
+
+    full = F.concat(line(F.col("vals")), F.repeat(F.lit("\t"), (F.col("max_col") - last_col).cast("int")))
+    empty = F.repeat(F.lit("\t"), (F.col("max_col") - 1).cast("int"))
+    lines = placed.select(*by, F.col("row").alias("own"), full.alias("full"), empty.alias("empty"), "above", to.alias("to"))
+    # long gaps in runs of rows
+    run = F.lit(4096).cast("bigint")
+    parts = lines.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("to") - F.col("above") - 1) / run))).alias("k"))
+    grid = parts.select(*by, "own", "full", "empty", F.explode(F.sequence(
+        F.col("above") + F.col("k") * run + 1, F.least(F.col("above") + (F.col("k") + 1) * run, F.col("to")))).alias("row"))
+    return grid.select(*by, "row", F.when(F.col("row") == F.col("own"), F.col("full")).otherwise(F.col("empty")).alias("cells"))

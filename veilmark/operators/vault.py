@@ -43,10 +43,14 @@ def open_vault(sealed: DataFrame, passphrase: str | None) -> DataFrame:
     return sealed.withColumn("value", val)
 
 
-def session_maps(vault: DataFrame) -> DataFrame:
-    """Token map per session (undecryptable values left out -> possibly empty map)."""
-    ok = vault.filter(F.col("value").isNotNull())
-    return ok.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("token_map"))
+def session_entries(vault: DataFrame) -> DataFrame:
+    """The token map of every session as rows (session_id, token, value); undecryptable values left out."""
+    return vault.filter(F.col("value").isNotNull()).select("session_id", "token", "value").distinct()
+
+
+def session_sizes(vault: DataFrame) -> DataFrame:
+    """Entries per session (merged map-side, however large a session is)."""
+    return session_entries(vault).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
 def upsert_latest(versions: DataFrame, key: str | list[str], version: str) -> DataFrame:
@@ -57,6 +61,11 @@ def upsert_latest(versions: DataFrame, key: str | list[str], version: str) -> Da
     return latest.select(*keys, "_v.*")
 
 
+def lookup(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of a list of keys (an equi-join; each key once)."""
+    return table.join(keys.select(key).distinct(), key, "left_semi")
+
+
 def erase(table: DataFrame, erase_list: DataFrame, key: str = "session_id") -> DataFrame:
     """Rows whose key is in the erase list are removed."""
     return table.join(erase_list.select(key).distinct(), key, "left_anti")
@@ -78,6 +87,13 @@ def expire_task_contexts(tasks: DataFrame, as_of: str, ttl_seconds: int) -> Data
     return tasks.withColumn("newly_expired", newly).withColumn("context_expired", already | newly)
 
 
+def erase_expired_contexts(vault: DataFrame, tasks: DataFrame, as_of: str, ttl_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """T2 + S14: (vault without the rows of newly expired tasks, tasks with their flag)."""
+    t = expire_task_contexts(tasks, as_of, ttl_seconds)
+    gone = t.where("newly_expired").select(F.col("task_id").cast("string").alias("session_id"))
+    return erase(vault, gone), t
+
+
 def vault_expired(vault: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """(kept, removed) by ``expires_at < as_of``; rows without expiry are kept."""
     exp = F.col("expires_at").isNotNull() & (F.col("expires_at") < F.lit(as_of).cast("timestamp"))

@@ -15,9 +15,6 @@ from __future__ import annotations
 from veilmark.functions import rules as R
 from veilmark.sources import tables as TB
 
-PREFILTER = "[0-9@]"
-
-
 def q(s: str) -> str:
     """SQL string literal."""
     return "'" + s.replace("'", "''") + "'"
@@ -54,8 +51,7 @@ def rule_matches_sql(src: str, rule: R.Rule, rank: int, key: str = "doc_id", tex
         f"coalesce(list_sum(list_transform(m[1:i-1], lambda y: length(y))), 0)}})"
     )
     inner = (
-        f"SELECT {key}, unnest({st}) AS s FROM (SELECT {key}, {m} AS m, {g} AS g FROM {src} "
-        f"WHERE regexp_matches({text}, {q(PREFILTER)}))"
+        f"SELECT {key}, unnest({st}) AS s FROM (SELECT {key}, {m} AS m, {g} AS g FROM {src})"
     )
     lead = "length(regexp_extract(s.raw, '^\\s*'))"
     stripped = "regexp_replace(s.raw, '^\\s+|\\s+$', '', 'g')"
@@ -99,6 +95,12 @@ def dedup_sql(cands: str, theta: float, key: str = "doc_id") -> str:
     )
 
 
+def only_rules_sql(src: str, rules: list[R.Rule], theta: float) -> str:
+    """CTEs ``raw`` and ``kept`` of one stage with the given rules."""
+    raw = " UNION ALL ".join(rule_matches_sql(src, r, i) for i, r in enumerate(rules))
+    return f"raw0 AS ({raw}), raw AS (SELECT doc_id, {type_remap_sql('type')} AS type, rnk, score, source, start, \"end\", text FROM raw0), kept AS ({dedup_sql('raw', theta)})"
+
+
 def detect_ctes(src: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     """CTEs: base_raw, base_kept, rule_raw, rule_kept, all_spans (key, type, rnk, score, source, start, end, text)."""
     base = " UNION ALL ".join(
@@ -140,7 +142,8 @@ def label_sql(expr: str) -> str:
 
 
 def prefix_sql(expr: str) -> str:
-    return case_map(expr, R.TOKEN_PREFIX, f"upper({expr})")
+    name = f"regexp_replace(upper({expr}), '[^{R.PREFIX_LETTERS}]', '_', 'g')"
+    return case_map(expr, R.TOKEN_PREFIX, f"coalesce(nullif({name}, ''), '_')")
 
 
 def sev_rank_sql(expr: str) -> str:
@@ -239,20 +242,29 @@ def sheet_lines_cte(src: str) -> str:
     )
 
 
+CELL_PATTERN = "'^([a-zA-Z]+)(\\d+):\\s*(.*)$'"
+
+
+def sheet_col_sql(line: str) -> str:
+    """Column number of a cell line, null if its letters are no column of the sheet format."""
+    letters = f"regexp_extract({line}, {CELL_PATTERN}, 1)"
+    n = (f"list_reduce(list_transform(string_split(upper({letters}), ''), lambda ch: ascii(ch) - 64), lambda acc, x: acc * 26 + x, 0)")
+    return f"(CASE WHEN length({letters}) BETWEEN 1 AND 3 AND {n} <= {R.SHEET_MAX_COL} THEN CAST({n} AS BIGINT) END)"
+
+
 def sheet_cells_ctes(src: str) -> str:
-    pat = "'^([a-zA-Z]+)(\\d+):\\s*(.*)$'"
     hdr = "(starts_with(line, '[Arkusz:') AND ends_with(line, ']'))"
     return (
         f"{sheet_lines_cte(src)}, "
         f"tagged AS (SELECT doc_id, i, line, CASE WHEN {hdr} THEN trim(substr(line, 9, length(line) - 9)) END AS hname, "
-        f"NOT {hdr} AND regexp_matches(line, {pat}) AS is_cell FROM lines), "
-        f"sheeted AS (SELECT *, coalesce(last_value(hname IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i "
-        f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Arkusz1') AS sheet FROM tagged), "
-        f"cells0 AS (SELECT doc_id, i, sheet, CAST(regexp_extract(line, {pat}, 2) AS BIGINT) AS \"row\", "
-        f"list_reduce(list_transform(string_split(upper(regexp_extract(line, {pat}, 1)), ''), lambda ch: ascii(ch) - 64), "
-        f"lambda acc, x: acc * 26 + x, 0) AS col, regexp_extract(line, {pat}, 3) AS value FROM sheeted WHERE is_cell), "
-        f"cells AS (SELECT doc_id, sheet, \"row\", CAST(col AS BIGINT) AS col, arg_max(value, i) AS value "
-        f"FROM cells0 GROUP BY doc_id, sheet, \"row\", col)"
+        f"NOT {hdr} AND regexp_matches(line, {CELL_PATTERN}) AS is_cell FROM lines), "
+        f"sheeted AS (SELECT *, coalesce(last_value(hname IGNORE NULLS) OVER w, 'Arkusz1') AS sheet, "
+        f"CAST(count(hname) OVER w AS INTEGER) AS section FROM tagged "
+        f"WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), "
+        f"cells0 AS (SELECT doc_id, i, section, sheet, TRY_CAST(regexp_extract(line, {CELL_PATTERN}, 2) AS BIGINT) AS \"row\", "
+        f"{sheet_col_sql('line')} AS col, regexp_extract(line, {CELL_PATTERN}, 3) AS value FROM sheeted WHERE is_cell), "
+        f"cells AS (SELECT doc_id, section, sheet, \"row\", col, arg_max(value, i) AS value "
+        f"FROM cells0 WHERE \"row\" IS NOT NULL AND col IS NOT NULL GROUP BY doc_id, section, sheet, \"row\", col)"
     )
 
 
@@ -303,13 +315,38 @@ def answers_cte() -> str:
     block = q(f"(?s)<{tag}>(.*?)</{tag}>")
     return (
         f"dumps AS ({ORDER_SHEET_SQL}), "
-        f"answers AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN c.role = 'assistant' AND t.status = 'completed' "
+        f"answers AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN c.role = 'assistant' AND t.status = 'completed' AND (c.conv_id % 2 = 0 OR c.turn < 2) "
         f"THEN c.text || chr(10) || '<{tag}>' || chr(10) || d.text || chr(10) || '</{tag}>' ELSE c.text END AS text "
         f"FROM conversations c LEFT JOIN tasks t ON t.task_id = c.conv_id LEFT JOIN dumps d ON d.doc_id = c.conv_id), "
         f"solved AS (SELECT conv_id, turn, role, text, CASE WHEN regexp_matches(text, {block}) THEN "
         f"{strip_sql(f'regexp_extract(text, {block}, 1)')} END AS solution, "
         f"CASE WHEN regexp_matches(text, {block}) THEN coalesce(nullif({strip_sql(f"regexp_replace(text, {block}, '', 'g')")}, ''), "
         f"{q(R.SOLUTION_DEFAULT_MESSAGE)}) ELSE text END AS message FROM answers), "
-        f"result AS (SELECT conv_id, solution AS solution_text, text AS last_text FROM (SELECT *, row_number() OVER "
-        f"(PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM solved WHERE role = 'assistant') WHERE rn = 1)"
+        f"result AS (SELECT c.conv_id, (SELECT arg_max(s.solution, s.turn) FROM solved s WHERE s.conv_id = c.conv_id AND s.role = 'assistant' "
+        f"AND s.solution IS NOT NULL) AS solution_text, coalesce((SELECT arg_max(s.text, s.turn) FROM solved s WHERE s.conv_id = c.conv_id "
+        f"AND s.role = 'assistant'), '') AS last_text FROM (SELECT DISTINCT conv_id FROM conversations) c)"
+    )
+
+
+def audit_lines_sql() -> str:
+    """(event_id, kind, ...) over the ``audit`` CTE: what each raw line of the JSON log is."""
+    return (
+        "log AS (SELECT event_id, event, session_id, coalesce(pii_count, 0) AS n, "
+        "CASE WHEN event_id % 11 = 0 THEN 'blank' WHEN event_id % 13 = 0 THEN 'bad' WHEN event_id % 17 = 0 THEN 'more' "
+        "WHEN event_id % 19 = 0 THEN 'odd' ELSE 'plain' END AS kind FROM audit)"
     )
+
+
+def quoted_sql() -> str:
+    """CTEs on top of masked_ctes: inv, pairs (values of a session, longest first) and turns that quote the first value."""
+    return (
+        "inv AS (SELECT CAST(doc_id AS VARCHAR) AS session_id, text AS value, arg_min(token, struct_pack(s := start, t := token)) AS token "
+        "FROM tok GROUP BY doc_id, text), "
+        "pairs AS (SELECT session_id, list({'v': value, 't': token} ORDER BY length(value) DESC, value, token) AS p FROM inv GROUP BY session_id), "
+        "quoted AS (SELECT CAST(doc_id AS VARCHAR) AS session_id, arg_min(text, start) AS quoted FROM tok GROUP BY doc_id), "
+        "turns AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN c.role = 'user' AND k.quoted IS NOT NULL THEN c.text || ' ' || k.quoted "
+        "ELSE c.text END AS text FROM conversations c LEFT JOIN quoted k ON k.session_id = CAST(c.conv_id AS VARCHAR))"
+    )
+
+
+REMASKED = "coalesce(list_reduce(p.p, lambda acc, x: replace(acc, x.v, x.t), h.text), h.text)"

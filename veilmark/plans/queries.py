@@ -27,6 +27,7 @@ from veilmark.operators import vault as VT
 from veilmark.operators import summary as SM
 from veilmark.session import cut_lineage, spread
 from veilmark.streaming import audit_stream as ST
+from veilmark.sources import audit_json as AJ
 from veilmark.sources import binary as BIN
 from veilmark.sources import derived
 from veilmark.sources import tables as TB
@@ -95,6 +96,28 @@ def q_detect_all_orders(spark, sf):
     return D.detect(_order_texts(spark, sf))
 
 
+# A user's own rules: no digit and no '@' in them
+CUSTOM_RULES = [R.Rule("LICENSE", r"\b(?:MIT|Apache|General Public|BSD) License\b", 0.9, "rule")]
+
+
+@register("detect_custom_rules")
+def q_detect_custom_rules(spark, sf):
+    return D.detect(_docs(spark, sf), recognizers=[], rules=CUSTOM_RULES)
+
+
+@register("detect_extra")
+def q_detect_extra(spark, sf):
+    """Dates, wallets and foreign accounts: the further recognizers beside the default ones."""
+    t = derived.trade_texts(spark, sf)
+    spans = D.base_spans(F.col("text"), [*R.BASE_RECOGNIZERS, *R.EXTRA_RECOGNIZERS])
+    return _explode_spans(t.select("doc_id", S.public(spans).alias("spans")), ["doc_id"])
+
+
+@register("detect_gazetteer")
+def q_detect_gazetteer(spark, sf):
+    return D.gazetteer_spans(derived.trade_texts(spark, sf), derived.gazetteer(spark, sf))
+
+
 @register("span_overlap_pairs")
 def q_span_overlap_pairs(spark, sf):
     return D.span_overlap_pairs(D.candidate_spans(_docs(spark, sf)))
@@ -142,6 +165,23 @@ def q_mask_preview(spark, sf):
     )
 
 
+ODD_TYPES = ["IT-INFRA 2", "PERSON", "zażółć/9"]
+
+
+@register("mask_overlaps")
+def q_mask_overlaps(spark, sf):
+    """Spans that overlap in two characters, and types outside the token grammar: masked and restored."""
+    d = _docs(spark, sf).where(F.length("text") >= 30)
+
+    def span(a, b, kind, score):
+        return F.struct(F.substring("text", a + 1, b - a).alias("text"), F.lit(kind).alias("type"), F.lit(a).alias("start"),
+                        F.lit(b).alias("end"), F.lit(score).alias("score"), F.lit("given").alias("source"))
+
+    spans = F.array(span(0, 10, ODD_TYPES[0], 1.0), span(8, 20, ODD_TYPES[1], 0.9), span(25, 30, ODD_TYPES[2], 0.8)).cast(S.PUBLIC_SPANS_TYPE)
+    m = M.mask(d.withColumn("spans", spans))
+    return m.select("doc_id", "masked_text", RJ.reinject_text(F.col("masked_text"), F.col("token_map")).alias("restored"))
+
+
 @register("vault_rows")
 def q_vault_rows(spark, sf):
     return M.vault_rows(_masked_docs(spark, sf))
@@ -158,10 +198,19 @@ def q_token_collisions(spark, sf):
     return M.token_collisions(M.vault_rows(_masked_docs(spark, sf)))
 
 
+@register("token_collisions_short")
+def q_token_collisions_short(spark, sf):
+    """M4 at a token width of one digit, one session per language: values do collide."""
+    d = D.with_spans(TB.documents(spark, sf).select("doc_id", "text", "lang"))
+    m = d.withColumn("tspans", M.tokenize_spans(F.col("spans"), F.col("lang"), width=1))
+    return M.token_collisions(M.vault_rows(m, session_col="lang"))
+
+
 @register("token_map_merge")
 def q_token_map_merge(spark, sf):
     docs = _masked_docs(spark, sf).select("doc_id", F.col("token_map").alias("doc_map"))
-    instr = M.mask(D.with_spans(_order_texts(spark, sf))).select(
+    wanted = TB.documents(spark, sf).select("doc_id")
+    instr = M.mask(D.with_spans(_order_texts(spark, sf).join(wanted, "doc_id", "left_semi"))).select(
         F.col("doc_id").alias("task_id"), F.col("token_map").alias("instr_map")
     )
     j = docs.join(instr, docs.doc_id == instr.task_id, "inner")
@@ -214,6 +263,15 @@ def q_reinject_stats(spark, sf):
     return RJ.reinject_stats(r, sizes, "doc_id", "doc_id")
 
 
+@register("missing_tokens")
+def q_missing_tokens(spark, sf):
+    """Tokens of a document's vault that an answer lacks; every third answer is only half the masked text."""
+    m = cut_lineage(_masked_docs(spark, sf).select("doc_id", "masked_text", "tspans"))
+    half = F.substring("masked_text", F.lit(1), F.floor(F.length("masked_text") / 2).cast("int"))
+    answers = m.select("doc_id", F.when(F.col("doc_id") % 3 == 0, half).otherwise(F.col("masked_text")).alias("text"))
+    return RJ.missing_tokens(answers, M.vault_rows(m), "doc_id", "doc_id")
+
+
 @register("token_pieces")
 def q_token_pieces(spark, sf):
     m = _masked_docs(spark, sf).filter(F.size("tspans") > 0)
@@ -229,6 +287,11 @@ def q_erase_sessions(spark, sf):
 # -- audit log ---------------------------------------------------------------
 
 
+# cuts of the dashboard's reports
+BREAKDOWN_TOP = 15
+DAILY_DAYS = 30
+
+
 def _audit(spark, sf):
     return TB.audit_events(spark, sf)
 
@@ -248,7 +311,7 @@ def q_dashboard_stats(spark, sf):
 
 @register("pii_breakdown")
 def q_pii_breakdown(spark, sf):
-    return AU.pii_breakdown(_audit(spark, sf))
+    return AU.pii_breakdown(_audit(spark, sf), top=BREAKDOWN_TOP)
 
 
 @register("provider_usage")
@@ -258,13 +321,24 @@ def q_provider_usage(spark, sf):
 
 @register("daily_activity")
 def q_daily_activity(spark, sf):
-    return AU.daily_activity(_audit(spark, sf))
+    return AU.daily_activity(_audit(spark, sf), days=DAILY_DAYS)
 
 
 @register("audit_count")
 def q_audit_count(spark, sf):
-    lines = _audit(spark, sf).select(F.to_json(F.struct("*")).alias("value"))
-    return AU.audit_count(lines)
+    return AU.audit_count(derived.audit_lines(spark, sf))
+
+
+@register("audit_json_scan")
+def q_audit_json_scan(spark, sf):
+    """The raw JSON lines read back; mistyped and unknown fields are kept."""
+    a = AJ.parse_lines(derived.audit_lines(spark, sf)).where("corrupt IS NULL")
+    return a.select("event_id", "event", "session_id", "pii_count", M.map_lines(F.col("extra")).alias("extra"))
+
+
+@register("audit_json_corrupt")
+def q_audit_json_corrupt(spark, sf):
+    return AJ.parse_lines(derived.audit_lines(spark, sf)).where("corrupt IS NOT NULL").select(F.col("corrupt").alias("line"))
 
 
 @register("audit_page")
@@ -276,7 +350,7 @@ def q_audit_page(spark, sf):
 
 @register("audit_csv_lines")
 def q_audit_csv_lines(spark, sf):
-    return AU.audit_csv_lines(_audit(spark, sf)).select("event_id", "line")
+    return AU.audit_csv_lines(_audit(spark, sf))
 
 
 @register("event_label")
@@ -286,6 +360,32 @@ def q_event_label(spark, sf):
                     AU.event_color(F.col("event")).alias("color"))
 
 
+def _named_types(spark, sf):
+    """(event_id, type): the types that upload events name, KRS under its analyzer name."""
+    a = _audit(spark, sf).select("event_id", explode_kept(F.col("pii_types")).alias("type")).where("type IS NOT NULL")
+    return a.withColumn("type", F.when(F.col("type") == "KRS", F.lit("NRP")).otherwise(F.col("type")))
+
+
+@register("type_remap")
+def q_type_remap(spark, sf):
+    return _named_types(spark, sf).select("event_id", "type", R.type_remap(F.col("type")).alias("reported"))
+
+
+@register("type_dim")
+def q_type_dim(spark, sf):
+    return SM.with_type_dim(_named_types(spark, sf))
+
+
+@register("client_ip")
+def q_client_ip(spark, sf):
+    """P21 over the events: a forwarded address, a blank one or none; a peer address or none."""
+    e = TB.table(spark, sf, "events").select("event_id", "user_id")
+    i = F.col("event_id")
+    xff = F.when(i % 3 == 0, F.concat(F.lit(" 10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(" , 192.0.2.1"))).when(i % 3 == 1, F.lit(""))
+    peer = F.when(i % 5 != 0, F.concat(F.lit("198.51.100."), (i % 250).cast("string")))
+    return e.select("event_id", AU.client_ip(xff, peer).alias("ip"))
+
+
 @register("boundary_alerts")
 def q_boundary_alerts(spark, sf):
     return AU.boundary_alerts(_audit(spark, sf)).select("event_id", "timestamp", "event", "session_id", "provider")
@@ -338,21 +438,28 @@ def q_mask_cells(spark, sf):
 
 @register("remask_turns")
 def q_remask_turns(spark, sf):
-    """M7: a task's history (its document as turn -1, then the chat turns) re-masked with the
-    values of the document's vault, longest value first."""
-    vault = cut_lineage(M.vault_rows(_masked_docs(spark, sf)))
+    """M7: every task's history (its document as turn -1, then the chat turns, whose user quotes
+    the document's first value) re-masked with the values of the document's vault."""
+    vault = cut_lineage(M.vault_rows(_masked_docs(spark, sf), with_start=True))
     docs = TB.documents(spark, sf).select(F.col("doc_id").alias("conv_id"), F.lit(-1).cast("bigint").alias("turn"),
                                           F.lit("file").alias("role"), "text")
-    conv_ids = TB.conversations(spark, sf).select("conv_id").distinct()
-    history = docs.join(conv_ids, "conv_id", "left_semi").unionByName(TB.conversations(spark, sf))
-    return M.remask(history, vault, "conv_id", "text", ["conv_id", "turn"])
+    return M.remask(docs.unionByName(_quoting_turns(spark, sf, vault)), vault, "conv_id", "text", ["conv_id", "turn"])
+
+
+def _quoting_turns(spark, sf, vault):
+    """Chat turns; those of the user end with the first value of the conversation's document."""
+    first = vault.groupBy("session_id").agg(F.min_by("value", "first_start").alias("quoted"))
+    c = TB.conversations(spark, sf)
+    j = c.join(first, F.col("conv_id").cast("string") == F.col("session_id"), "left")
+    text = F.when((F.col("role") == "user") & F.col("quoted").isNotNull(), F.concat_ws(" ", "text", "quoted")).otherwise(F.col("text"))
+    return j.select("conv_id", "turn", "role", text.alias("text"))
 
 
 # -- conversations and tasks ---------------------------------------------------
 
 
 def _summary(spark, sf):
-    return CV.conv_summary(TB.conversations(spark, sf), TB.tasks(spark, sf), TB.files(spark, sf))
+    return CV.conv_summary(TB.conversations(spark, sf), TB.tasks(spark, sf), TB.files(spark, sf), CV.TITLE_CHARS, CV.PREVIEW_CHARS)
 
 
 @register("conv_summary")
@@ -370,8 +477,18 @@ def q_conv_options(spark, sf):
     return CV.conv_options(_summary(spark, sf))
 
 
+@register("conv_list")
+def q_conv_list(spark, sf):
+    owners = _owned_tasks(spark, sf).select(F.col("ident_user_id").alias("owner"), "task_id")
+    return CV.conv_list(_summary(spark, sf), owners)
+
+
 @register("owned_tasks")
 def q_owned_tasks(spark, sf):
+    return _owned_tasks(spark, sf)
+
+
+def _owned_tasks(spark, sf):
     recs = TB.task_records(spark, sf).select("task_id", "user_id", "username")
     ids = TB.table(spark, sf, "customer").select(
         F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("ident_user_id"),
@@ -381,14 +498,15 @@ def q_owned_tasks(spark, sf):
 
 
 def _answers(spark, sf):
-    """Assistant turns; those of completed tasks end with a solution block holding the order's sheet dump."""
+    """Chat turns; the assistant's of completed tasks end with a solution block holding the order's sheet
+    dump: all of them in even conversations, in odd ones only the first two turns' (later answers are plain)."""
     conv = TB.conversations(spark, sf)
     tasks = TB.tasks(spark, sf).select(F.col("task_id").alias("conv_id"), "status")
     dumps = derived.order_sheet_dump(spark, sf).select(F.col("doc_id").alias("conv_id"), F.col("text").alias("dump"))
     j = conv.join(tasks, "conv_id", "left").join(dumps, "conv_id", "left")
     tag = R.SOLUTION_TAG
     text = F.when(
-        (F.col("role") == "assistant") & (F.col("status") == "completed"),
+        (F.col("role") == "assistant") & (F.col("status") == "completed") & ((F.col("conv_id") % 2 == 0) | (F.col("turn") < 2)),
         F.concat(F.col("text"), F.lit(f"\n<{tag}>\n"), F.col("dump"), F.lit(f"\n</{tag}>")),
     ).otherwise(F.col("text"))
     return j.select("conv_id", "turn", "role", text.alias("text"))
@@ -409,19 +527,34 @@ def q_solution_extract(spark, sf):
 @register("task_state")
 def q_task_state(spark, sf):
     res = CV.result_text(_answers(spark, sf)).withColumnRenamed("conv_id", "task_id")
-    t = TB.tasks(spark, sf).join(res, "task_id", "left")
-    return CV.task_state(t, F.col("solution_text"))
+    t = VT.expire_task_contexts(TB.tasks(spark, sf), AS_OF, TASK_TTL_SECONDS)
+    return CV.task_state(t.join(res, "task_id", "left"), F.col("solution_text"))
 
 
 @register("outbound_payload")
 def q_outbound_payload(spark, sf):
-    return CV.outbound_payload(TB.conversations(spark, sf), TB.tasks(spark, sf))
+    payload, _ = _payload(spark, sf)
+    return payload
+
+
+def _payload(spark, sf):
+    m = cut_lineage(_masked_docs(spark, sf).select("doc_id", "masked_text", "tspans"))
+    vault = M.vault_rows(m, with_start=True)
+    docs = m.select(F.col("doc_id").alias("conv_id"), "masked_text")
+    return CV.outbound_payload(_quoting_turns(spark, sf, vault), docs, vault, TB.tasks(spark, sf)), vault
+
+
+@register("outbound_leaks")
+def q_outbound_leaks(spark, sf):
+    """Lines of the payload with a vault value in clear text: none."""
+    payload, vault = _payload(spark, sf)
+    return CV.payload_leaks(payload, vault)
 
 
 @register("task_file")
 def q_task_file(spark, sf):
     t = TB.tasks(spark, sf).select("task_id", "file_id")
-    f = TB.files(spark, sf)
+    f = TB.files(spark, sf).where("file_id % 4 <> 0")  # every fourth file is gone
     j = t.join(f, "file_id", "left")
     return j.select("task_id", "file_id", F.coalesce(F.col("filename"), F.lit("")).alias("filename"),
                     F.col("filename").isNotNull().alias("has_file"))
@@ -435,23 +568,37 @@ DEEP_TYPE = "SECRET_PROJECT"
 
 
 def _replies(spark, sf):
-    """(doc_id, text, spans, reply): the reply lists each candidate word of the fragment and a
-    declined form (last letter replaced by 'ą'), wrapped in chatter around the JSON array."""
+    """(doc_id, text, spans, replies): a reply per fragment of the text, so every character has been shown.
+
+    A reply lists each candidate word of its fragment and a declined form (last letter
+    replaced by 'ą'), wrapped in chatter around the JSON array.
+    """
     d = D.with_spans(_docs(spark, sf))
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(DP.fragment(F.col("text")), F.lit(CANDIDATE_WORD), 1)))
-    items = F.flatten(F.transform(words, lambda w: F.array(
-        F.struct(w.alias("text"), F.lit(DEEP_TYPE).alias("type")),
-        F.struct(F.concat(F.substring(w, 1, F.length(w) - 1), F.lit("ą")).alias("text"), F.lit(DEEP_TYPE).alias("type")),
-    )))
-    reply = F.concat(F.lit("Znalazłem:\n"), F.to_json(items), F.lit("\nKoniec."))
-    return d.withColumn("reply", reply)
+
+    def reply(fragment):
+        words = F.array_sort(F.array_distinct(F.regexp_extract_all(fragment, F.lit(CANDIDATE_WORD), F.lit(1))))
+        items = F.flatten(F.transform(words, lambda w: F.array(
+            F.struct(w.alias("text"), F.lit(DEEP_TYPE).alias("type")),
+            F.struct(F.concat(F.substring(w, F.lit(1), F.length(w) - 1), F.lit("ą")).alias("text"), F.lit(DEEP_TYPE).alias("type")),
+        )))
+        return F.concat(F.lit("Znalazłem:\n"), F.to_json(items), F.lit("\nKoniec."))
+
+    return d.withColumn("replies", F.transform(DP.fragments(F.col("text")), reply))
+
+
+@register("deep_fragments")
+def q_deep_fragments(spark, sf):
+    """Fragments cover the whole text: put together again they give its digest."""
+    size, overlap = R.DEEP_FRAGMENT_CHARS, 200
+    f = _docs(spark, sf).select("doc_id", DP.fragments(F.col("text"), size, overlap).alias("f"))
+    again = F.array_join(F.transform("f", lambda x, i: F.when(i == 0, x).otherwise(F.substring(x, overlap + 1, size))), "")
+    return f.select("doc_id", F.size("f").alias("n_fragments"), F.sha2(again, 256).alias("text_sha256"))
 
 
 @register("deep_align")
 def q_deep_align(spark, sf):
     r = _replies(spark, sf)
-    new = S.public(DP.deep_new_spans(F.col("text"), F.col("spans"), F.col("reply")))
-    return explode_spans_public(r.select("doc_id", new.alias("spans")))
+    return explode_spans_public(DP.with_new_spans(r).select("doc_id", F.col("deep_spans").alias("spans")))
 
 
 @register("deep_merge")
@@ -462,8 +609,22 @@ def q_deep_merge(spark, sf):
 
 @register("reply_salvage")
 def q_reply_salvage(spark, sf):
-    r = _replies(spark, sf)
-    return r.select("doc_id", F.size(DP.salvage(F.col("reply"))).alias("n_items"))
+    """Whole, cut, empty, incomplete and missing replies that name the document's source and language."""
+    d = TB.documents(spark, sf).select("doc_id", "source", "lang")
+
+    def item(text, kind="A"):
+        return F.concat(F.lit('{"text": "'), text, F.lit(f'", "type": "{kind}"}}'))
+
+    whole = F.concat(F.lit("Oto lista: ["), item(F.concat(F.lit(" "), F.col("source"), F.lit(" "))), F.lit(", "), item(F.col("lang")), F.lit("] tyle."))
+    k = F.col("doc_id") % 5
+    reply = (
+        F.when(k == 0, F.concat(F.lit("["), item(F.col("source"))))
+        .when(k == 1, F.concat(F.lit('["x", 7, {"text": "no type"}, '), item(F.lit("  ")), F.lit(", "), item(F.col("lang")), F.lit("]")))
+        .when(k == 2, F.lit("[]"))
+        .when(k == 3, whole)
+    )
+    items = DP.salvage(reply)
+    return d.select("doc_id", F.size(items).alias("n_items"), F.array_join(F.transform(items, lambda x: F.concat(x["type"], F.lit(":"), x["text"])), "|").alias("items"))
 
 
 @register("guard_rules")
@@ -474,10 +635,13 @@ def q_guard_rules(spark, sf):
 
 @register("guard_verdict")
 def q_guard_verdict(spark, sf):
-    """User turns as instructions; the following assistant turn as the guard's reply (none = timeout)."""
+    """User turns as instructions; the following assistant turn as the guard's reply (none = timeout),
+    in three of four conversations with a verdict word or both."""
     c = TB.conversations(spark, sf)
     u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("instruction"))
-    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    k = F.col("conv_id") % 4
+    said = F.when(k == 0, F.lit(" Zagrozenie!")).when(k == 1, F.lit("czyste")).when(k == 2, F.lit("ZAGROZENIE? Nie, CZYSTE")).otherwise(F.col("text"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), said.alias("reply"))
     j = u.join(a, ["conv_id", "turn"], "left")
     return j.select("conv_id", "turn", DP.guard_verdict(F.col("instruction"), F.col("reply")).alias("safe"),
                     DP.guard_verdict(F.col("instruction"), F.col("reply"), strict=True).alias("safe_strict"))
@@ -498,19 +662,31 @@ TASK_TTL_SECONDS = 3 * 365 * 24 * 3600
 @register("vault_roundtrip")
 def q_vault_roundtrip(spark, sf):
     v = M.vault_rows(_masked_docs(spark, sf))
-    sealed = VT.seal(v.withColumn("plain", F.col("value")), VAULT_PASSPHRASE)
-    good = VT.decrypt(F.col("value_enc"), VAULT_PASSPHRASE)
-    bad = VT.decrypt(F.col("value_enc"), "wrong-" + VAULT_PASSPHRASE)
-    return sealed.select("session_id", "token", (good == F.col("plain")).alias("roundtrip_ok"),
-                         bad.isNull().alias("wrong_key_fails"))
+    sealed = VT.seal(v, VAULT_PASSPHRASE)
+    return sealed.select("session_id", "token", VT.decrypt(F.col("value_enc"), VAULT_PASSPHRASE).alias("value"),
+                         VT.decrypt(F.col("value_enc"), "wrong-" + VAULT_PASSPHRASE).alias("wrong_key_value"))
+
+
+def _opened_vault(spark, sf):
+    return VT.open_vault(VT.seal(M.vault_rows(_masked_docs(spark, sf)), VAULT_PASSPHRASE), VAULT_PASSPHRASE)
 
 
 @register("vault_lookup")
 def q_vault_lookup(spark, sf):
-    v = M.vault_rows(_masked_docs(spark, sf))
-    opened = VT.open_vault(VT.seal(v, VAULT_PASSPHRASE), VAULT_PASSPHRASE)
-    maps = VT.session_maps(opened)
-    return maps.select("session_id", F.size("token_map").alias("n_tokens"), M.map_lines(F.col("token_map")).alias("token_map"))
+    return VT.session_entries(_opened_vault(spark, sf))
+
+
+@register("vault_sessions")
+def q_vault_sessions(spark, sf):
+    return VT.session_sizes(_opened_vault(spark, sf))
+
+
+@register("store_lookup")
+def q_store_lookup(spark, sf):
+    """The latest record of each of a list of keys."""
+    ev = TB.table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    keys = TB.table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"))
+    return VT.upsert_latest(VT.lookup(ev, keys, "user_id"), "user_id", "event_id")
 
 
 @register("upsert_latest")
@@ -534,26 +710,39 @@ def q_ttl_expired_tasks(spark, sf):
 
 @register("vault_after_expiry")
 def q_vault_after_expiry(spark, sf):
-    """T2 + T3: vault rows of expired task contexts removed; the rest keep an expiry one TTL after activity."""
-    t = VT.expire_task_contexts(TB.tasks(spark, sf), AS_OF, TASK_TTL_SECONDS)
-    v = M.vault_rows(_masked_docs(spark, sf))
-    sess = t.select(F.col("task_id").cast("string").alias("session_id"),
-                    (F.coalesce("last_activity_at", "created_at") + F.expr(f"INTERVAL {TASK_TTL_SECONDS} SECONDS")).alias("expires_at"))
-    vv = v.join(sess, "session_id", "left")
-    kept, _ = VT.vault_expired(vv, AS_OF)
+    """T2 + T3: an order is the task of the document with its key.  Vault rows of expired tasks are deleted;
+    of the rest, rows whose own expiry (one TTL after the order's last line) has passed are removed."""
+    o = TB.table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").alias("created_at"))
+    tasks = o.withColumn("last_activity_at", F.when(F.col("task_id") % 2 == 0, F.col("created_at")))
+    v, _ = VT.erase_expired_contexts(M.vault_rows(_masked_docs(spark, sf)), tasks, AS_OF, TASK_TTL_SECONDS)
+    li = TB.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
+    sess = li.select(F.col("l_orderkey").cast("string").alias("session_id"),
+                     (F.col("last").cast("timestamp") + F.expr(f"INTERVAL {FILE_TTL_SECONDS} SECONDS")).alias("expires_at"))
+    kept, _ = VT.vault_expired(v.join(sess, "session_id", "left"), AS_OF)
     return kept.select("session_id", "token", "type", "value")
 
 
 # -- ingest and sanitising ------------------------------------------------------
 
 
+def _uploads(spark, sf):
+    """Documents as uploaded texts; every tenth is empty, every tenth only white space."""
+    k = F.col("doc_id") % 10
+    return TB.documents(spark, sf).select("doc_id", F.when(k == 0, F.lit("")).when(k == 1, F.lit(" \n\t ")).otherwise(F.col("text")).alias("text"))
+
+
 @register("ingest_text")
 def q_ingest_text(spark, sf):
-    d = TB.documents(spark, sf).select("doc_id", "text")
-    ok, _ = BIN.ingest_text(d)
+    ok, _ = BIN.ingest_text(_uploads(spark, sf))
     return ok.select("doc_id", F.length("text").alias("n_chars"))
 
 
+@register("ingest_rejects")
+def q_ingest_rejects(spark, sf):
+    _, bad = BIN.ingest_text(_uploads(spark, sf))
+    return bad.select("doc_id")
+
+
 @register("sanitize_filename")
 def q_sanitize_filename(spark, sf):
     f = TB.files(spark, sf)
@@ -562,9 +751,13 @@ def q_sanitize_filename(spark, sf):
 
 @register("sanitize_error")
 def q_sanitize_error(spark, sf):
-    """Order texts used as failure messages: every identifier scrubbed, then cut to 200 characters."""
+    """Order texts used as failure messages, with an e-mail address and an account in front and, in every
+    third, a long tail: every identifier scrubbed, then cut to 200 characters."""
     o = _order_texts(spark, sf)
-    return o.select("doc_id", TX.sanitize_error(F.col("text")).alias("error"))
+    k = F.col("doc_id").cast("string")
+    message = F.concat(F.lit("user"), k, F.lit("@firma.example failed, account AB12 1234 5678 9012 3456 7890 1234; "), F.col("text"),
+                       F.when(F.col("doc_id") % 3 == 0, F.lit(" trace" * 40)).otherwise(F.lit("")))
+    return o.select("doc_id", TX.sanitize_error(message, 200).alias("error"))
 
 
 # -- batch twins of the streaming operators --------------------------------------

@@ -57,21 +57,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def spread(df: DataFrame, key: str | None = None, min_tasks: int | None = None) -> DataFrame:
-    """Make CPU-heavy row-local work use every core.
-
-    A scan of a few small files yields fewer tasks than cores; then the rows
-    are redistributed — hash-partitioned on ``key`` when given (a unique row
-    key: even, and no sort of the rows is needed to make it deterministic),
-    else round-robin.  A large scan already has far more input splits than
-    cores and is returned unchanged (no shuffle at scale).
+#: Session setting with the number of partitions for CPU-heavy work on texts (unset: the scan's own).
+TEXT_PARTITIONS = "spark.veilmark.textPartitions"
+
+
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Hash-partition ``df`` on a unique row key for CPU-heavy row-local work.
+
+    Only if the caller gives a number, here or as ``spark.veilmark.textPartitions``;
+    otherwise the plan is left as it is.  Of use where a table is a few files of one
+    row group each, which no split size can divide.
     """
-    try:
-        spark = df.sparkSession
-        want = min_tasks or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a remote session): leave the plan to the engine
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want, key) if key else df.repartition(want)
+    n = partitions or int(df.sparkSession.conf.get(TEXT_PARTITIONS, None) or 0)
+    return df.repartition(n, key) if n else df

@@ -1,8 +1,9 @@
 """Audit log as JSON lines: scan (S9), count (A8) and append sink.
 
-The log is read with a fixed schema (no inference pass over the data) in
-DROPMALFORMED mode: malformed lines are dropped and blank lines produce no
-row.  The sink appends day-partitioned files so later scans prune by day.
+The log is read as text and parsed without an inference pass: known fields get
+their types, all others go to a map, and lines that are no JSON object are split
+off with their text.  The sink appends day-partitioned files so later scans prune
+by day.
 """
 
 from __future__ import annotations
@@ -30,14 +31,50 @@ AUDIT_SCHEMA = T.StructType(
 )
 
 
+#: Known fields as they are read; a value of another kind is kept as text in ``extra``.
+KNOWN = [(f.name, f.dataType.simpleString()) for f in AUDIT_SCHEMA.fields]
+
+
+def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Raw JSON lines -> the columns of ``AUDIT_SCHEMA``, ``extra`` and ``corrupt``.
+
+    The log's schema is open.  A known field whose value has another type (such as
+    "3" for a number) is converted, or null if it cannot be; all other fields, and
+    the text of those that could not be read, are in the map ``extra``.  A line that
+    is no JSON object has its text in ``corrupt`` and nulls elsewhere; blank lines
+    give no row.
+    """
+    raw = lines.select(F.col(value)).where(F.col(value).rlike(r"\S"))
+    # values as text, whatever their kind
+    parsed = raw.withColumn("_map", F.from_json(F.col(value), "map<string,string>", {"mode": "PERMISSIVE"}))
+    ok = F.json_object_keys(F.col(value)).isNotNull() & F.col("_map").isNotNull()
+
+    def field(name: str, kind: str) -> Column:
+        text = F.try_element_at(F.col("_map"), F.lit(name))
+        if kind.startswith("array"):
+            return F.from_json(text, kind)
+        return text if kind == "string" else F.when(text.isNotNull(), text.try_cast(kind))
+
+    fields = {name: field(name, kind) for name, kind in KNOWN}
+    out = parsed.select(value, "_map", *[F.when(ok, c).alias(n) for n, c in fields.items()])
+    read = F.filter(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n, _ in KNOWN]), lambda n: n.isNotNull())
+    extra = F.map_filter(F.col("_map"), lambda k, v: v.isNotNull() & ~F.array_contains(read, k))
+    return out.select(*[n for n, _ in KNOWN], F.when(ok, extra).alias("extra"), F.when(~ok, F.col(value)).alias("corrupt"))
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed audit events; malformed and blank lines skipped."""
-    return spark.read.schema(AUDIT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    """Audit events with ``extra``; lines that are no JSON object are left out (see ``read_corrupt``)."""
+    return parse_lines(spark.read.option("recursiveFileLookup", "true").text(path)).where("corrupt IS NULL").drop("corrupt")
+
+
+def read_corrupt(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``read_audit`` leaves out."""
+    return parse_lines(spark.read.option("recursiveFileLookup", "true").text(path)).where("corrupt IS NOT NULL").select("corrupt")
 
 
 def count_lines(spark: SparkSession, path: str) -> int:
     """Non-blank lines, malformed ones included."""
-    return spark.read.text(path).filter(F.trim(F.col("value")) != "").count()
+    return spark.read.option("recursiveFileLookup", "true").text(path).filter(F.col("value").rlike(r"\S")).count()
 
 
 def with_audit_defaults(df: DataFrame, now: Column | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.sources.tables import table
+from veilmark.sources.tables import audit_events, table
 
 
 def _digits(expr: Column, n: int) -> Column:
@@ -74,9 +74,69 @@ FROM orders
 """
 
 
+def trade_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id = o_orderkey, text): an English sentence per order that names its customer, their country, the
+    order date, a foreign account, a wallet and an e-mail address at the end of the sentence."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("o_orderkey")
+    country = F.when(key % 2 == 1, F.lower("n_name")).otherwise(F.col("n_name"))
+    groups = [_digits((key * m + 7) % 10000, 4) for m in (3, 5, 7, 9)]
+    return j.select(
+        key.alias("doc_id"),
+        F.concat(
+            F.lit("On "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" party "), F.col("c_name"), F.lit(" of "), country,
+            F.lit(" paid from DE"), _digits(key % 100, 2), F.lit(" "), F.concat_ws(" ", *groups), F.lit(", wallet 1"),
+            F.substring(F.sha2(key.cast("string"), 256), 1, 33), F.lit(", write to buyer"), key.cast("string"), F.lit("@shop.example."),
+        ).alias("text"),
+    )
+
+
+TRADE_TEXT_SQL = """
+SELECT o_orderkey AS doc_id, c_name, CASE WHEN o_orderkey % 2 = 1 THEN lower(n_name) ELSE n_name END AS country,
+  'On ' || strftime(o_orderdate, '%Y-%m-%d') || ' party ' || c_name || ' of ' ||
+  CASE WHEN o_orderkey % 2 = 1 THEN lower(n_name) ELSE n_name END || ' paid from DE' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') ||
+  ' ' || lpad(CAST((o_orderkey * 3 + 7) % 10000 AS VARCHAR), 4, '0') || ' ' || lpad(CAST((o_orderkey * 5 + 7) % 10000 AS VARCHAR), 4, '0') ||
+  ' ' || lpad(CAST((o_orderkey * 7 + 7) % 10000 AS VARCHAR), 4, '0') || ' ' || lpad(CAST((o_orderkey * 9 + 7) % 10000 AS VARCHAR), 4, '0') ||
+  ', wallet 1' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 33) || ', write to buyer' || CAST(o_orderkey AS VARCHAR) || '@shop.example.' AS text
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+"""
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names (name, type): customers and suppliers as PERSON, nations as LOCATION."""
+    def named(t: str, col: str, kind: str) -> DataFrame:
+        return table(spark, sf_dir, t).select(F.col(col).alias("name"), F.lit(kind).alias("type"))
+
+    return named("customer", "c_name", "PERSON").unionByName(named("supplier", "s_name", "PERSON")).unionByName(named("nation", "n_name", "LOCATION"))
+
+
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, value): the audit log as raw JSON lines, with blank, malformed, mistyped and extended lines.
+
+    By event_id: 11 divides it: blank; else 13: malformed; else 17: the count is a
+    string and two more fields are present; else 19: the count is no number at all.
+    """
+    ev = audit_events(spark, sf_dir)
+    i = F.col("event_id")
+    count = F.coalesce(F.col("pii_count"), F.lit(0)).cast("string")
+    head = F.concat(F.lit('{"event_id":'), i.cast("string"), F.lit(',"event":"'), F.col("event"), F.lit('","session_id":"'), F.col("session_id"), F.lit('","pii_count":'))
+    line = (
+        F.when(i % 11 == 0, F.lit("  "))
+        .when(i % 13 == 0, F.concat(F.lit("{not json "), i.cast("string")))
+        .when(i % 17 == 0, F.concat(head, F.lit('"'), count, F.lit('","reason":"quota","size_bytes":'), (i * 3).cast("string"), F.lit("}")))
+        .when(i % 19 == 0, F.concat(head, F.lit('"many"}')))
+        .otherwise(F.concat(head, count, F.lit("}")))
+    )
+    return ev.select("event_id", line.alias("value"))
+
+
 def order_sheet_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A spreadsheet dump per order (doc_id = o_orderkey): two sheets, a line before any
-    header, a duplicate cell (the later line wins) and one free-text line."""
+    """A spreadsheet dump per order (doc_id = o_orderkey): two sheets, the first of them again at the
+    end, a line before any header, a duplicate cell (the later line wins), lines that look like cells
+    but have no column or no row of the format, and one free-text line."""
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
     )
@@ -94,6 +154,12 @@ def order_sheet_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("C2: "), F.col("o_totalprice").cast("string")),
         F.concat(F.lit("AB60: "), F.col("o_orderpriority")),
         F.lit("uwagi bez komórki"),
+        F.lit("Wynagrodzeniebrutto1: 5000"),
+        F.lit("Telef1: 5000"),
+        F.lit("XFE2: poza arkuszem"),
+        F.concat(F.lit("A99999999999999999999: "), k),
+        F.lit("[Arkusz: Zamówienie]"),
+        F.concat(F.lit("A2: "), k),
     ]
     return o.select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
 
@@ -107,6 +173,9 @@ SELECT o_orderkey AS doc_id,
   'A4: NIP' || chr(10) || 'B4: ' || lpad(CAST((o_orderkey * 7919 + 1234567) % 10000000000 AS VARCHAR), 10, '0') || chr(10) ||
   'B1: ' || CAST(o_orderkey AS VARCHAR) || '/v2' || chr(10) || '' || chr(10) ||
   '[Arkusz: Kwoty ]' || chr(10) || 'C2: ' || CAST(o_totalprice AS VARCHAR) || chr(10) ||
-  'AB60: ' || o_orderpriority || chr(10) || 'uwagi bez komórki' AS text
+  'AB60: ' || o_orderpriority || chr(10) || 'uwagi bez komórki' || chr(10) ||
+  'Wynagrodzeniebrutto1: 5000' || chr(10) || 'Telef1: 5000' || chr(10) || 'XFE2: poza arkuszem' || chr(10) ||
+  'A99999999999999999999: ' || CAST(o_orderkey AS VARCHAR) || chr(10) || '[Arkusz: Zamówienie]' || chr(10) ||
+  'A2: ' || CAST(o_orderkey AS VARCHAR) AS text
 FROM orders
 """
