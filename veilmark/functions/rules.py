@@ -340,6 +340,6 @@ def provider_catalog(spark: SparkSession, configured: DataFrame | None = None) -
     if configured is None:
         flag = F.col("provider") == F.lit("ollama")
         return models.withColumn("configured", flag)
-    keys = F.broadcast(configured.select("provider", (F.trim(F.coalesce("api_key", F.lit(""))) != "").alias("has_key")))
+    keys = configured.select("provider", (F.trim(F.coalesce("api_key", F.lit(""))) != "").alias("has_key"))
     j = models.join(keys, "provider", "left")
     return j.withColumn("configured", (F.col("provider") == "ollama") | F.coalesce(F.col("has_key"), F.lit(False))).drop("has_key")

@@ -108,14 +108,6 @@ def parse_docx(data: bytes) -> str:
     return "\n".join(out)
 
 
-def _col_letters(n: int) -> str:
-    s = ""
-    while n > 0:
-        n, r = divmod(n - 1, 26)
-        s = chr(65 + r) + s
-    return s
-
-
 def parse_xlsx(data: bytes) -> str:
     """Per sheet a ``[Arkusz: name]`` line then ``A1: value`` for non-empty stripped cells."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
