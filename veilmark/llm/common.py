@@ -23,6 +23,8 @@ from veilmark.session import ensure_checkpoint_dir
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 #: Bytes of text that a Python task holds in work arrays at a time.
 SLICE_BYTES = 4 << 20
+#: Longest text that may be in a training sample collected to the driver (its rows are bounded too).
+SAMPLE_CHARS = 200_000
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 

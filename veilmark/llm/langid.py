@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import flat, hash_sample, remainder, slices
+from veilmark.llm.common import SAMPLE_CHARS, flat, hash_sample, remainder, slices
 
 WINDOW = 256
 #: Filter widths (even) and the number of filters of each.
@@ -160,7 +160,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, per_language: int = TRAIN_TEXTS) -> ByteNet | None:
     """A network trained on a bounded sample of the labelled rows that are not held out."""
     m, r = HELD_OUT
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), m) != r))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (remainder(F.col("doc_id"), m) != r))
     sample = hash_sample(labelled.select("doc_id", "lang", "text"), "lang", per_language, ["doc_id", "text"])
     langs = sorted({x["lang"] for x in sample})
     if not langs:

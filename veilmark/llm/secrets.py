@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmark.functions.arrays import cut, text_blocks
 from veilmark.llm.common import free_name, marked, numbered, written
 
 
@@ -54,8 +55,6 @@ ADDED = [
 KINDS = BASE + ADDED
 #: Owners that make a value a widely copied example.
 COPIED_OWNERS = 3
-#: Characters of a text that are looked up together when spans are cut out of it.
-BLOCK = 4096
 
 
 def _hits(text: Column, kind: Kind) -> Column:
@@ -158,19 +157,6 @@ def _joined(columns: list[str]) -> Column:
     return F.concat_ws("\x1f", *[_named(F.col(c)) for c in columns])
 
 
-def _cut(blocks: Column, a: Column, b: Column) -> Column:
-    """Characters a to b (exclusive) of a text given as blocks of BLOCK characters."""
-    first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
-    head = F.coalesce(F.get(blocks, first), F.lit(""))
-    from_a = (a % BLOCK + 1).cast("int")
-    across = F.concat(
-        F.substring(head, from_a, F.lit(BLOCK)),
-        F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
-        F.substring(F.coalesce(F.get(blocks, last), F.lit("")), F.lit(1), (b % BLOCK).cast("int")),
-    )
-    return F.when(first == last, F.substring(head, from_a, (b - a).cast("int"))).otherwise(across)
-
-
 def redact(
     docs: DataFrame, owner: str = "source", repository: list[str] = ["source", "lang"],  # noqa: B006
     live: str = "[SECRET]", copied: str = "[EXAMPLE-SECRET]",
@@ -196,11 +182,11 @@ def redact(
     rows = marked(rows.drop(names["hits"], names["who"], names["repo"]), rid, bounds.select(rid), has)
     own = [F.col(f"`{c}`") for c in docs.columns]
     some = rows.where(F.col(has)).join(bounds.withColumnRenamed(rid, names["cut_of"]), F.col(rid) == F.col(names["cut_of"]))
-    some = some.withColumn(blocks, F.regexp_extract_all(F.col("text"), F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))).withColumn(size, F.length("text"))
+    some = some.withColumn(blocks, text_blocks(F.col("text"))).withColumn(size, F.length("text"))
     pieces = F.transform(cuts, lambda s, i: F.concat(
-        _cut(F.col(blocks), F.when(i == 0, F.lit(0)).otherwise(F.element_at(cuts, F.greatest(i, F.lit(1)))["stop"]), s["start"]),
+        cut(F.col(blocks), F.when(i == 0, F.lit(0)).otherwise(F.element_at(cuts, F.greatest(i, F.lit(1)))["stop"]), s["start"]),
         F.when(s["live"], F.lit(live)).otherwise(F.lit(copied))))
-    tail = _cut(F.col(blocks), F.element_at(cuts, -1)["stop"], F.col(size))
+    tail = cut(F.col(blocks), F.element_at(cuts, -1)["stop"], F.col(size))
     new = F.concat(F.array_join(pieces, ""), tail)
     out = []
     for c in docs.columns:

@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import hash_sample, remainder
+from veilmark.llm.common import SAMPLE_CHARS, hash_sample, remainder
 
-#: Bound of the training sample for each label value.
+#: Bound of the training sample for each label value (texts of up to SAMPLE_CHARS characters).
 TRAIN_TEXTS = 2000
 #: Rows with crc32(doc_id) mod 5 = 0 are held out.
 HELD_OUT = (5, 0)
@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_TEXTS) -> Gra
     if sample:
         chosen = docs.sparkSession.createDataFrame([(x["l_doc"], x["toxic"]) for x in sample], "l_doc long, toxic int")
         # two rows of the sample's size for each label at most, so the list of ids is small enough to send to every task
-        found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["l_doc"]).select("text", "toxic").limit(4 * per_label).collect()
+        found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["l_doc"]).where(F.length("text") <= SAMPLE_CHARS).select("text", "toxic").limit(4 * per_label).collect()
     kind: dict[str, list[int]] = {}
     for x in found:
         kind.setdefault(x["text"], []).append(x["toxic"])
