@@ -134,6 +134,10 @@ def test_compare_with_next(spark, extra):
             prints[next(iter(text_of[r["doc_id"]]))].add(r["fingerprint"])
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert all(len(p) == 1 for p in prints.values())
+    every = {int(r["fingerprint"], 16) for r in got}
+    for r in got:
+        want = sum(bin(int(r["fingerprint"], 16) ^ x).count("1") <= docprints.RADIUS for x in every)
+        assert r["n_near"] == (want if r["doc_id"] is not None and r["doc_id"] % docprints.QUERY_STEP == 0 else None)
 
 
 def test_neighbours_of_many_ids(spark):

@@ -40,6 +40,8 @@ BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Cells of the id histogram; buckets are runs of cells with about this many rows or more.
 ID_CELLS, NULL_CELLS, BUCKET_ROWS = 4096, 64, 64
 RADIUS = 3
+#: The stated set of searches: rows whose doc_id is divisible by this.
+QUERY_STEP = 20
 
 _LANES = 0x100000001
 
@@ -155,8 +157,13 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(next_text, F.lit(1), cut))
 
 
-def compare(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness to each other and to the next text's."""
+def compare(docs: DataFrame, radius: int = RADIUS, every: int = QUERY_STEP) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness to each other and to the next text's.
+
+    Rows whose doc_id is divisible by ``every`` are also searches against all rows:
+    ``n_near`` is the number of distinct fingerprints of texts within ``radius`` bits,
+    its own included (null for other rows).
+    """
     rows = with_next(docs)
     sha = F.sha2(edited(F.col("text"), F.col("next_text")), 256)
     # the digest travels as four longs, so that all aggregates have a fixed width
@@ -175,8 +182,14 @@ def compare(docs: DataFrame) -> DataFrame:
     cut = prints.where("kind = 1").select(F.col("rid").alias("e_rid"), F.col("fp").alias("cut"), "sha0", "sha1", "sha2", "sha3")
     following = prints.where("kind = 0").select(F.col("rid").alias("n_rid"), F.col("fp").alias("following"))
     joined = own.join(cut, F.col("rid") == F.col("e_rid")).join(following, F.col("next_rid") == F.col("n_rid"))
+    points = prints.where("kind = 0").select("fp").distinct()
+    asked = F.col("doc_id") % every == 0
+    found = near(prints.where("kind = 0").where(asked).select("fp").distinct(), points, radius)
+    found = found.groupBy("q").agg(F.count(F.lit(1)).alias("n_near"))
+    joined = joined.join(found, F.col("own") == F.col("q"), "left")
     return joined.select(
         "doc_id", "n_chars", F.concat(*[hexed(F.col(f"sha{i}")) for i in range(4)]).alias("edited_sha256"),
         hexed(F.col("own")).alias("fingerprint"), hexed(F.col("cut")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("cut")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
+        F.when(asked, F.col("n_near")).alias("n_near"),
     )
