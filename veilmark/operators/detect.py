@@ -8,7 +8,9 @@ scan stage of the text table, no shuffle, and whole texts are searched.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,12 +58,24 @@ def with_spans(
     """
     recs = list(recognizers) if recognizers is not None else R.default_base_recognizers()
     rls = list(rules) if rules is not None else R.business_rules()
-    text, base, added = F.col(text_col), f"_{out}_base", f"_{out}_rules"
-    staged = df.withColumn(base, _where_needed(text, recs, base_spans(text, recs))).withColumn(added, _where_needed(text, rls, rule_spans(text, rls)))
+    base, added = f"_{out}_base", f"_{out}_rules"
+    staged = df.withColumn(base, _stage("base", text_col, tuple(recs))).withColumn(added, _stage("rules", text_col, tuple(rls)))
     merged = S.merge_stages(F.col(base), F.col(added), R.THETA_ACROSS)
     return staged.withColumn(out, S.public(merged)).drop(base, added)
 
 
+def _stage(kind: str, text_col: str, rules: tuple[R.Rule, ...]) -> Column:
+    return _built(kind, text_col, rules, id(SparkContext._gateway))
+
+
+@lru_cache(maxsize=64)
+def _built(kind: str, text_col: str, rules: tuple[R.Rule, ...], gateway: int) -> Column:
+    """A stage's expression; putting it together takes thousands of calls to the JVM, so it is kept."""
+    text = F.col(text_col)
+    made = {"base": base_spans, "rules": rule_spans, "rules_raw": rule_spans_raw}[kind](text, rules)
+    return _where_needed(text, rules, made)
+
+
 def _where_needed(text: Column, rules: Sequence[R.Rule], spans: Column) -> Column:
     needs = [r.needs for r in rules]
     if not needs or None in needs:
@@ -90,8 +104,7 @@ def detect(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("doc_id
 
 def detect_stage(df: DataFrame, stage: str, text_col: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One stage only: ``base`` (P1), ``rules_raw`` (R1), ``rules`` (R2)."""
-    t = F.col(text_col)
-    expr = {"base": base_spans(t), "rules_raw": rule_spans_raw(t), "rules": rule_spans(t)}[stage]
+    expr = _stage(stage, text_col, tuple(R.default_base_recognizers() if stage == "base" else R.business_rules()))
     return explode_spans(df.select(*keys, S.public(expr).alias("spans")), list(keys))
 
 
