@@ -229,3 +229,13 @@ def test_lm_base_scores(spark, extra, monkeypatch):
 def test_trained_model_beats_word_frequencies_on_held_out_texts(spark):
     got = [r for r in QUERIES["op2_lm_scoring"](spark, SF).collect() if r["held_out"]]
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
+def test_texts_outside_the_starting_sample_train(spark):
+    held = next(i for i in range(100) if remainder(i, 10) == 0)
+    kept = next(i for i in range(100) if remainder(i, 10))
+    # longer than any text of the starting sample: only the pass over all windows sees it
+    rows = [(kept, "one two three " * 60_000, "en", "a", 1), (held, "one two three " * 100, "en", "a", 1)]
+    assert len(rows[0][1]) > lm.SAMPLE_CHARS
+    got = {r["doc_id"]: r for r in lm.score_documents(frame(spark, rows)).collect()}
+    assert got[held]["held_out"] and got[held]["score"] > got[held]["base_score"]
