@@ -239,3 +239,22 @@ def test_texts_outside_the_starting_sample_train(spark):
     assert len(rows[0][1]) > lm.SAMPLE_CHARS
     got = {r["doc_id"]: r for r in lm.score_documents(frame(spark, rows)).collect()}
     assert got[held]["held_out"] and got[held]["score"] > got[held]["base_score"]
+
+
+def test_rare_ids_follow_their_context():
+    m = tiny_model()
+    pairs = [(100, 2000), (200, 2500)]  # each first id is followed by its own id of the tail
+    assert all(m.vocabulary.klass[b] == attention.HEAD_CLASSES for _, b in pairs)
+    ids = np.array([x for k in np.random.default_rng(4).integers(0, 2, 3000) for x in pairs[k]])
+    x, first, y, wanted, _ = next(attention.windows(ids, np.array([0, len(ids)]), together=1 << 20))
+    m.train(x, first, y, wanted, steps=200)
+
+    def log_share(a, b):
+        x, first, y, wanted, _ = next(attention.windows(np.array([a, b]), np.array([0, 2])))
+        return m.log_probabilities(x, first, y)[0, 1]
+
+    assert log_share(100, 2000) > log_share(200, 2000) + 1 and log_share(200, 2500) > log_share(100, 2500) + 1
+
+
+def test_windows_have_the_full_context():
+    assert (attention.CONTEXT, attention.SCORED) == (32, 32) and attention.HEADS == 2
