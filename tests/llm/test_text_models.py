@@ -88,6 +88,16 @@ def test_grammar_clauses():
     assert marks("") == ({}, {})
 
 
+def test_every_clause_counts_with_its_own_marks():
+    insults = ["idiot", "moron", "loser", "scum", "jerk"]
+    w = {f"{i}$": toxicity.PRIOR["insult"] for i in insults} | {k: v for k, v in toxicity.PRIOR.items() if k not in ("insult", "stem")}
+    g = toxicity.Grammar(sorted(f"{i}$" for i in insults), w)
+    one = g.logit("Anna said Bob is not an idiot.") - w["constant"]
+    text = " ".join(f"Anna said Bob is not an {i}." for i in insults)
+    assert abs(g.logit(text) - (w["constant"] + 5 * one)) < 1e-9
+    assert abs(g.logit("You are an idiot. " * 40) - (w["constant"] + 40 * (w["idiot$"] + w["directed"]))) < 1e-9
+
+
 def test_composed_machine_equals_its_parts():
     rng = random.Random(4)
     machine = toxicity.Composed()

@@ -50,8 +50,6 @@ STEM_LETTERS = (3, 12)
 STEMS = 600
 #: Words between a mark and the insult it reaches.
 NEAR, NEGATION_SCOPE = 3, 3
-#: A text's matches of one entry count up to this.
-COUNT_CAP = 3.0
 
 # FIXED VALUES: word lists of the grammar (whole words, lower case)
 TARGETS = (
@@ -220,8 +218,8 @@ class Grammar:
         w = self.weights
         return (
             w["constant"]
-            + sum(w[e] * min(n, COUNT_CAP) for e, n in entries.items())
-            + sum(w[m] * min(n, COUNT_CAP) for m, n in marks.items())
+            + sum(w[e] * n for e, n in entries.items())
+            + sum(w[m] * n for m, n in marks.items())
         )
 
     def score(self, text: str | None) -> float:
@@ -310,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_TEXTS) -> Gra
     for i, t in enumerate(toxic + clean):
         for counts in grammar.matches(t):
             for k, n in counts.items():
-                x[i, place[k]] = min(n, COUNT_CAP)
+                x[i, place[k]] = n
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
     penalty = np.full(len(names), PENALTY)
     penalty[0] = 1e-3
