@@ -70,6 +70,18 @@ def test_ownership_separates_examples(spark):
     assert (got[20]["n_live"], got[20]["n_copied"]) == (0, 1)  # base spans stay, as copied examples
 
 
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    copied, live = "Qx7" * 8, "Zy9" + "aB1" * 7
+    rows = [(i, f"see {copied} there, token=EXAMPLE-KEY", f"l{i % 4}", "hot", 1) for i in range(40)]
+    rows += [(100 + i, f"see {live}", f"l{i % 3}", "hot", 1) for i in range(9)]
+    df = frame(spark, rows)
+    got = {r["doc_id"]: r for r in secrets.report(df).collect()}
+    assert all((got[i]["spans"], got[i]["n_live"], got[i]["n_copied"], got[i]["spread"]) == ("assign:36:53", 0, 1, "1:4") for i in range(40))
+    assert all((got[i]["spans"], got[i]["n_live"], got[i]["spread"]) == ("mixed:4:28", 1, "1:3") for i in range(100, 109))
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert texts[0] == f"see {copied} there, [EXAMPLE-SECRET]" and texts[100] == "see [SECRET]"
+
+
 @pytest.mark.parametrize("extra", ["", CLASHING])
 def test_redaction(spark, extra):
     rows = [r for r in secret_rows() if r[0] is not None]

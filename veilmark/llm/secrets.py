@@ -6,8 +6,8 @@ connection strings, and long strings that mix digits with letters of both cases.
 
 *Ownership.*  The hash of every candidate is counted over the whole corpus by
 distinct owners and distinct repositories, with two mergeable aggregations.  A
-value that ``COPIED_OWNERS`` owners or more have is a widely copied example;
-any other looks live.  Live candidates of the further kinds are added to the
+value that ``COPIED_OWNERS`` owners or ``COPIED_REPOSITORIES`` repositories or more
+have is a widely copied example; any other looks live.  Both numbers are returned.  Live candidates of the further kinds are added to the
 spans unless they overlap a base span; copied ones are not.
 
 Offsets are code points.  A pattern's matches and the text between them give the
@@ -55,6 +55,8 @@ ADDED = [
 KINDS = BASE + ADDED
 #: Owners that make a value a widely copied example.
 COPIED_OWNERS = 3
+#: Repositories that do so, be they of one owner.
+COPIED_REPOSITORIES = 4
 
 
 def _hits(text: Column, kind: Kind) -> Column:
@@ -82,8 +84,8 @@ def scanned(docs: DataFrame, text: Column, owner: Column, repository: Column, hi
     return docs.withColumns(cols)
 
 
-def spans_of(rows: DataFrame, rid: str, hits: str, who: str, where: str, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """All spans of the written table ``rows``: rid, kind (number), start, stop, live.
+def spans_of(rows: DataFrame, rid: str, hits: str, who: str, where: str, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
+    """All spans of the written table ``rows``: rid, kind (number), start, stop, live, and the value's owners and repositories.
 
     Base spans all stay; added spans are live ones that overlap no base span.
     """
@@ -115,9 +117,13 @@ def spans_of(rows: DataFrame, rid: str, hits: str, who: str, where: str, copied_
     places = found.groupBy("secret", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
     owners = places.groupBy("secret", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     spread = owners.groupBy("secret").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    copied = spread.where(F.col("owners") >= copied_owners).select(F.col("secret").alias("copied"))
-    judged = found.join(copied, found["secret"] == copied["copied"], "left").withColumn("live", F.col("copied").isNull())
-    return judged.where(F.col("live") | (F.col("kind") < len(BASE))).select(rid, "kind", "start", "stop", "live")
+    # values of one owner and one repository are not joined
+    shared = spread.where("owners > 1 OR repositories > 1").withColumnRenamed("secret", "shared")
+    one = F.lit(1).cast("long")
+    judged = found.drop("owner", "repository").join(shared, F.col("secret") == F.col("shared"), "left").select(
+        rid, "kind", "start", "stop", F.coalesce("owners", one).alias("owners"), F.coalesce("repositories", one).alias("repositories"))
+    judged = judged.withColumn("live", (F.col("owners") < copied_owners) & (F.col("repositories") < copied_repositories))
+    return judged.where(F.col("live") | (F.col("kind") < len(BASE)))
 
 
 def _digest(spans: Column) -> Column:
@@ -126,12 +132,19 @@ def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _spread(spans: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["owners"].cast("string"), s["repositories"].cast("string"))), ",")
+
+
 def report(docs: DataFrame, owner: str = "source", repository: list[str] = ["source", "lang"]) -> DataFrame:  # noqa: B006
-    """One row per document: counts, digests and the spans of all kinds, and how many are live or copied."""
+    """One row per document: counts, digests and the spans of all kinds, and how many are live or copied.
+
+    ``spread`` has ``owners:repositories`` of each span's value, in the order of ``spans``.
+    """
     work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *[F.col(c).cast("string").alias(c) for c in dict.fromkeys([owner, *repository])])
     scan = scanned(work, F.col("text"), _named(F.col(owner)), _joined(repository), "hits", "who", "repo")
     rows = numbered(scan.select("doc_id", "hits", "who", "repo"), "secrets", "rid")
-    one = F.struct("start", "kind", "stop")
+    one = F.struct("start", "kind", "stop", "owners", "repositories")
     base = F.col("kind") < len(BASE)
     counts = [F.count(F.when(F.col("kind") == i, 1)).alias(f"n_{k.name}") for i, k in enumerate(BASE)]
     of = spans_of(rows, "rid", "hits", "who", "repo").groupBy("rid").agg(
@@ -146,6 +159,7 @@ def report(docs: DataFrame, owner: str = "source", repository: list[str] = ["sou
         F.sha2(F.coalesce(_digest(F.col("base")), F.lit("")), 256).alias("base_sha256"),
         F.coalesce(_digest(F.col("all")), F.lit("")).alias("spans"),
         F.coalesce("n_live", none).alias("n_live"), F.coalesce("n_copied", none).alias("n_copied"),
+        F.coalesce(_spread(F.col("all")), F.lit("")).alias("spread"),
     )
 
 
