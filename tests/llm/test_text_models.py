@@ -98,6 +98,12 @@ def test_every_clause_counts_with_its_own_marks():
     assert abs(g.logit("You are an idiot. " * 40) - (w["constant"] + 40 * (w["idiot$"] + w["directed"]))) < 1e-9
 
 
+def test_stem_and_whole_word_of_one_spelling():
+    for entries in (["idiot", "idiot$"], ["idiot$", "idiot"]):
+        g = toxicity.Grammar(entries, {})
+        assert dict(g.matches("idiots and an idiot, idiotic")[0]) == {"idiot": 2, "idiot$": 1}
+
+
 def test_composed_machine_equals_its_parts():
     rng = random.Random(4)
     machine = toxicity.Composed()

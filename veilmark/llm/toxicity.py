@@ -157,11 +157,13 @@ class Grammar:
 
     def _build(self):
         auto = ahocorasick.Automaton()
+        spelled: dict[str, list[str]] = {}  # a spelling may be a stem and a whole word
         for e in self.entries:
-            auto.add_word(e.rstrip("$"), (len(e.rstrip("$")), e))
+            spelled.setdefault(e.rstrip("$"), []).append(e)
         for w in THREATS:
-            if w not in auto:
-                auto.add_word(w, (len(w), w + "$"))
+            spelled.setdefault(w, [w + "$"])
+        for w, found in spelled.items():
+            auto.add_word(w, (len(w), found))
         if len(auto):
             auto.make_automaton()
         self.automaton = auto
@@ -175,14 +177,15 @@ class Grammar:
         text = text.lower()
         starts: dict[int, str] = {}
         if len(self.automaton):
-            for end, (n, entry) in self.automaton.iter(text):
+            for end, (n, found) in self.automaton.iter(text):
                 a = end - n + 1
                 if a and (text[a - 1].isalnum()):
                     continue
-                if entry[-1] == "$" and end + 1 < len(text) and text[end + 1].isalnum():
-                    continue
-                if a not in starts or len(starts[a]) < len(entry):
-                    starts[a] = entry
+                for entry in found:
+                    if entry[-1] == "$" and end + 1 < len(text) and text[end + 1].isalnum():
+                        continue
+                    if a not in starts or len(starts[a]) < len(entry):
+                        starts[a] = entry
         if not starts:
             return entries, marks
         order = sorted(starts)
