@@ -33,4 +33,47 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
-ORACLE: dict[str, str] = {"op3_exact_dedup": OP3, "op4_url_filter": OP4}
+OP11 = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id,
+         list_inner_product(a.q, r.q)::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS k
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+   AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+)
+SELECT anchor_id, positive_id, k::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 10
+"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS item, coalesce(item_id::VARCHAR, '') AS item_id, {_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, item_id, least(len(w), 10) AS m, array_to_string(w[a:a + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS a FROM i WHERE len(w) > 0)
+), lengths AS (SELECT DISTINCT m FROM iw),
+dw AS (
+  SELECT k, m, a, array_to_string(w[a:a + m - 1], ' ') AS win
+  FROM (SELECT k, w, m, unnest(generate_series(1, len(w) - m + 1)) AS a FROM d, lengths)
+), h AS (SELECT k, item, item_id, dw.a, dw.m FROM dw JOIN iw USING (m, win)),
+words AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(generate_series(a, a + m - 1)) AS p FROM h) GROUP BY k),
+found AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT k, item, item_id FROM h) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (k) LEFT JOIN found USING (k)
+"""
+
+ORACLE: dict[str, str] = {"op3_exact_dedup": OP3, "op4_url_filter": OP4, "op11_hard_negatives": OP11, "op13_decontamination": OP13}
