@@ -31,6 +31,9 @@ AUDIT_SCHEMA = T.StructType(
 )
 
 
+#: Options for writing lines: times with microseconds (the default cuts them to milliseconds).
+TIMES_IN_FULL = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 #: Known fields as they are read; a value of another kind is kept as text in ``extra``.
 KNOWN = [(f.name, f.dataType.simpleString()) for f in AUDIT_SCHEMA.fields]
 
