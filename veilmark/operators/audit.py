@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
+from veilmark.operators.ordering import RANGE_ROWS, numbered_in_order, page
 
 
 def _is(event: list[str]) -> Column:
@@ -97,14 +98,16 @@ def audit_count(audit_lines: DataFrame) -> DataFrame:
     return audit_lines.filter(F.col("value").rlike(r"\S")).agg(F.count(F.lit(1)).alias("n_entries"))
 
 
-def audit_page(audit: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
-    """Newest first, rows [offset, offset+limit).  A limit outside 1..1000 or a negative offset is an error."""
+def audit_page(audit: DataFrame, offset: int = 0, limit: int = 100, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Newest first, rows [offset, offset+limit).  A limit outside 1..1000 or a negative offset is an error.
+
+    A deep page sorts only the part of the log that holds it (``ordering.page``).
+    """
     if not 1 <= int(limit) <= R.AUDIT_PAGE_MAX:
         raise ValueError(f"limit must be 1 to {R.AUDIT_PAGE_MAX}, not {limit}")
     if int(offset) < 0:
         raise ValueError(f"offset must not be negative, not {offset}")
-    ordered = audit.orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
-    return ordered.offset(int(offset)).limit(int(limit)) if offset else ordered.limit(int(limit))
+    return page(audit, ["timestamp", "event_id"], int(offset), int(limit), range_rows)
 
 
 def event_label(event: Column) -> Column:
@@ -157,43 +160,19 @@ def csv_value(name: str) -> Column:
 def audit_csv_lines(audit: DataFrame, cap: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """(line_no, event_id, line): the header at 0, then one CSV line per event, newest first.
 
-    Numbers come from a range sort and the sizes of its runs, so the events are never
-    in one task.  ``cap`` reproduces the export limit.
+    Numbers come from a range sort of the keys and the sizes of its runs, so the events
+    are never in one task, whatever their timestamps.  ``cap`` reproduces the export limit.
     """
     cols = columns or CSV_COLUMNS
     a = latest(audit, cap)
     body = a.select("event_id", "timestamp", F.concat_ws(",", *[_csv_field(csv_value(c)) for c in cols]).alias("line"))
-    numbered = numbered_in_order(body, ["timestamp", "event_id"], "line_no")
+    newest = ["timestamp", "event_id"]
+    numbered = numbered_in_order(body, newest, [F.col(c).desc() for c in newest], "line_no")
     header = audit.sparkSession.range(1).select(
         F.lit(0).cast("bigint").alias("line_no"), F.lit(None).cast("bigint").alias("event_id"), F.lit(",".join(cols)).alias("line"))
     return header.unionByName(numbered.select("line_no", "event_id", "line"))
 
 
-def numbered_in_order(df: DataFrame, newest_first: list[str], name: str, runs: int = 64) -> DataFrame:
-    """``df`` numbered from 1 in descending order of its key columns.
-
-    The first key is a timestamp; its values' quantiles (a bounded list) cut the
-    table into runs, each numbered in its own task, and the sizes of the runs before
-    give the offset.
-    """
-    first, *_ = newest_first
-    at = F.unix_micros(F.col(first).cast("timestamp"))
-    q = df.select(F.percentile_approx(at, [i / runs for i in range(1, runs)], 1000)).first()[0] or []
-    cuts = sorted(set(q), reverse=True)
-    run = F.lit(0)
-    for c in cuts:
-        run = run + F.when(at.isNull() | (at < c), 1).otherwise(0)
-    dealt = df.withColumn("_run", run)
-    sizes = {r[0]: r[1] for r in dealt.groupBy("_run").count().collect()}  # one row per run
-    before, total = [], 0
-    for i in range(len(cuts) + 1):
-        before.append(total)
-        total += sizes.get(i, 0)
-    w = Window.partitionBy("_run").orderBy(*[F.col(c).desc() for c in newest_first])
-    offset = F.lit(before).cast("array<bigint>")[F.col("_run")]
-    return dealt.withColumn(name, offset + F.row_number().over(w)).drop("_run")
-
-
 def resolve_model(provider: Column, requested: Column) -> Column:
     """Requested model, or the provider's default when blank."""
     kv: list[Column] = []

@@ -9,12 +9,13 @@ masked document and then one per turn, instead of one concatenated string.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
 from veilmark.operators.joins import salted_join
 from veilmark.operators.mask import remask
+from veilmark.operators.ordering import ranked_in_groups
 from veilmark.operators.reinject import solution_extract
 
 # FIXED VALUES: characters of a list entry's preview and title
@@ -194,8 +195,9 @@ def result_text(answers: DataFrame, key: str = "conv_id") -> DataFrame:
 def conv_list(summary: DataFrame, owners: DataFrame) -> DataFrame:
     """Each owner's conversations, last activity first (ties by task): (owner, rank, task_id, title, last_activity_at).
 
-    ``owners``: (owner, task_id), from ``owned``.
+    ``owners``: (owner, task_id), from ``owned``.  An owner with very many conversations
+    (the fallback owner) is ranked by many tasks.
     """
-    j = owners.join(summary, "task_id")
-    w = Window.partitionBy("owner").orderBy(F.col("last_activity_at").desc_nulls_last(), F.col("task_id"))
-    return j.select("owner", F.row_number().over(w).alias("rank"), "task_id", "title", "last_activity_at")
+    j = owners.join(summary, "task_id").select("owner", "task_id", "title", "last_activity_at")
+    ranked = ranked_in_groups(j, "owner", ["last_activity_at", "task_id"], [F.col("last_activity_at").desc_nulls_last(), F.col("task_id")], "rank")
+    return ranked.select("owner", F.col("rank").cast("int").alias("rank"), "task_id", "title", "last_activity_at")

@@ -6,6 +6,7 @@ plain scalar columns named exactly like the matching oracle SQL.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,9 @@ from veilmark.operators import reinject as RJ
 from veilmark.operators import sheets as SH
 from veilmark.operators import vault as VT
 from veilmark.operators import summary as SM
-from veilmark.session import cut_lineage, spread
+from veilmark.operators.keyed_store import KeyedStore
+from veilmark.session import cut_lineage, shared_path, spread
+from veilmark.streaming import arrivals as AR
 from veilmark.streaming import audit_stream as ST
 from veilmark.sources import audit_json as AJ
 from veilmark.sources import binary as BIN
@@ -170,14 +173,18 @@ ODD_TYPES = ["IT-INFRA 2", "PERSON", "zażółć/9"]
 
 @register("mask_overlaps")
 def q_mask_overlaps(spark, sf):
-    """Spans that overlap in two characters, and types outside the token grammar: masked and restored."""
-    d = _docs(spark, sf).where(F.length("text") >= 30)
+    """Spans that overlap, of any length (empty ones in the shortest texts), and types outside the token grammar:
+    masked and restored."""
+    d = _docs(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))
+    n = F.length("text")
 
     def span(a, b, kind, score):
-        return F.struct(F.substring("text", a + 1, b - a).alias("text"), F.lit(kind).alias("type"), F.lit(a).alias("start"),
-                        F.lit(b).alias("end"), F.lit(score).alias("score"), F.lit("given").alias("source"))
+        a, b = a.cast("int"), b.cast("int")
+        return F.struct(F.substring("text", a + 1, b - a).alias("text"), F.lit(kind).alias("type"), a.alias("start"),
+                        b.alias("end"), F.lit(score).alias("score"), F.lit("given").alias("source"))
 
-    spans = F.array(span(0, 10, ODD_TYPES[0], 1.0), span(8, 20, ODD_TYPES[1], 0.9), span(25, 30, ODD_TYPES[2], 0.8)).cast(S.PUBLIC_SPANS_TYPE)
+    spans = F.array(span(F.lit(0), F.floor(n / 3), ODD_TYPES[0], 1.0), span(F.floor(n / 4), F.floor(n * 2 / 3), ODD_TYPES[1], 0.9),
+                    span(F.floor(n * 5 / 6), n, ODD_TYPES[2], 0.8)).cast(S.PUBLIC_SPANS_TYPE)
     m = M.mask(d.withColumn("spans", spans))
     return m.select("doc_id", "masked_text", RJ.reinject_text(F.col("masked_text"), F.col("token_map")).alias("restored"))
 
@@ -280,8 +287,27 @@ def q_token_pieces(spark, sf):
 
 @register("erase_sessions")
 def q_erase_sessions(spark, sf):
+    """S14 on the bucketed vault: only buckets with an erased session are rewritten."""
     vault = M.vault_rows(_masked_docs(spark, sf))
-    return vault.join(_erase_list(spark, sf), "session_id", "left_anti")
+    store = KeyedStore(spark, shared_path(spark, "vault"), "session_id", ["session_id", "token", "value"], "type",
+                       "session_id string, token string, type string, value string")
+    store.append(vault)
+    store.erase(_erase_list(spark, sf))
+    return store.rows()
+
+
+@register("store_compact")
+def q_store_compact(spark, sf):
+    """Events appended in waves as versions of their session's row, one session in ten erased in between, then compacted."""
+    ev = TB.table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    store = KeyedStore(spark, shared_path(spark, "store"), "user_id", ["user_id"], "event_id", "user_id long, event_id long, ts timestamp, event_type string")
+    waved = ev.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("wave", AR.day_waves(ev, "ts"))
+    for k in range(AR.WAVES):
+        if k == AR.WAVES - 1:
+            store.erase(ev.where("user_id % 10 = 0").select("user_id"))
+        store.append(waved.where(F.col("wave") == k).drop("wave"))
+    store.compact()
+    return store.latest()
 
 
 # -- audit log ---------------------------------------------------------------
@@ -348,6 +374,33 @@ def q_audit_page(spark, sf):
     )
 
 
+@register("audit_page_deep")
+def q_audit_page_deep(spark, sf):
+    """W4 at nine tenths of the log: only the part of the time axis that holds the page is sorted."""
+    a = _audit(spark, sf).select("event_id", "timestamp", "event", "session_id")
+    return AU.audit_page(a, offset=a.count() * 9 // 10, limit=1000, range_rows=5_000)
+
+
+# FIXED VALUE: the time that lines without one are given
+LOGGED_AT = "2030-01-01 00:00:00"
+
+
+@register("audit_days")
+def q_audit_days(spark, sf):
+    """The log written by the sink (incidents come without a time), its first day rewritten with hidden users,
+    then read back in two ranges of days."""
+    a = _audit(spark, sf).select("event_id", "timestamp", "event", "session_id", "user")
+    a = a.withColumn("timestamp", F.when(~F.col("event").isin(*R.INCIDENT_EVENTS), F.col("timestamp")))
+    low, high = a.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
+    path, now = shared_path(spark, "log"), F.lit(LOGGED_AT).cast("timestamp")
+    AJ.append_audit(a, path, now)
+    AJ.rewrite_days(a.where(F.to_date("timestamp") == F.lit(low)).withColumn("user", F.lit("***")), path, now)
+    cut = low + (high - low) // 2
+    read = [AJ.read_audit(spark, path, last_day=str(cut)), AJ.read_audit(spark, path, first_day=str(cut + datetime.timedelta(days=1)))]
+    parts = [r.select("event_id", "timestamp", "event", "user", "data_left_boundary", F.lit(k).alias("part")) for k, r in enumerate(read)]
+    return parts[0].unionByName(parts[1])
+
+
 @register("audit_csv_lines")
 def q_audit_csv_lines(spark, sf):
     return AU.audit_csv_lines(_audit(spark, sf))
@@ -553,9 +606,9 @@ def q_outbound_leaks(spark, sf):
 
 @register("task_file")
 def q_task_file(spark, sf):
-    t = TB.tasks(spark, sf).select("task_id", "file_id")
-    f = TB.files(spark, sf).where("file_id % 4 <> 0")  # every fourth file is gone
-    j = t.join(f, "file_id", "left")
+    """The file of every task; a task is an order, its file the document with its key, which most do not have."""
+    t = TB.table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderkey").alias("file_id"))
+    j = t.join(TB.files(spark, sf), "file_id", "left")
     return j.select("task_id", "file_id", F.coalesce(F.col("filename"), F.lit("")).alias("filename"),
                     F.col("filename").isNotNull().alias("has_file"))
 
@@ -685,7 +738,7 @@ def q_vault_sessions(spark, sf):
 def q_store_lookup(spark, sf):
     """The latest record of each of a list of keys."""
     ev = TB.table(spark, sf, "events").select("user_id", "event_id", "event_type")
-    keys = TB.table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"))
+    keys = TB.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     return VT.upsert_latest(VT.lookup(ev, keys, "user_id"), "user_id", "event_id")
 
 
@@ -726,9 +779,9 @@ def q_vault_after_expiry(spark, sf):
 
 
 def _uploads(spark, sf):
-    """Documents as uploaded texts; every tenth is empty, every tenth only white space."""
-    k = F.col("doc_id") % 10
-    return TB.documents(spark, sf).select("doc_id", F.when(k == 0, F.lit("")).when(k == 1, F.lit(" \n\t ")).otherwise(F.col("text")).alias("text"))
+    """Every document as an uploaded text, and for each label one further upload that is empty or only white space."""
+    blank = TB.table(spark, sf, "labels").select((-1 - F.col("doc_id")).alias("doc_id"), F.when(F.col("quality") == 0, "").otherwise(" \n\t ").alias("text"))
+    return TB.documents(spark, sf).select("doc_id", "text").unionByName(blank)
 
 
 @register("ingest_text")

@@ -65,32 +65,70 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return out.select(*[n for n, _ in KNOWN], F.when(ok, extra).alias("extra"), F.when(~ok, F.col(value)).alias("corrupt"))
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
+def log_lines(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+    """Lines of a log folder; of a log written by ``append_audit`` only the files of the days asked for are read.
+
+    A folder without day partitions is read with all its subfolders; then days cannot be asked for.
+    """
+    lines = spark.read.text(path)
+    if DAY not in lines.columns:
+        if first_day or last_day:
+            raise ValueError(f"{path} is not partitioned by {DAY}")
+        return spark.read.option("recursiveFileLookup", "true").text(path)
+    for day, keep in ((first_day, F.col(DAY) >= F.lit(first_day).cast("date")), (last_day, F.col(DAY) <= F.lit(last_day).cast("date"))):
+        lines = lines.where(keep) if day else lines
+    return lines.select("value")
+
+
+def read_audit(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
     """Audit events with ``extra``; lines that are no JSON object are left out (see ``read_corrupt``)."""
-    return parse_lines(spark.read.option("recursiveFileLookup", "true").text(path)).where("corrupt IS NULL").drop("corrupt")
+    return parse_lines(log_lines(spark, path, first_day, last_day)).where("corrupt IS NULL").drop("corrupt")
 
 
 def read_corrupt(spark: SparkSession, path: str) -> DataFrame:
     """The lines that ``read_audit`` leaves out."""
-    return parse_lines(spark.read.option("recursiveFileLookup", "true").text(path)).where("corrupt IS NOT NULL").select("corrupt")
+    return parse_lines(log_lines(spark, path)).where("corrupt IS NOT NULL").select("corrupt")
 
 
 def count_lines(spark: SparkSession, path: str) -> int:
     """Non-blank lines, malformed ones included."""
-    return spark.read.option("recursiveFileLookup", "true").text(path).filter(F.col("value").rlike(r"\S")).count()
+    return log_lines(spark, path).filter(F.col("value").rlike(r"\S")).count()
 
 
 def with_audit_defaults(df: DataFrame, now: Column | None = None) -> DataFrame:
-    """Add the UTC timestamp (when missing) and ``data_left_boundary`` default False."""
+    """The UTC timestamp where there is none, and ``data_left_boundary`` False where nothing is said."""
     ts = now if now is not None else F.current_timestamp()
-    out = df
-    if "timestamp" not in df.columns:
-        out = out.withColumn("timestamp", ts)
+    given = F.coalesce(F.col("timestamp").cast("timestamp"), ts) if "timestamp" in df.columns else ts
     flag = F.coalesce(F.col("data_left_boundary"), F.lit(False)) if "data_left_boundary" in df.columns else F.lit(False)
-    return out.withColumn("data_left_boundary", flag)
+    return df.withColumn("timestamp", given).withColumn("data_left_boundary", flag)
+
+
+#: Partition column of a log that the sink writes.
+DAY = "day"
+
+
+def append_audit(df: DataFrame, path: str, now: Column | None = None) -> None:
+    """Append events as JSON lines, partitioned by day (task-level files, commit protocol instead of a lock).
+
+    Rows are dealt by (day, hash) so that a day has few files and a busy day many writers.
+    """
+    _by_day(with_audit_defaults(df, now)).write.mode("append").partitionBy(DAY).options(**TIMES_IN_FULL).json(path)
+
+
+def rewrite_days(df: DataFrame, path: str, now: Column | None = None) -> None:
+    """Replace the days that occur in ``df`` by its rows and leave all others as they are (dynamic partition overwrite).
+
+    Run again after a failure it gives the same days.  ``df`` must not be read from the
+    days that it replaces.
+    """
+    out = _by_day(with_audit_defaults(df, now))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).options(**TIMES_IN_FULL).json(path)
+
+
+#: Files of a day that one write makes at most.
+DAY_FILES = 16
 
 
-def append_audit(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Append events, partitioned by day (task-level files, commit protocol instead of a lock)."""
-    out = with_audit_defaults(df).withColumn("day", F.to_date("timestamp"))
-    out.write.mode("append").partitionBy("day").format(fmt).save(path)
+def _by_day(df: DataFrame) -> DataFrame:
+    dated = df.withColumn(DAY, F.to_date("timestamp"))
+    return dated.repartition(DAY, F.pmod(F.xxhash64("timestamp", *[c for c in ("event_id", "session_id") if c in df.columns]), F.lit(DAY_FILES)))
