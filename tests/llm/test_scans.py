@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import CLASHING, frame, odd_rows, prose
 from veilmark.llm import docprints, secrets, urls
@@ -58,6 +60,71 @@ def test_secret_base_spans(spark, extra):
             assert r["n_live"] + r["n_copied"] == (r["spans"].count(",") + 1 if r["spans"] else 0)
 
 
+def brute_added(text):
+    """(start, kind, stop, value) of private-key blocks, passwords in connection strings and mixed strings, sign by sign."""
+    out = []
+    for m in re.finditer(r"-----BEGIN ([^-]*)-----", text):
+        end = re.match(r"[A-Za-z0-9+/=\s]+-----END ([^-]*)-----", text[m.end():])
+        if end and all(re.fullmatch(r"[A-Z ]*PRIVATE KEY", x) for x in (m[1], end[1])):
+            out.append((m.start(), 3, m.end() + end.end()))
+    scheme, stop = "abcdefghijklmnopqrstuvwxyz0123456789+.-", 0
+    for at in [m.start() for m in re.finditer("://", text)]:
+        a = at
+        while a > stop and text[a - 1] in scheme:
+            a -= 1
+        rest = re.match(r"[^\s:/@]+:([^\s:/@]+)@", text[at + 3:])
+        if rest and any(c.isascii() and c.islower() for c in text[a:at]):
+            stop = at + 3 + rest.end()
+            out.append((a, 4, stop, rest[1]))
+    for m in re.finditer("[A-Za-z0-9_-]+", text):
+        if len(m[0]) >= 20 and all(any(f(c) for c in m[0]) for f in (str.isdigit, str.islower, str.isupper)):
+            out.append((m.start(), 5, m.end()))
+    out = [x if len(x) == 4 else (*x, text[x[0]:x[2]]) for x in out]
+    return [x for x in out if len(x[3]) >= secrets.KINDS[x[1]].min_value]
+
+
+def test_added_spans_and_ownership_equal_brute_force(spark):
+    rows = [r for r in secret_rows() if r[0] is not None]
+    rows = list({r[0]: r for r in rows}.values())
+    rng = random.Random(4)
+    parts = ["postgres://u:pa55word!@h", "1s3+x://me:hunter2hunter2@", "a-b.c://:x@", "://u:longpassword@", " ", "/", "Aa1" * 9, "Zz9" * 8, "_-", "x",
+             "-----BEGIN PRIVATE KEY-----\n" + "Q" * 30 + "==\n-----END PRIVATE KEY-----", "-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----", "token=abcdefgh"]
+    rows += [(9000 + i, "".join(rng.choice(parts) for _ in range(rng.randint(1, 8))), rng.choice(["en", "de", None]), rng.choice(["p", "q", "r", None]), 1) for i in range(120)]
+    found = {}
+    for doc, text, lang, source, _ in rows:
+        text = text or ""
+        base = brute_base(text)
+        values = {0: lambda m: ASSIGN.match(text[m[0]:])[2]}
+        spans = [(a, k, b, values.get(k, lambda m: text[m[0]:m[2]])((a, k, b))) for a, k, b in base]
+        spans += [x for x in brute_added(text) if not any(x[0] < b and a < x[2] for a, _, b in base)]
+        found[doc] = (spans, source or "", (source or "", lang or ""))
+    owners, repos = defaultdict(set), defaultdict(set)
+    for spans, who, where in found.values():
+        for *_, v in spans:
+            owners[v].add(who)
+            repos[v].add(where)
+    live = lambda v: len(owners[v]) < secrets.COPIED_OWNERS and len(repos[v]) < secrets.COPIED_REPOSITORIES
+    got = {r["doc_id"]: r for r in secrets.report(frame(spark, rows)).collect()}
+    for doc, (spans, _, _) in found.items():
+        kept = sorted(x for x in spans if x[1] < 3 or live(x[3]))
+        assert got[doc]["spans"] == joined([x[:3] for x in kept]), doc
+        assert got[doc]["n_live"] == sum(live(x[3]) for x in kept)
+    every = [x for spans, _, _ in found.values() for x in spans if x[1] >= 3]
+    assert {x[1] for x in every} == {3, 4, 5} and {live(x[3]) for x in every} == {True, False}
+
+
+def test_very_many_matches_and_long_runs_stay_linear(spark):
+    """A dump of a million keys in one text; a million letters before an address; a million schemes without one."""
+    texts = [" ".join(f"AKIA{i:016d}" for i in range(1_000_000)), "acgt" * 250_000 + " ftp://me:hunter2hunter2@h", "a://" * 250_000, "1+" * 500_000]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    began = time.time()
+    out = {r["doc_id"]: r for r in secrets.report(frame(spark, rows)).select("doc_id", "n_access", "n_live", F.substring("spans", 1, 60).alias("head")).collect()}
+    assert time.time() - began < 240
+    assert out[0]["n_access"] == out[0]["n_live"] == 1_000_000
+    assert out[1]["head"] == "connect:1000001:1000025"
+    assert out[2]["n_live"] == out[3]["n_live"] == 0
+
+
 def test_ownership_separates_examples(spark):
     copied = "Qx7" * 8
     rows = [(i, f"see {copied} there", "en", f"s{i}", 1) for i in range(5)]

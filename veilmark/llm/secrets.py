@@ -49,7 +49,8 @@ BASE = [
 ]
 ADDED = [
     Kind("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 60, ("PRIVATE KEY-----",)),
-    Kind("connect", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]+)@", 1, 6, ("://",)),
+    # a scheme is tried only where none of its signs stands before, and never given back: linear in any run of letters
+    Kind("connect", r"(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]*+://[^\s:/@]++:([^\s:/@]++)@", 1, 6, ("://",)),
     Kind("mixed", r"[A-Za-z0-9_-]{20,}", 0, 20, (), r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
 ]
 KINDS = BASE + ADDED
@@ -110,7 +111,9 @@ def spans_of(rows: DataFrame, rid: str, hits: str, who: str, where: str, copied_
     near = Window.partitionBy(rid).orderBy("start", "kind")
     base = F.col("kind") < len(BASE)
     reach = F.max(F.when(base, F.col("stop"))).over(near.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.min(F.when(base, F.col("start"))).over(near.rowsBetween(1, Window.unboundedFollowing))
+    # what follows, as a running minimum in the reversed order (a frame up to the last row would be formed anew for each row)
+    back = Window.partitionBy(rid).orderBy(F.desc("start"), F.desc("kind"))
+    ahead = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     free = base | ((F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(ahead, F.col("stop")) >= F.col("stop")))
     found = written(found.withColumn("free", free).where("free").drop("free"), "secret-spans")
     # distinct owners and repositories of a value: merged before each exchange, however often it occurs
