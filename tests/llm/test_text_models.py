@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -62,8 +63,12 @@ def test_language_id_cases(spark, extra):
     texts = {r[0]: r[1] for r in rows}
     for i, r in by_id.items():
         if i is not None:
-            letter = bool(texts[i] and re.search(r"[^\W\d_]", texts[i]))
+            letter = any(unicodedata.category(c).startswith("L") for c in texts[i] or "")
             assert (r["lang_pred"] == "und") == (not letter)
+    odd = ["½²①", "12 _ ٣", "Ⅷ", "ª", "語", "ǅ", "1a"]
+    seen = langid.identify(frame(spark, rows + [(10_000 + i, t, None, None, 1) for i, t in enumerate(odd)]))
+    assert {odd[r["doc_id"] - 10_000]: r["lang_pred"] != "und" for r in seen.where("doc_id >= 10000").collect()} == {
+        t: any(unicodedata.category(c).startswith("L") for c in t) for t in odd}
     unlabelled = [(1, "some text", None, "a", 1)]
     assert [tuple(r) for r in langid.identify(frame(spark, unlabelled)).select("lang_pred", "score").collect()] == [("und", 0.0)]
     assert langid.identify(frame(spark, []).limit(0)).count() == 0

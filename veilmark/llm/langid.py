@@ -21,7 +21,6 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -44,7 +43,10 @@ EPOCHS, BATCH, RATE = 4, 32, 0.01
 TOGETHER = 256
 HELD_OUT = (4, 2)
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str | None) -> bool:
+    """Does a text hold a letter?  Fractions, superscripts and circled numbers are word characters, but no letters."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def windows_of(data: np.ndarray, off: np.ndarray, size: int = WINDOW, overlap: int = max(WIDTHS) - 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,7 +187,7 @@ def _predict_batches(batches: Iterator[pa.RecordBatch], net: ByteNet | None) ->
         for batch in slices(whole, "text", 1 << 20):
             texts = batch.column(1)
             n = batch.num_rows
-            lettered = np.fromiter((bool(t and _LETTER.search(t)) for t in texts.to_pylist()), bool, n)
+            lettered = np.fromiter((has_letter(t) for t in texts.to_pylist()), bool, n)
             lang, score = np.full(n, "und", object), np.where(lettered, 0.0, 1.0)
             if net:
                 win, text, used = windows_of(*flat(texts))
