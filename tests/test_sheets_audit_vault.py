@@ -44,6 +44,16 @@ def test_sheet_cells_and_grid(spark):
     assert grid[(2, "Arkusz1", 1)] == "\t\t" and grid[(2, "Arkusz1", 3)] == "\t\tb"
 
 
+def test_rows_beyond_the_format_are_dropped(spark):
+    """A line with a huge row number neither ends the job nor fills the grid with empty rows."""
+    df = spark.createDataFrame([(1, "A999999999999999: y\nB2: x\nA1048577: z"), (2, "A99999999: y"), (3, "A1048576: last")], "doc_id long, text string")
+    cells = SH.sheet_cells(df)
+    assert sorted((r.doc_id, r.row, r.col, r.value) for r in cells.collect()) == [(1, 2, 2, "x"), (3, 1048576, 1, "last")]
+    grid = SH.sheet_grid(cells.where("doc_id < 3")).collect()
+    assert [(r.doc_id, r.row, r.cells) for r in sorted(grid, key=lambda r: r.row)] == [(1, 1, "\t"), (1, 2, "\tx")]
+    assert SH.sheet_grid(cells).count() == 2 + 1048576
+
+
 def _rebuild_model(text):
     import re
     pat = re.compile(r"^([a-zA-Z]+)(\d+):\s*(.*)$")

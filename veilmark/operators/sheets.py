@@ -86,7 +86,7 @@ def _sections(lines: Column, default_sheet: str) -> Column:
 
 
 def _preview_cells(section: Column) -> Column:
-    cells = F.filter(section["body"], lambda x: x["row"].isNotNull() & col_index(x["letters"]).isNotNull())
+    cells = F.filter(section["body"], lambda x: (x["row"] <= R.SHEET_MAX_ROW) & col_index(x["letters"]).isNotNull())
     return F.transform(cells, lambda x: F.struct(
         section["section"].alias("section"), section["sheet"].alias("sheet"), x["i"].alias("line"), x["row"].alias("row"),
         col_index(x["letters"]).alias("col"), x["value"].alias("value")))
@@ -129,7 +129,8 @@ def parse_dump(text: Column, default_sheet: str = R.DEFAULT_SHEET_NAME, fallback
     """S6 (preview grammar) / S7 (rebuild grammar with ``fallback``): all cells, each line read once.
 
     Returns array<struct<section, sheet, line, row, col, value>>.  A cell line whose
-    letters are no column of the sheet format, or whose row is no number, is dropped.
+    letters are no column of the sheet format, or whose row is no number or beyond its
+    last row, is dropped.
     The preview grammar drops other unmatched lines; the rebuild grammar puts them in
     column A below the last row so far (a dropped cell line counts for that row),
     uses 'Sheet1' for a blank header name and cuts names to 31 characters.

@@ -264,7 +264,7 @@ def sheet_cells_ctes(src: str) -> str:
         f"cells0 AS (SELECT doc_id, i, section, sheet, TRY_CAST(regexp_extract(line, {CELL_PATTERN}, 2) AS BIGINT) AS \"row\", "
         f"{sheet_col_sql('line')} AS col, regexp_extract(line, {CELL_PATTERN}, 3) AS value FROM sheeted WHERE is_cell), "
         f"cells AS (SELECT doc_id, section, sheet, \"row\", col, arg_max(value, i) AS value "
-        f"FROM cells0 WHERE \"row\" IS NOT NULL AND col IS NOT NULL GROUP BY doc_id, section, sheet, \"row\", col)"
+        f"FROM cells0 WHERE \"row\" <= {R.SHEET_MAX_ROW} AND col IS NOT NULL GROUP BY doc_id, section, sheet, \"row\", col)"
     )
 
 

@@ -158,6 +158,7 @@ def order_sheet_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Telef1: 5000"),
         F.lit("XFE2: poza arkuszem"),
         F.concat(F.lit("A99999999999999999999: "), k),
+        F.concat(F.lit("A999999999999999: "), k),
         F.lit("[Arkusz: Zamówienie]"),
         F.concat(F.lit("A2: "), k),
     ]
@@ -175,7 +176,8 @@ SELECT o_orderkey AS doc_id,
   '[Arkusz: Kwoty ]' || chr(10) || 'C2: ' || CAST(o_totalprice AS VARCHAR) || chr(10) ||
   'AB60: ' || o_orderpriority || chr(10) || 'uwagi bez komórki' || chr(10) ||
   'Wynagrodzeniebrutto1: 5000' || chr(10) || 'Telef1: 5000' || chr(10) || 'XFE2: poza arkuszem' || chr(10) ||
-  'A99999999999999999999: ' || CAST(o_orderkey AS VARCHAR) || chr(10) || '[Arkusz: Zamówienie]' || chr(10) ||
+  'A99999999999999999999: ' || CAST(o_orderkey AS VARCHAR) || chr(10) ||
+  'A999999999999999: ' || CAST(o_orderkey AS VARCHAR) || chr(10) || '[Arkusz: Zamówienie]' || chr(10) ||
   'A2: ' || CAST(o_orderkey AS VARCHAR) AS text
 FROM orders
 """
