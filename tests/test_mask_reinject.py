@@ -148,3 +148,36 @@ def test_solution_extract(spark):
     assert (rows[0].s, rows[0].m) == ("wynik", "Intro  koniec")
     assert rows[1].m.startswith("Plik został przetworzony")
     assert (rows[2].s, rows[2].m) == (None, "bez tagów")
+
+
+def test_only_candidates_leave_the_texts(spark):
+    """The session's filter is asked before anything is exploded: rows follow the values found, not the characters."""
+    import random
+
+    rng = random.Random(5)
+    vault = spark.createDataFrame([(str(s), f"[P_{s:02x}{i:06x}]", f"Name{s}x{i}") for s in range(3) for i in range(40)], "session_id string, token string, value string")
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    texts = [(t % 4, t, "".join(rng.choice(letters) for _ in range(3000)) + (f" Name{t % 4}x{t % 50} " if t % 5 == 0 else "")) for t in range(60)]
+    turns = spark.createDataFrame(texts, "conv_id long, turn long, text string")
+    values = M.value_keys(M.inverse_pairs(vault))
+    got = M.candidate_grams(turns, values, "conv_id", "text").select("turn", F.size("_grams").alias("n")).collect()
+    characters = sum(len(t) for _, _, t in texts)
+    assert sum(r.n for r in got) < characters / 100
+    out = {r.turn: r.text for r in M.remask(turns, vault, "conv_id").collect()}
+    for s, t, text in texts:
+        want = text
+        if t % 5 == 0 and s < 3 and t % 50 < 40:
+            want = text.replace(f"Name{s}x{t % 50}", f"[P_{s:02x}{t % 50:06x}]")
+        elif t % 5 == 0 and s < 3:  # a shorter name inside a longer one
+            want = text.replace(f"Name{s}x{t % 50 // 10}", f"[P_{s:02x}{t % 50 // 10:06x}]")
+        assert out[t] == want
+
+
+def test_filters_of_a_session_of_any_size(spark):
+    many = spark.createDataFrame([("a", f"value number {i}", f"[X_{i:06x}]", 4, f"{i:04x}") for i in range(30_000)] + [("b", "é", "[X_1]", 1, "é")],
+                                 "session_id string, value string, token string, n int, gram string")
+    got = {r.session_id: r for r in M.session_filters(many).collect()}
+    assert got["a"].bits == M.FILTER_MOST and len(got["a"].words) <= M.FILTER_MOST // 64
+    assert got["b"].bits == 64 and got["b"].lengths == [1] and len(got["b"].words) == 1
+    held = many.join(M.session_filters(many).select("session_id", "bits", "words"), "session_id")
+    assert held.where(~M._may_hold(F.col("words"), F.col("bits"), F.col("gram"))).count() == 0

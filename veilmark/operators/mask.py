@@ -14,6 +14,7 @@ from veilmark.functions import rules as R
 from veilmark.functions import spans as S
 from veilmark.functions.arrays import cut, explode_kept, let, neighbours_distinct, text_blocks
 from veilmark.operators.joins import salted_join
+from veilmark.session import written
 
 DEFAULT_WIDTH = 12
 
@@ -162,33 +163,83 @@ def value_keys(inv: DataFrame) -> DataFrame:
     return found.select("session_id", "value", "n", F.col("k.gram").alias("gram"), F.col("k.token").alias("token"))
 
 
+#: Bits of a session's filter for each of its values, at least and at most; bits that a run sets.
+FILTER_BITS, FILTER_MOST, FILTER_HASHES = 16, 1 << 16, 2
+
+
+def _bit(gram: Column, bits: Column, k: int) -> Column:
+    return F.pmod(F.xxhash64(gram, F.lit(k)), bits)
+
+
+def session_filters(values: DataFrame) -> DataFrame:
+    """(session_id, lengths, bits, words): a Bloom filter of the keys of each session's values.
+
+    Filters are unions of bits, so parts of a session are merged by ``bit_or`` before
+    and after the exchange; a session of any size gives one row of at most
+    ``FILTER_MOST`` bits.  ``lengths`` are the key lengths that occur (1 to ``GRAM``).
+    """
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.least(F.greatest(F.col("values") * FILTER_BITS, F.lit(64)), F.lit(FILTER_MOST)))))
+    sizes = values.groupBy("session_id").agg(F.count(F.lit(1)).alias("values"), F.collect_set("n").alias("lengths")).select("session_id", "lengths", size.cast("bigint").alias("bits"))
+    each = values.select("session_id", "gram").distinct().join(sizes.select("session_id", "bits"), "session_id")
+    marks = each.select("session_id", "bits", F.explode(F.array(*[_bit(F.col("gram"), F.col("bits"), k) for k in range(FILTER_HASHES)])).alias("bit"))
+    words = marks.groupBy("session_id", F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
+    # at most FILTER_MOST / 64 words
+    filled = words.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("words"))
+    return sizes.join(filled, "session_id")
+
+
+def _may_hold(words: Column, bits: Column, gram: Column) -> Column:
+    """Has the filter all bits of a run of characters?"""
+    found = F.lit(True)
+    for k in range(FILTER_HASHES):
+        word = F.try_element_at(words, F.floor(_bit(gram, bits, k) / 64).cast("int"))
+        found = found & (F.coalesce(word, F.lit(0).cast("bigint")).bitwiseAND(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), (_bit(gram, bits, k) % 64).cast("int"))) != 0)
+    return found
+
+
+def candidate_grams(turns: DataFrame, values: DataFrame, session_key: str, text_col: str) -> DataFrame:
+    """``turns`` with ``_grams``: the runs of characters of each text that may be a key of its session's values.
+
+    The session's filter is brought to the text and tested there, run by run, so what
+    goes on from here are candidates and not characters.
+    """
+    filters = session_filters(values).withColumnRenamed("session_id", "_filter_of")
+    t = turns.withColumn("_sid", F.col(session_key).cast("string"))
+    met = salted_join(t, filters, F.col("_sid"), "_filter_of", F.xxhash64(text_col))
+
+    def tested(x: Column) -> Column:
+        grams = F.when(F.length(x["t"]) >= x["n"], _grams(x["t"], x["n"])).otherwise(F.array().cast("array<string>"))
+        return F.filter(grams, lambda g: _may_hold(F.col("words"), F.col("bits"), g))
+
+    by_length = F.transform("lengths", lambda n: let(F.struct(F.col(text_col).alias("t"), n.alias("n")), tested))
+    return met.withColumn("_grams", F.coalesce(F.flatten(by_length), F.array().cast("array<string>"))).drop("lengths", "bits", "words")
+
+
 def remask(turns: DataFrame, vault: DataFrame, session_key: str, text_col: str = "text",
            keys: list[str] | None = None) -> DataFrame:
     """M7: re-mask texts with every known value of their session (longest value first).
 
     A text and a value of its session meet only on (session, run of characters),
-    where the value's run is the one that fewest values of the session share.  The
-    match is checked in full, and a text's own matches are grouped back and applied.
-    Work follows the characters of the texts and the true matches, not texts x
-    values.  ``keys`` identify a text uniquely (default: session key + ``turn``).
+    where the value's run is the one that fewest values of the session share, and
+    only if the session's Bloom filter may hold the run.  The match is checked in
+    full against the text.  What is shuffled are candidates; texts without one are
+    not exploded.  ``keys`` identify a text uniquely (default: session key + ``turn``).
     """
     keys = list(keys) if keys is not None else [session_key, "turn"]
-    values = value_keys(inverse_pairs(vault))
-    known = values.select("session_id", "n").distinct().groupBy("session_id").agg(F.collect_set("n").alias("lengths"))  # 1 to GRAM
-    t = turns.withColumn("_tid", F.struct(*keys)).withColumn("_sid", F.col(session_key).cast("string"))
-    probes = salted_join(t.select("_tid", "_sid", text_col), known, F.col("_sid"), "session_id", F.xxhash64("_tid"), "inner")
-    probes = probes.select("_tid", "_sid", text_col, F.explode("lengths").alias("_n")).where(F.length(text_col) >= F.col("_n"))
-    probes = probes.select("_tid", "_sid", text_col, F.explode(let(F.struct(F.col(text_col).alias("t"), "_n"), lambda x: _grams(x["t"], x["_n"]))).alias("_gram"))
-    # the text stays out of the join: candidates first, then their check against the text
-    met = probes.select("_tid", "_sid", "_gram").join(values, (F.col("_sid") == values["session_id"]) & (F.col("_gram") == values["gram"]))
-    candidates = met.select("_tid", "value", "token")
-    checked = candidates.join(t.select(F.col("_tid").alias("_of"), F.col(text_col).alias("_text")), F.col("_tid") == F.col("_of"))
-    found = checked.where(F.contains(F.col("_text"), F.col("value"))).select("_tid", F.struct("value", "token").alias("_p"))
-    per_text = found.groupBy("_tid").agg(longest_first(F.collect_list("_p")).alias("_pairs"))  # values that the text holds
-    j = t.join(per_text, "_tid", "left")
+    values = written(value_keys(inverse_pairs(vault)), "value-keys")
+    t = candidate_grams(turns.withColumn("_tid", F.struct(*keys)), values, session_key, text_col)
+    probes = written(t.where(F.size("_grams") > 0).select("_tid", "_sid", "_grams"), "probes")
+    met = probes.select("_tid", "_sid", F.explode("_grams").alias("_gram")).join(values, (F.col("_sid") == values["session_id"]) & (F.col("_gram") == values["gram"]))
+    # values that the text may hold; those that it does not hold are left out beside the text
+    per_text = met.groupBy("_tid").agg(F.collect_set(F.struct("value", "token")).alias("_pairs")).withColumnRenamed("_tid", "_of")
+    plain = turns.withColumn("_tid", F.struct(*keys))
+    j = plain.join(per_text, F.col("_tid") == F.col("_of"), "left")
     empty = F.array().cast("array<struct<value:string,token:string>>")
-    out = j.withColumn(text_col, replace_values(F.col(text_col), F.coalesce(F.col("_pairs"), empty)))
-    return out.drop("_tid", "_sid", "_pairs")
+    held = longest_first(F.filter(F.coalesce(F.col("_pairs"), empty), lambda p: F.contains(F.col(text_col), p["value"])))
+    out = j.withColumn("_pairs", held).withColumn(text_col, replace_values(F.col(text_col), F.col("_pairs")))
+    return out.drop("_tid", "_of", "_pairs")
 
 
 def mask_cells(cells: DataFrame, vault: DataFrame, session_key: str, value_col: str = "value",
