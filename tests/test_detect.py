@@ -101,3 +101,18 @@ def test_whole_text_is_searched(spark):
     df = spark.createDataFrame([(0, text)], "doc_id long, text string")
     (r,) = D.detect(df).collect()
     assert r.text == "ola@sklep.example" and text[r.start:r.end] == r.text
+
+
+def test_gazetteer_names_of_any_length_and_other_endings(spark):
+    texts = spark.createDataFrame([
+        (1, "Rada Nadzorcza Spółki Handlu Zbożem i Mąką Wschód 1 radzi"), (2, "o projekcie Apollem i Apollo nic"), (3, "z Apollem, z APOLLEM"),
+        (4, "Nowy Apoll i nowym Apollami"), (5, "Apolliniusz"), (6, "Jan Kowalskim mówi"), (7, "Jan Kowalski i Jana Kowalskiego"), (8, "abc abcd abcde"), (9, None), (10, "Ewie"),
+    ], "doc_id long, text string")
+    names = spark.createDataFrame([("Rada Nadzorcza Spółki Handlu Zbożem i Mąką Wschód 1", "ORG"), ("Apollo", "PROJECT"), ("Jan Kowalski", "PERSON"), ("abc", "X"), ("Ewa", "PERSON"), ("", "X")],
+                                  "name string, type string")
+    literal = {(r.doc_id, r.text) for r in D.gazetteer_spans(texts, names).collect()}
+    assert literal == {(1, "Rada Nadzorcza Spółki Handlu Zbożem i Mąką Wschód 1"), (2, "Apollo"), (7, "Jan Kowalski"), (8, "abc")}
+    found = {(r.doc_id, r.text, r.start) for r in D.gazetteer_spans(texts, names, declined=True).collect()}
+    # the fallback only where the text has no literal hit; up to three letters after all but the last one
+    assert {x[:2] for x in found} - literal == {(3, "Apollem"), (3, "APOLLEM"), (4, "Apoll"), (4, "Apollami"), (6, "Jan Kowalskim")}
+    assert {x[2] for x in found if x[0] == 3} == {2, 13}

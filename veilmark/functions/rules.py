@@ -251,9 +251,8 @@ BASE_RECOGNIZERS: list[Rule] = [
     Rule("EMAIL_ADDRESS", r"[\w.+-]+@(?:[\w-]+\.)+\w+", 1.0, "base", needs="@"),
     Rule("IP_ADDRESS", rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", 0.6, "base", needs="[0-9]"),
 ]
-# Words of a text and of a gazetteer name, and the words a name may have.
+# Words of a text and of a gazetteer name.
 WORD_PATTERN = r"[\p{L}\p{N}#]+"
-GAZETTEER_WORDS = 8
 # Further recognizers a user may add to the stage-1 list (query ``detect_extra``).
 EXTRA_RECOGNIZERS: list[Rule] = [
     Rule("CRYPTO", r"\b(?:bc1|[13])[a-zA-HJ-NP-Z0-9]{25,39}\b", 1.0, "base", needs="[0-9]"),

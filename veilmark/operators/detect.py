@@ -166,26 +166,54 @@ def candidate_spans(df: DataFrame, key: str = "doc_id", text_col: str = "text")
 
 def gazetteer_spans(
     texts: DataFrame, names: DataFrame, key: str = "doc_id", text_col: str = "text", score: float = R.DEEP_SCORE, source: str = "gazetteer",
+    declined: bool = False,
 ) -> DataFrame:
     """P9 with a candidate table: long spans of every name (name, type) in every text.
 
-    Names match case-insensitively between word boundaries.  Both sides meet on the
-    lower-cased first word, so neither is broadcast and no text meets all names; a
-    text's row in the join holds a word and its place, not the text.  The rest of a
-    name is compared with the words that follow, kept as a short slice.  Of
-    overlapping names the longest stays.
+    Names match case-insensitively between word boundaries and may have any number of
+    words.  Both sides meet on the lower-cased first word, so neither is broadcast and
+    no text meets all names; a text is read once, and its row in the join holds a word
+    and its place, not the text.  The rest of a name is compared with the words that
+    follow, kept as a slice as long as the longest name.  Of overlapping names the
+    longest stays.
+
+    With ``declined`` (P10) a name that a text does not hold literally may have another
+    ending: all but its last letter, then up to three letters (names of four letters
+    are kept whole, shorter ones are not declined).  Names of several words meet on
+    their first word as before, those of one word on their stem.
     """
-    each = texts.select(key, word_places(F.col(text_col)).alias("w")).select(key, "w", F.posexplode_outer("w").alias("i", "word")).where("word IS NOT NULL")
-    sides = each.select(key, F.lower("word.text").alias("first"), F.slice("w", F.col("i") + 1, R.GAZETTEER_WORDS).alias("following"))
-    parts = names.select("type", word_places(F.col("name")).alias("parts")).where(F.size("parts").between(1, R.GAZETTEER_WORDS))
+    parts = names.select("type", word_places(F.col("name")).alias("parts")).where(F.size("parts") > 0)
     wanted = parts.select(
         "type", F.size("parts").alias("n"), F.lower(_phrase(F.col("parts"))).alias("phrase"), F.lower(F.get("parts", F.lit(0))["text"]).alias("first"),
     ).distinct()
-    got = sides.join(wanted, "first").withColumn("got", F.slice("following", F.lit(1), F.col("n"))).where(F.lower(_phrase(F.col("got"))) == F.col("phrase"))
+    longest = wanted.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    each = texts.select(key, word_places(F.col(text_col)).alias("w")).select(key, "w", F.posexplode_outer("w").alias("i", "word")).where("word IS NOT NULL")
+    sides = each.select(key, F.lower("word.text").alias("first"), F.slice("w", F.col("i") + 1, longest).alias("following"))
+    met = sides.join(wanted, "first").withColumn("got", F.slice("following", F.lit(1), F.col("n"))).where(F.size("got") == F.col("n"))
+    met = met.withColumn("said", F.lower(_phrase(F.col("got"))))
+    literal = met.where("said = phrase")
+    got = literal.select(key, "type", "phrase", "got", F.lit(True).alias("literal"))
+    if declined:
+        core = F.when(F.length("phrase") > 4, F.expr("left(phrase, length(phrase) - 1)")).otherwise(F.col("phrase"))
+        loose = F.lit(f"[{R.DECLENSION_LETTERS}]{{0,3}}")
+        ending = F.expr("substring(said, length(core) + 1)")
+        fits = F.startswith(F.col("said"), F.col("core")) & F.regexp_like(ending, F.concat(F.lit("^"), loose, F.lit("$")))
+        many = met.where("n > 1").withColumn("core", core).where((F.length("phrase") > 3) & (F.col("said") != F.col("phrase")) & fits)
+        # words of one name: a word meets the stems it has without its last 0 to 3 letters
+        stems = wanted.where("n = 1 AND length(phrase) > 3").withColumn("core", core).select("type", "phrase", F.col("core").alias("stem"))
+        cuts = F.filter(F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: F.struct(
+            F.substring("first", F.lit(1), F.length("first") - k).alias("stem"), F.substring("first", F.length("first") - k + 1, k).alias("end"))),
+            lambda c: (F.length(c["stem"]) > 3) & F.regexp_like(c["end"], F.concat(F.lit("^"), loose, F.lit("$"))))
+        single = each.select(key, F.lower("word.text").alias("first"), F.array("word").alias("got"))
+        single = single.where(F.length("first") > 3).select(key, "first", "got", F.explode(cuts).alias("cut")).select(key, "first", "got", "cut.stem")
+        one = single.join(stems, "stem").where("first <> phrase")
+        other = many.select(key, "type", "phrase", "got").unionByName(one.select(key, "type", "phrase", "got"))
+        has = literal.select(key, "type", "phrase").distinct()
+        got = got.unionByName(other.join(has, [key, "type", "phrase"], "left_anti").select(key, "type", "phrase", "got", F.lit(False).alias("literal")))
     span = F.struct(
         _phrase(F.col("got")).alias("text"), "type", F.get("got", F.lit(0))["start"].alias("start"), F.element_at("got", -1)["end"].alias("end"),
-        F.lit(score).cast("double").alias("score"), F.lit(source).alias("source"), F.lit(0).alias("rank"))
-    per_text = got.groupBy(key).agg(F.array_sort(F.collect_list(span.cast(S.SPAN_TYPE))).alias("spans"))  # a text's own hits
+        F.lit(score).cast("double").alias("score"), F.lit(source).alias("source"), F.when(F.col("literal"), 0).otherwise(1).alias("rank"))
+    per_text = got.groupBy(key).agg(F.array_sort(F.collect_set(span.cast(S.SPAN_TYPE))).alias("spans"))  # a text's own hits
     return explode_spans(per_text.select(key, S.public(S.dedup_within(F.col("spans"), R.THETA_WITHIN)).alias("spans")), [key])
 
 

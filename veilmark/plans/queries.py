@@ -121,6 +121,12 @@ def q_detect_gazetteer(spark, sf):
     return D.gazetteer_spans(derived.trade_texts(spark, sf), derived.gazetteer(spark, sf))
 
 
+@register("detect_declined")
+def q_detect_declined(spark, sf):
+    """Names of nine words that stand literally, and customers and nations only in other endings."""
+    return D.gazetteer_spans(derived.declined_texts(spark, sf), derived.long_gazetteer(spark, sf), declined=True)
+
+
 @register("span_overlap_pairs")
 def q_span_overlap_pairs(spark, sf):
     return D.span_overlap_pairs(D.candidate_spans(_docs(spark, sf)))

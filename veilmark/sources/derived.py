@@ -113,6 +113,39 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named("customer", "c_name", "PERSON").unionByName(named("supplier", "s_name", "PERSON")).unionByName(named("nation", "n_name", "LOCATION"))
 
 
+def declined_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id = o_orderkey, text): a sentence per order that names its nation in another ending, the nation literally in
+    every third, and a board of nine words."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    key, name = F.col("o_orderkey"), F.col("n_name")
+    stem = F.when(F.length(name) > 4, F.expr("left(n_name, length(n_name) - 1)")).otherwise(name)
+    return j.select(key.alias("doc_id"), F.concat(
+        F.lit("Umowa "), key.cast("string"), F.lit(" w "), F.lower(stem), F.lit("ami, "),
+        F.when(key % 3 == 0, F.concat(F.lit("kraj "), name, F.lit(", "))).otherwise(F.lit("")), F.lit("podpisuje "), F.lit(BOARD), F.lit(" "), (key % 10).cast("string"), F.lit("."),
+    ).alias("text"))
+
+
+# FIXED VALUE: the words of a long name (a digit follows)
+BOARD = "Rada Nadzorcza Spółki Handlu Zbożem i Mąką Wschód"
+
+DECLINED_TEXT_SQL = f"""
+SELECT o_orderkey AS doc_id, n_name, left(n_name, CASE WHEN length(n_name) > 4 THEN length(n_name) - 1 ELSE length(n_name) END) AS stem,
+  'Umowa ' || CAST(o_orderkey AS VARCHAR) || ' w ' AS head,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'kraj ' || n_name || ', ' ELSE '' END AS literal, '{BOARD} ' || CAST(o_orderkey % 10 AS VARCHAR) AS board
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+"""
+
+
+def long_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names (name, type): nations as LOCATION, and the boards of nine words that orders name as ORGANIZATION."""
+    boards = table(spark, sf_dir, "orders").select(F.concat(F.lit(BOARD + " "), (F.col("o_orderkey") % 10).cast("string")).alias("name"), F.lit("ORGANIZATION").alias("type"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit("LOCATION").alias("type"))
+    return nations.unionByName(boards.distinct())
+
+
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, value): the audit log as raw JSON lines, with blank, malformed, mistyped and extended lines.
 
