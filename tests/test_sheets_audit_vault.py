@@ -273,3 +273,27 @@ def test_audit_append_sink_defaults_and_partitions(spark):
     assert len(rows) == 3 and all(r.timestamp is not None for r in rows)
     assert sorted((r.session_id, r.data_left_boundary) for r in rows) == [("s1", False), ("s1", False), ("s2", True)]
     assert any(name.startswith("day=") for name in os.listdir(out))
+
+
+def test_legacy_values_are_opened_or_passed(spark):
+    """Sealed, sealed with another key, plain and damaged session maps; raw and base64 blobs; two imports of one session."""
+    rows = spark.createDataFrame([("s1", '{"[P_1]":"Jan"}', 1), ("s2", '{"[P_2]":"Ewa","[P_3]":"Ola"}', 2), ("s3", "not json", 3), ("s4", "{}", 4), ("s5", '{"[P_5]":"x"}', 5), (None, None, 6)],
+                                 "session_id string, token_map string, n int")
+    sealed = F.when(F.col("n") == 2, F.base64(VT.encrypt(F.col("token_map"), "key"))).when(F.col("n") == 5, F.base64(VT.encrypt(F.col("token_map"), "other"))).otherwise(F.col("token_map"))
+    t = rows.select("session_id", sealed.alias("token_map"), F.lit("2026-01-01").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("expires_at"))
+    got = {(r.session_id, r.token, r.value) for r in BIN.legacy_vault(t, "key").collect()}
+    assert got == {("s1", "[P_1]", "Jan"), ("s2", "[P_2]", "Ewa"), ("s2", "[P_3]", "Ola"), ("s3", None, None), ("s5", None, None), (None, None, None)}
+    plain = BIN.legacy_vault(t.where("session_id = 's1'"), None)
+    assert [r.value for r in plain.collect()] == ["Jan"]
+    later = plain.withColumn("value", F.lit("Anna")).withColumn("created_at", F.lit("2026-02-01").cast("timestamp"))
+    current = plain.withColumn("value", F.lit("old")).unionByName(plain.withColumn("session_id", F.lit("s9")))
+    merged = BIN.merge_sessions(current, plain.unionByName(later))
+    assert {(r.session_id, r.value) for r in merged.collect()} == {("s1", "Anna"), ("s9", "Jan")}
+    d = _scratch()
+    raw = spark.range(1).select(VT.encrypt(F.lit("tajne"), "key").alias("b")).first().b
+    for name, data in (("a", bytes(raw)), ("b", b"\x00\xff plain"), ("c", b"")):
+        with open(os.path.join(d, f"{name}.original_bytes"), "wb") as f:
+            f.write(data)
+    kv = spark.createDataFrame([(k, "{}") for k in "abcd"], "key string, value string")
+    got = {r.key: None if r.original_bytes is None else bytes(r.original_bytes) for r in BIN.legacy_import(spark, kv, d, "key").collect()}
+    assert got == {"a": b"tajne", "b": b"\x00\xff plain", "c": None, "d": None}

@@ -802,6 +802,48 @@ def q_ingest_rejects(spark, sf):
     return bad.select("doc_id")
 
 
+@register("legacy_files")
+def q_legacy_files(spark, sf):
+    """Every customer as a legacy row, joined with its blob file.  Blobs are written for customers with
+    orders, sealed for odd nations; values of customers in debt are cut off in the middle."""
+    c = TB.table(spark, sf, "customer")
+    key = F.concat(F.lit("legacy-"), F.col("c_custkey").cast("string"))
+    value = F.concat(F.lit('{"filename":"'), F.col("c_name"), F.lit('.docx","segment":"'), F.col("c_mktsegment"), F.lit('"}'))
+    kv = c.select(key.alias("key"), F.when(F.col("c_acctbal") < 0, F.substring(value, 1, 20)).otherwise(value).alias("value"))
+    text = F.concat(F.lit("umowa "), F.col("c_name"))
+    sealed = F.base64(VT.encrypt(text, VAULT_PASSPHRASE))
+    bought = TB.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    blobs = c.join(bought, "c_custkey", "left_semi").select(key.alias("key"), F.when(F.col("c_nationkey") % 2 == 1, sealed).otherwise(text).alias("content"))
+    path = shared_path(spark, "blobs")
+    blobs.write.partitionBy("key").text(path)
+    got = BIN.legacy_import(spark, kv, path, VAULT_PASSPHRASE, glob="part-*", key_of="/key=([^/]+)/", schema="filename string, segment string")
+    return got.select("key", "corrupt", F.col("payload.filename").alias("filename"), F.trim(F.regexp_replace(F.col("original_bytes").cast("string"), "\n$", "")).alias("blob"))
+
+
+@register("legacy_vault")
+def q_legacy_vault(spark, sf):
+    """Every document's token map as a legacy session, sealed in every source but one, merged over a vault that
+    has an old entry for each labelled document."""
+    m = _masked_docs(spark, sf).where(F.size("token_map") > 0).join(TB.documents(spark, sf).select("doc_id", "source"), "doc_id")
+    plain = F.to_json("token_map")
+    at = F.lit(LOGGED_AT).cast("timestamp")
+    rows = m.select(F.col("doc_id").cast("string").alias("session_id"),
+                    F.when(F.col("source") == "web", plain).otherwise(F.base64(VT.encrypt(plain, VAULT_PASSPHRASE))).alias("token_map"),
+                    at.alias("created_at"), F.lit(None).cast("timestamp").alias("expires_at"))
+    current = TB.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("session_id"), F.lit("[OLD_0001]").alias("token"), F.lit("old").alias("value"),
+                                                   at.alias("created_at"), F.lit(None).cast("timestamp").alias("expires_at"))
+    return BIN.merge_sessions(current, BIN.legacy_vault(rows, VAULT_PASSPHRASE)).select("session_id", "token", "value")
+
+
+@register("route_files")
+def q_route_files(spark, sf):
+    """File records by the extension of their name; names without one or with an unknown one are rejected."""
+    f = TB.files(spark, sf).select("file_id", F.col("filename").alias("path"))
+    u = TB.table(spark, sf, "pages").select(F.col("page_id").alias("file_id"), F.col("url").alias("path"))
+    ok, bad = BIN.route(f.unionByName(u))
+    return ok.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False))).select("file_id", "path", "ext", "accepted")
+
+
 @register("sanitize_filename")
 def q_sanitize_filename(spark, sf):
     f = TB.files(spark, sf)

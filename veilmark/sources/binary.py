@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
+from veilmark.operators import vault as VT
 
 PARSED_SCHEMA = "path string, ext string, kind string, text string, error string"
 
@@ -182,9 +183,52 @@ def ingest_text(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataF
     return df.filter(~blank), df.filter(blank)
 
 
-def legacy_import(spark: SparkSession, kv: DataFrame, blob_dir: str) -> DataFrame:
-    """key/value rows joined with blob files named ``<key>.original_bytes`` (missing blob -> null)."""
-    blobs = spark.read.format("binaryFile").option("pathGlobFilter", "*.original_bytes").load(blob_dir)
-    b = blobs.select(F.regexp_extract("path", r"([^/]+)\.original_bytes$", 1).alias("key"),
-                     F.col("content").alias("original_bytes"))
-    return kv.join(b, "key", "left")
+#: Key of a blob file by its path.
+BLOB_KEY = r"([^/]+)\.original_bytes$"
+
+
+def opened(content: Column, passphrase: str | None) -> Column:
+    """The content of a legacy value: decrypted if it is a sealed one of this passphrase, else as it stands."""
+    if not passphrase:
+        return content.cast("binary")
+    sealed = F.try_to_binary(F.regexp_replace(content.cast("string"), r"\s", ""), F.lit("base64"))
+    plain = F.try_aes_decrypt(sealed, VT.vault_key(passphrase), F.lit("GCM"))
+    return F.coalesce(plain, F.try_aes_decrypt(content.cast("binary"), VT.vault_key(passphrase), F.lit("GCM")), content.cast("binary"))
+
+
+def legacy_import(spark: SparkSession, kv: DataFrame, blob_dir: str, passphrase: str | None = None, glob: str = "*.original_bytes",
+                  key_of: str = BLOB_KEY, schema: str | None = None) -> DataFrame:
+    """key/value rows joined with blob files whose path names the key (no such file, or an empty one: null).
+
+    Blobs sealed with the passphrase are opened, others pass as they are.  With
+    ``schema`` the values are parsed (S15): ``payload`` is null and ``corrupt`` true
+    where one is no JSON.  Files are read once, by all tasks; rows and files meet on
+    the key.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    b = reader.load(blob_dir).select(F.regexp_extract("path", key_of, 1).alias("_key"), opened(F.col("content"), passphrase).alias("original_bytes"))
+    j = kv.join(b, F.col("key") == F.col("_key"), "left").drop("_key")
+    if schema is None:
+        return j
+    corrupt = F.col("value").isNotNull() & F.get_json_object("value", "$").isNull()
+    return j.withColumn("corrupt", corrupt).withColumn("payload", F.when(~corrupt, F.from_json("value", schema)))
+
+
+def legacy_vault(rows: DataFrame, passphrase: str | None = None) -> DataFrame:
+    """Legacy sessions (session_id, token_map, created_at, expires_at) as vault rows (session_id, token, value, ...).
+
+    ``token_map`` is a JSON object, sealed or plain; one that is neither gives a row
+    with a null token and value, so that the session is not lost silently.
+    """
+    text = opened(F.col("token_map"), passphrase).cast("string")
+    parsed = rows.withColumn("_map", F.from_json(text, "map<string,string>"))
+    each = parsed.select("session_id", F.explode_outer("_map").alias("token", "value"), "created_at", "expires_at", F.size("_map").alias("_n"))
+    return each.where((F.col("_n") != 0) | F.col("_n").isNull()).drop("_n")
+
+
+def merge_sessions(current: DataFrame, imported: DataFrame) -> DataFrame:
+    """Upsert of whole sessions: a session that is imported replaces the one that is there, of two imports the later one."""
+    last = imported.groupBy("session_id").agg(F.max("created_at").alias("_last"))
+    latest = imported.join(last, "session_id").where(F.col("created_at").eqNullSafe(F.col("_last"))).drop("_last")
+    kept = current.join(imported.select("session_id").distinct(), "session_id", "left_anti")
+    return kept.unionByName(latest.select(*current.columns))
