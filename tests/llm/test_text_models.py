@@ -54,6 +54,74 @@ def test_language_id_held_out_accuracy(spark):
     assert np.mean([r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held]) > 0.95
 
 
+def test_weights_are_averaged_alike_in_any_order():
+    rng = np.random.default_rng(5)
+    sets = [(int(n), rng.normal(0, 1, 5000).astype(np.float32)) for n in rng.integers(1, 10**6, 7)]
+
+    def average(order):
+        rows = []
+        for i in order:
+            n, w = sets[i]
+            high, low = np.divmod(lm.fixed(w), 1 << 16)
+            rows.append({"piece": 0, "n": n, "weights": (np.stack([high, low]) * n).tobytes()})
+        import pyarrow as pa
+
+        (out,) = lm._added(iter([pa.RecordBatch.from_pylist(rows)]))
+        (row,) = out.to_pylist()
+        return lm.averaged(row["n"], row["weights"])
+
+    one = average(range(7))
+    assert all((average(rng.permutation(7)) == one).all() for _ in range(5))
+    want = sum(n * w.astype(np.float64) for n, w in sets) / sum(n for n, _ in sets)
+    assert np.abs(one - want).max() < 1e-6
+
+
+def naive_score(model, ids):
+    """The log probability of one text, id by id, in plain loops over the weights."""
+    p, v, a = {k: np.asarray(x, np.float64) for k, x in model.p.items()}, model.vocabulary, attention
+    inputs, follow = [a.END, *ids], [*ids, a.END]
+    e = [p["emb"][v.symbol[i]] for i in inputs]
+    total = 0.0
+    for t, y in enumerate(follow):
+        window = t // a.SCORED * a.SCORED - a.CONTEXT  # first input that this window holds
+        heads = []
+        for h in range(a.HEADS):
+            at = range(max(0, window), t + 1)
+            s = np.array([(e[t] @ p["q"][h]) @ (e[j] @ p["k"][h]) + p["rel"][h][t - j] for j in at])
+            s = np.exp(s - s.max())
+            heads.append(sum(w * (e[j] @ p["v"][h]) for w, j in zip(s / s.sum(), at, strict=True)))
+        before = e[t - 1] if t else np.zeros(a.EMBEDDING)
+        z = np.tanh(e[t] @ p["a"] + before @ p["a1"] + np.concatenate(heads) @ p["b"] + p["c"])
+
+        def log_softmax(logits, k):
+            return logits[k] - logits.max() - np.log(np.exp(logits - logits.max()).sum())
+
+        c = v.klass[y]
+        total += log_softmax(z @ p["oc"] + p["bc"], c)
+        if c < a.HEAD_CLASSES:
+            total += log_softmax(z @ p["ow"][c] + p["bw"][c], v.member[y])
+        else:
+            tc, m = divmod(int(v.tail[y]), a.TAIL_SIZE)
+            total += log_softmax(z @ p["tc"] + p["tb"] + v.tail_class, tc)
+            total += log_softmax((z @ p["tp"]) @ p["tw"][tc] + p["tm"][tc] + v.tail_member[tc], m)
+    return total
+
+
+def test_model_scores_equal_plain_loops():
+    rng = np.random.default_rng(6)
+    counts = np.zeros(attention.VOCABULARY)
+    counts[:3000] = rng.integers(1, 1000, 3000)
+    counts[attention.END] = 50
+    model = attention.Model(attention.Vocabulary.of(counts), seed=3)
+    for k, w in model.p.items():
+        model.p[k] = (w + rng.normal(0, 0.2, w.shape)).astype(np.float32)
+    model.p["emb"][-1] = 0
+    texts = [rng.integers(0, 3500, n) for n in (0, 1, 31, 32, 33, 70, 150)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    got = model.score(np.concatenate(texts).astype(np.int64), off)
+    assert np.allclose(got, [naive_score(model, t.tolist()) for t in texts], rtol=1e-4)
+
+
 @pytest.mark.parametrize("extra", ["", CLASHING])
 def test_language_id_cases(spark, extra):
     rows = odd_rows()
