@@ -12,6 +12,14 @@ input.
 * secret scans: live secrets and copied examples are replaced in the text, and
   ``n_chars`` follows;
 * packing: one row per piece of a document in a training sequence.
+
+Cases: a null text is handled as an empty one by every stage and stays null in the
+table; all null and empty texts are one group of equal texts, of which one row stays
+(the smallest doc_id, null last); rows with a null doc_id, lang or source are kept or
+dropped by their text alone (a null source or lang is an owner or repository of its
+own); repeated rows are copies; texts of any length go through whole; an empty table
+gives an empty result with the same columns; further columns, also ones with names
+that stages use inside, are carried up to packing, whose result has its own columns.
 """
 
 from __future__ import annotations

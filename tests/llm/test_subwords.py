@@ -178,6 +178,20 @@ def test_pipeline_stages(spark):
     check_pieces(after.collect(), [(r["doc_id"], ids_of(r["text"])) for r in before.collect()])
 
 
+def test_pipeline_of_empty_and_odd_tables(spark):
+    from tests.llm.cases import CLASHING
+
+    for rows in ([], [(None, None, None, None, None)] * 3 + [(5, "", None, None, None), (4, None, "en", "a", 0)]):
+        docs = frame(spark, rows, CLASHING) if rows else frame(spark, odd_rows(), CLASHING).limit(0)
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, corpus_pipeline.written(stage(spark, docs, SF), "test")
+            assert name == "packing" or docs.columns == before.columns
+            if name == "exact dedup" and rows:
+                assert [r["doc_id"] for r in docs.collect()] == [4]
+        # an empty document is its end alone
+        assert docs.count() == bool(rows)
+
+
 def test_pipeline_query(spark):
     from __spark_entry__ import queries
 
