@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from veilmark.functions import rules as R
 from veilmark.plans.oracle import ORACLE
-from veilmark.plans.oracle_sql import audit_cte, q
+from veilmark.plans.oracle_sql import audit_cte, detect_ctes, masked_ctes, q
 from veilmark.plans.stream_queries import SCAN_SECONDS, UPLOAD_SECONDS, UPLOADS_FROM
 
 __all__ = ["ORACLE"]
@@ -47,3 +47,5 @@ SELECT doc_id, make_timestamp(up * 1000000) AS uploaded_at,
 
 ORACLE["stream_upsert"] = f"""WITH {audit_cte()}
 SELECT session_id, max(event_id) AS event_id, arg_max(event, event_id) AS event, count(*) AS n_events FROM audit GROUP BY session_id"""
+
+ORACLE["stream_mask"] = f"WITH {detect_ctes()}, {masked_ctes()} SELECT doc_id, masked_text, n_spans FROM masked"

@@ -1,4 +1,4 @@
-"""Registered queries that run as streams.
+"""Registered queries that run as streams.
 
 Each delivers a log in waves to a folder of the shared directory and runs the
 streaming operator after every wave from its checkpoint (``streaming.arrivals``).
@@ -128,3 +128,14 @@ def q_stream_upsert(spark, sf):
     versions = ST.committed(spark, f"{base}/versions").drop(ST.BATCH_ID)
     counts = versions.groupBy("session_id").agg(F.sum("n").alias("n_events"))
     return VT.upsert_latest(versions.drop("n"), "session_id", "event_id").join(counts, "session_id")
+
+
+@register("stream_mask")
+def q_stream_mask(spark, sf):
+    """Documents masked as they arrive, by the batch expressions; the stream keeps no state."""
+    docs = TB.documents(spark, sf).select("doc_id", "text")
+    base = shared_path(spark, "masked")
+    waves = docs.withColumn("wave", F.pmod(F.xxhash64("doc_id", "text"), F.lit(AR.WAVES)).cast("int"))
+    AR.deliver([(waves, f"{base}/in")], lambda: ST.mask_stream(AR.read_json_stream(spark, f"{base}/in", "doc_id long, text string")).drop("tspans"),
+               f"{base}/checkpoint", "append", f"{base}/out")
+    return spark.read.parquet(f"{base}/out")
