@@ -229,6 +229,24 @@ def test_neighbours_of_many_ids(spark):
     assert len(set(rids)) == len(ids)
 
 
+@pytest.mark.parametrize("kind", ["outlier", "one id", "no ids", "mixed"])
+def test_buckets_of_neighbours_stay_even(spark, kind):
+    """An id far from all others, one id of very many rows, and rows without one are cut like the rest."""
+    ids = {"outlier": [*range(3000), 2**62, -(2**62)], "one id": [7] * 2000 + list(range(1000)), "no ids": [None] * 2000,
+           "mixed": [None] * 1000 + [2**63 - 1] * 1000 + [-(2**63)] * 500 + list(range(500))}[kind]
+    df = frame(spark, [(i, f"text {k}", "en", "a", 1) for k, i in enumerate(ids)])
+    h = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = sorted(((i is not None, i or 0, h[f"text {k}"], f"text {k}") for k, i in enumerate(ids)))
+    got = sorted(docprints.with_next(df).collect(), key=lambda r: r["rid"])
+    assert [r["text"] for r in got] == [w[3] for w in want]
+    assert [r["next_text"] for r in got] == [w[3] for w in want[1:] + want[:1]]
+    assert [r["next_rid"] for r in got] == [r["rid"] for r in got[1:] + got[:1]]
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r["rid"] >> 32] += 1
+    assert len(sizes) >= len(ids) // docprints.BUCKET_ROWS * 0.8 and max(sizes.values()) < 4 * docprints.BUCKET_ROWS
+
+
 def brute_print(text):
     # the hash is Spark's own; votes and weights are counted here
     return [w for w in re.split("[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.lower())]

@@ -27,6 +27,7 @@ are ignored.  Sums hold for texts of up to 2**28 characters.
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,8 +38,10 @@ from veilmark.llm.common import written
 TERM_LETTERS = 8
 #: Signs between terms: ASCII but letters and digits.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Cells of the id histogram; buckets are runs of cells with about this many rows or more.
-ID_CELLS, NULL_CELLS, BUCKET_ROWS = 4096, 64, 64
+#: Rows of a bucket in small tables, buckets up to which that holds; rows of a bucket beyond, buckets at most.
+BUCKET_ROWS, FEW_BUCKETS, MANY_ROWS, MOST_BUCKETS = 64, 4096, 20_000, 1 << 16
+#: Smallest hash.
+LEAST = -(1 << 63)
 RADIUS = 3
 #: The stated set of searches: rows whose doc_id is divisible by this.
 QUERY_STEP = 20
@@ -102,36 +105,64 @@ def near(queries: DataFrame, points: DataFrame, radius: int = RADIUS) -> DataFra
 
 
 # ------------------------------------------------------------------ neighbours
+def key_cuts(rows: DataFrame) -> list[tuple[int | None, int]]:
+    """Ascending keys (doc_id, hash) that cut ``rows`` (doc_id) into buckets of about equal size.
+
+    Quantiles of the id, as many as the row count asks for.  An id that is several
+    quantiles, and rows without one, are cut by the hash into as many parts.
+    """
+    n, some = rows.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    if not n:
+        return [(None, LEAST)]
+    buckets = min(MOST_BUCKETS, max(1, min(FEW_BUCKETS, n // BUCKET_ROWS), n // MANY_ROWS))
+    none = -(-buckets * (n - some) // n)
+    cuts: list[tuple[int | None, int]] = [(None, LEAST)] + [(None, LEAST + (i << 64) // none) for i in range(1, none)]
+    of_ids = max(1, buckets - none)
+    shares = [i / of_ids for i in range(of_ids)]
+    at = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * of_ids))).first()[0] if some else None
+    often: dict[int, int] = {}
+    for x in at or []:
+        often[x] = often.get(x, 0) + 1
+    for x, parts in sorted(often.items()):
+        cuts += [(x, LEAST + (i << 64) // parts) for i in range(parts)]
+        if parts > 1 and x < -LEAST - 1 and x + 1 not in often:
+            cuts.append((x + 1, LEAST))
+    return cuts
+
+
+def cut_of(key: Column, cuts: list[tuple[int | None, int]]) -> Column:
+    """Number of the last cut that is no larger than ``key`` (a struct of id and hash), by bisection."""
+    held = F.from_json(F.lit(json.dumps([{"doc_id": d, "h": h} for d, h in cuts])), "array<struct<doc_id:long,h:long>>")
+    steps = F.lit([1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(held, at + step) <= key, F.lit(False)), at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """rid, doc_id, text, next_rid, next_text: the next row by (doc_id, hash of the text), after the last the first.
 
-    ``rid`` numbers the rows, the same at every run over the same rows.
+    ``rid`` numbers the rows, the same at every run over the same rows.  Buckets follow
+    quantiles of the key, so an outlier among the ids or one id that very many rows have
+    does not fill a bucket.
     """
     h = F.xxhash64("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ends = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (ends[0] or 0), (ends[1] or 0)
-    width = max(1, -(-(high - low + 1) // ID_CELLS))
-    cell = F.when(F.col("doc_id").isNull(), F.shiftright(h, 58) + NULL_CELLS // 2).otherwise(
-        NULL_CELLS + F.floor((F.col("doc_id") - low) / width)).cast("int")
+    cuts = key_cuts(rows.select("doc_id"))
     key = F.struct(F.col("doc_id"), h.alias("h"))
-    cells = rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)), F.min(key)).orderBy("cell").collect()
-    bucket_of, firsts, size = [0] * (NULL_CELLS + ID_CELLS + 1), [], 0
-    for number, n, least in cells:
-        if not firsts or size >= BUCKET_ROWS:
-            firsts.append(least)
-            size = 0
-        size += n
-        bucket_of[number] = len(firsts) - 1
-    if not firsts:
-        firsts = [(None, 0)]
+    cell = cut_of(key, cuts)
+    # a row for each bucket that has rows: its smallest key
+    cells = rows.groupBy(cell.alias("cell")).agg(F.min(key)).orderBy("cell").collect()
+    bucket_of, firsts = [0] * len(cuts), []
+    for number, least in cells:
+        bucket_of[number] = len(firsts)
+        firsts.append(least)
+    firsts = firsts or [(None, 0)]
     last = len(firsts) - 1
 
     def at(values: list, index: Column, kind: str) -> Column:
-        return F.lit(values).cast(f"array<{kind}>")[index]
+        return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")[index]
 
     bucket = at(bucket_of, cell, "int")
-    heads_id = at([x[0] for x in firsts], F.col("bucket"), "long") if any(x[0] is not None for x in firsts) else F.lit(None).cast("long")
+    heads_id = at([x[0] for x in firsts], F.col("bucket"), "long")
     heads_h = at([x[1] for x in firsts], F.col("bucket"), "long")
     dealt = rows.withColumn("bucket", bucket).withColumn("h", h)
     is_first = F.col("doc_id").eqNullSafe(heads_id) & (F.col("h") == heads_h)
