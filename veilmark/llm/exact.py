@@ -5,13 +5,14 @@
 2. Senders (runs of rows of one task) sort the leading bits of their hashes, cut
    them by owner (the first bits) and code the gaps by Golomb-Rice: about two bits
    more than the entropy of the gaps, where a hash takes 32 bytes.  Only these
-   codes are shuffled.  A hash that one sender has many times is sent once.
+   codes go to the owners; the row numbers stay in the senders' written rows, which
+   the answers are joined with.  A hash that one sender has many times is sent once.
 3. Owners decode what all senders sent them and answer each with a bitmap: which
    of its hashes did another sender send too?
 4. Rows so marked (and those that repeat within their sender) are suspects.  Only
    their texts are shuffled, aggregated by the text itself, so equal means equal
    byte for byte; partial aggregation sends a text once from each task, however
-   often it occurs there.
+   often it occurs there.  What the suspects get back are thin rows.
 
 Leading bits that agree by chance only make a suspect that step 4 clears.
 
@@ -154,41 +155,55 @@ def suspects(rows: DataFrame, rid: str, digest: str) -> DataFrame:
 
 
 # -------------------------------------------------------------------- decisions
-def decided(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """All rows of ``docs`` with four more columns; the dictionary has their names.
+def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """(rows, found, names): the written rows with number, digest and suspicion; for each suspect the class it is in.
 
-    keep_id (doc_id of the row that stays), group_size, kept, text_sha256.
+    ``found`` has thin rows: the suspect's number, the row that stays (``keep``) and
+    ``class_size``.  Texts are shuffled once, as grouping keys; a suspect finds its
+    class by digest, length and a second hash, whatever number of rows the class has.
     """
-    names = {c: free_name(docs, c) for c in ("rid", "digest", "suspect", "keep", "keep_id", "group_size", "kept", "text_sha256")}
-    rid, digest, suspect, keep = (names[c] for c in ("rid", "digest", "suspect", "keep"))
+    names = {c: free_name(docs, c) for c in ("rid", "digest", "suspect", "dropped", "of", "keep", "size", "keep_id", "group_size", "kept", "text_sha256")}
+    rid, digest, suspect = (names[c] for c in ("rid", "digest", "suspect"))
     rows = numbered(docs.withColumn(digest, F.unhex(F.sha2(normalised(F.col("text")), 256))), "exact", rid)
     rows = marked(rows, rid, suspects(rows, rid, digest), suspect)
-    doc_id = F.col("doc_id").cast("long")
+    doc_id, text = F.col("doc_id").cast("long"), normalised(F.col("text"))
     again = rows.where(F.col(suspect))
     classes = (
-        again.select(F.col(digest).alias("class_digest"), normalised(F.col("text")).alias("class_text"),
+        again.select(F.col(digest).alias("class_digest"), text.alias("class_text"),
                      F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col(rid).alias("rid")).alias("row"))
         .groupBy("class_digest", "class_text")
-        .agg(F.min("row").alias(keep), F.count(F.lit(1)).alias("class_size"))
-        # a row finds its class by digest, length and a second hash of the text
-        .select("class_digest", F.xxhash64("class_text").alias("class_hash"), F.length("class_text").alias("class_length"), keep, "class_size")
-    )
-    text = normalised(F.col("text"))
-    grouped = again.join(
-        classes,
-        (F.col(digest) == F.col("class_digest")) & (F.xxhash64(text) == F.col("class_hash")) & (F.length(text) == F.col("class_length")),
+        .agg(F.min("row").alias("keep"), F.count(F.lit(1)).alias("class_size"))
+        .select("class_digest", F.xxhash64("class_text").alias("class_hash"), F.length("class_text").alias("class_length"), "keep", "class_size")
     )
+    thin = again.select(F.col(rid).alias("row_number"), F.col(digest).alias("row_digest"), F.xxhash64(text).alias("row_hash"), F.length(text).alias("row_length"))
+    met = (F.col("row_digest") == F.col("class_digest")) & (F.col("row_hash") == F.col("class_hash")) & (F.col("row_length") == F.col("class_length"))
+    return rows, thin.join(classes, met).select("row_number", "keep", "class_size"), names
+
+
+def decided(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """All rows of ``docs`` with four more columns; the dictionary has their names.
+
+    keep_id (doc_id of the row that stays), group_size, kept, text_sha256.
+    """
+    rows, found, names = _classed(docs)
+    rid, digest, suspect = (names[c] for c in ("rid", "digest", "suspect"))
+    doc_id = F.col("doc_id").cast("long")
     hexed = F.lower(F.hex(F.col(digest))).alias(names["text_sha256"])
     own = [F.col(f"`{c}`") for c in docs.columns]
     single = rows.where(~F.col(suspect)).select(
         *own, doc_id.alias(names["keep_id"]), F.lit(1).cast("long").alias(names["group_size"]), F.lit(True).alias(names["kept"]), hexed)
-    several = grouped.select(
-        *own, F.col(keep)["doc_id"].alias(names["keep_id"]), F.col("class_size").alias(names["group_size"]),
+    # joined on the row number: no key is hot, and columns that are not asked for stay where they are
+    of, keep, size = (names[c] for c in ("of", "keep", "size"))
+    thin = found.select(F.col("row_number").alias(of), F.col("keep").alias(keep), F.col("class_size").alias(size))
+    several = rows.where(F.col(suspect)).select(*own, rid, digest).join(thin, F.col(rid) == F.col(of)).select(
+        *own, F.col(keep)["doc_id"].alias(names["keep_id"]), F.col(size).alias(names["group_size"]),
         (F.col(keep)["rid"] == F.col(rid)).alias(names["kept"]), hexed)
     return single.unionByName(several), names
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another kept row has."""
-    rows, names = decided(docs)
-    return rows.where(F.col(names["kept"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the rows whose text another kept row has; only the numbers of dropped rows meet the table."""
+    rows, found, names = _classed(docs)
+    rid, dropped = names["rid"], names["dropped"]
+    gone = found.where(F.col("keep")["rid"] != F.col("row_number")).select(F.col("row_number").alias(rid))
+    return marked(rows, rid, gone, dropped).where(~F.col(dropped)).select(*[F.col(f"`{c}`") for c in docs.columns])
