@@ -119,7 +119,7 @@ def event_label(event: Column) -> Column:
 
 
 def event_color(event: Column) -> Column:
-    """P20: colour class by substring, first match wins."""
+    """P20: colour class by substring, first match wins.  The words and class names are FIXED VALUES of the data model."""
     return (
         F.when(event.contains("failed"), "text-red-400")
         .when(event.contains("uploaded") | event.contains("created"), "text-blue-400")

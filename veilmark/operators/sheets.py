@@ -120,6 +120,7 @@ def _rebuilt_cells(section: Column) -> Column:
 
 
 _CELL_T = "array<struct<section:int,sheet:string,line:int,row:bigint,col:bigint,value:string>>"
+# FIXED VALUES of the sheet format
 BLANK_SHEET = "Sheet1"
 #: Longest sheet name that the format takes.
 SHEET_NAME_CHARS = 31
