@@ -196,6 +196,50 @@ def test_stems_branch_where_words_do():
     assert toxicity.learned_stems(toxic, clean) == ["grumpf"]
 
 
+def naive_logit(text, entries, w):
+    """The score's logit clause by clause and word by word, from the rules as they are described."""
+    total = w["constant"]
+    spelled = set(entries) | {t + "$" for t in toxicity.THREATS if t not in {e.rstrip("$") for e in entries}}
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        words = re.findall(r"[^\W_]+(?:'[^\W_]+)?", clause)
+        found = []
+        for word in words:
+            whole = word.split("'")[0]
+            fits = [e for e in spelled if (whole == e[:-1] if e.endswith("$") else word.startswith(e))]
+            found.append(max(fits, key=len, default=None))
+        plain = [x if e is None else "" for x, e in zip(words, found, strict=True)]
+        spent = set()  # negators that have found their insult
+        for i, entry in enumerate(found):
+            if entry is None:
+                continue
+            directed = any(x in toxicity.TARGETS for x in plain[max(0, i - 3):i] + plain[i + 1:i + 4])
+            threat = entry.rstrip("$") in toxicity.THREATS
+            near = [j for j in range(max(0, i - 3), i) if plain[j] in toxicity.NEGATORS]
+            negated = bool(near) and not any(near[-1] < k < i for k in spent)
+            if negated:
+                spent.add(i)
+            if threat and not directed:
+                continue
+            total += w["threat"] if threat else w[entry] + w["directed"] * directed
+            total += w["negated"] * negated + w["reported"] * any(x in toxicity.REPORTERS for x in plain[:i])
+    return total
+
+
+def test_clause_scores_equal_a_plain_reading():
+    rng = random.Random(12)
+    entries = ["idiot", "idiot$", "moron$", "scumb", "kill$", "grum"]
+    vocabulary = ["idiot", "idiots", "moron", "morons", "scumbag", "scum", "grumpf", "Kill", "hurt", "murderer", "you", "They", "not", "never", "isn't",
+                  "said", "calls", "idiot's", "a", "b", "_", "words", "é", "idiot-like"]
+    seen = set()
+    for _ in range(3000):
+        w = {k: rng.uniform(-3, 3) for k in [*entries, *toxicity.MARKS, "constant"]}
+        text = "".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", " ", ", ", ". ", "! ", "\n"]) for _ in range(rng.randint(0, 14)))
+        g = toxicity.Grammar(entries, w)
+        assert abs(g.logit(text) - naive_logit(text, entries, w)) < 1e-9, text
+        seen |= set(g.matches(text)[1]) | set(g.matches(text)[0])
+    assert set(toxicity.MARKS) <= seen
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = {r["doc_id"]: r for r in QUERIES["op9_toxicity"](spark, sf).collect()}
