@@ -19,6 +19,8 @@ from veilmark.sources.audit_json import TIMES_IN_FULL
 
 #: Waves in which the registered queries deliver their logs.
 WAVES = 4
+#: Rows of a log for each partition of a stream's state, and partitions at least.
+STATE_ROWS, STATE_PARTITIONS = 100_000, 4
 #: Longest run over one wave, in seconds.
 PATIENCE = 3600
 
@@ -32,13 +34,23 @@ def day_waves(log: DataFrame, time: str, waves: int = WAVES) -> Column:
     return F.coalesce(F.floor(F.datediff(F.col(time), F.lit(first)) * waves / F.lit(days)).cast("int"), F.lit(0))
 
 
-def run_wave(stream: DataFrame, checkpoint: str, mode: str, sink: str | Callable[[DataFrame, int], None]) -> list[dict[str, Any]]:
+def run_wave(stream: DataFrame, checkpoint: str, mode: str, sink: str | Callable[[DataFrame, int], None],
+             partitions: int | None = None) -> list[dict[str, Any]]:
     """One run over what has newly arrived, into a folder (append mode) or a ``foreachBatch`` function.
 
-    Returns the progress of each batch.
+    The first run of a checkpoint fixes the number of state partitions for good, so it
+    should come from the expected rows: ``partitions``, else the session's number of
+    shuffle partitions.  Returns the progress of each batch.
     """
+    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(key)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = writer.format("parquet").start(sink) if isinstance(sink, str) else writer.foreachBatch(sink).start()
+    try:
+        if partitions:
+            conf.set(key, str(partitions))  # the query takes a copy of the session's settings when it starts
+        query = writer.format("parquet").start(sink) if isinstance(sink, str) else writer.foreachBatch(sink).start()
+    finally:
+        conf.set(key, before)
     if not query.awaitTermination(PATIENCE):
         query.stop()
         raise TimeoutError(f"a wave took more than {PATIENCE} s")
@@ -51,10 +63,11 @@ def deliver(
 ) -> list[dict[str, Any]]:
     """Append wave after wave of each log (rows with a column ``wave``; its folder) and run the query after each."""
     progress: list[dict[str, Any]] = []
+    partitions = max(STATE_PARTITIONS, -(-sum(log.count() for log, _ in logs) // STATE_ROWS))
     for k in range(waves):
         for log, folder in logs:
             log.where(F.col(wave) == k).drop(wave).write.mode("append").options(**TIMES_IN_FULL).json(folder)
-        progress += run_wave(stream(), checkpoint, mode, sink)
+        progress += run_wave(stream(), checkpoint, mode, sink, partitions)
     return progress
 
 
