@@ -1,10 +1,14 @@
 """Rule detection on short texts of each shape, overlap predicate, tie rules, rules of a caller."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from veilmark.functions import rules as R
 from veilmark.functions import spans as S
 from veilmark.operators import detect as D
+from veilmark.operators.joins import hash_filter
 
 CASES = [
     ("Faktura dla 987-654-32-10, kopia dla 9876543210!", [("NIP", 12, 25, "987-654-32-10"), ("NIP", 37, 47, "9876543210")]),
@@ -116,3 +120,49 @@ def test_gazetteer_names_of_any_length_and_other_endings(spark):
     # the fallback only where the text has no literal hit; up to three letters after all but the last one
     assert {x[:2] for x in found} - literal == {(3, "Apollem"), (3, "APOLLEM"), (4, "Apoll"), (4, "Apollami"), (6, "Jan Kowalskim")}
     assert {x[2] for x in found if x[0] == 3} == {2, 13}
+
+
+def _by_hand(text, names, declined):
+    """Hits (start, text, type) of single names in a text, by plain loops; no overlap rule."""
+    words = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+|#", text)]
+    hits = set()
+    for name, kind in names:
+        n, low = len(re.findall(r"[^\W_]+|#", name)), name.lower()
+        runs = [(words[i][1], text[words[i][1]:words[i + n - 1][2]]) for i in range(len(words) - n + 1)]
+        got = {(s, r, kind) for s, r in runs if r.lower() == low}
+        core = low[:-1] if len(low) > 4 else low
+        if declined and not got and len(low) > 3:
+            got = {(s, r, kind) for s, r in runs if re.fullmatch(re.escape(core) + "[a-ząęółńśćźż]{0,3}", r.lower())
+                   and (n == 1 or r.lower().split()[0] == low.split()[0])}
+        hits |= got
+    return hits
+
+
+def test_gazetteer_equals_plain_loops(spark):
+    """Names of one stem, names of one first word, texts of few and of many words."""
+    rng = random.Random(5)
+    names = [("Anna", "P"), ("Annab", "P"), ("Annac", "P"), ("ab", "X"), ("Nowa Wieś", "L"), ("Nowa Wieść", "L"), ("Nowa Wieśy", "L"), ("Nowa Wola Dolna", "L"), ("Nowa", "Q")]
+    vocabulary = ["anna", "ANNAB", "annaba", "annacie", "anne", "ab", "nowa", "Nowa", "wieś", "wieśami", "wieśc", "wieśabcd", "wola", "dolna", "dolnej", "dolnaj", "i", "na", "7"]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([1, 2, 3, 8, 9, 20, 60] * 4 + [D.FEW_WORDS, D.FEW_WORDS + 1, 900])]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    for each in ([n] for n in names):
+        listed = spark.createDataFrame(each, "name string, type string")
+        for declined in (False, True):
+            got = {(r.doc_id, r.start, r.text, r.type) for r in D.gazetteer_spans(texts, listed, declined=declined).collect()}
+            assert got == {(k, *hit) for k, t in rows for hit in _by_hand(t, each, declined)}, (each, declined)
+    family = names[:3]
+    listed = spark.createDataFrame(family, "name string, type string")
+    got = {(r.doc_id, r.start, r.text, r.type) for r in D.gazetteer_spans(texts, listed, declined=True).collect()}
+    assert got == {(k, *hit) for k, t in rows for hit in _by_hand(t, family, True)}
+    none = spark.createDataFrame([], "name string, type string")
+    assert D.gazetteer_spans(texts, none, declined=True).count() == 0
+
+
+def test_only_names_leave_a_text(spark):
+    """Forty names of one first word: what goes to the names is one run of words a text, not each word, nor forty rows."""
+    texts = spark.createDataFrame([(k, f"Umowa {k} podpisuje rada {k} z gminy {k % 7} oraz inni {k}") for k in range(400)], "_key long, _text string")
+    names = spark.createDataFrame([(f"Rada {k}", "ORG") for k in range(40)], "name string, type string")
+    forms, firsts, lengths = D.name_forms(names, True)
+    may = D.name_candidates(texts, hash_filter(forms.select("_h").unionByName(firsts), "_h"), lengths, True)
+    assert {r.text.lower() for r in may.where("_cut = -1").collect()} >= {f"rada {k}" for k in range(40)}
+    assert may.count() < 120
