@@ -297,3 +297,18 @@ def test_legacy_values_are_opened_or_passed(spark):
     kv = spark.createDataFrame([(k, "{}") for k in "abcd"], "key string, value string")
     got = {r.key: None if r.original_bytes is None else bytes(r.original_bytes) for r in BIN.legacy_import(spark, kv, d, "key").collect()}
     assert got == {"a": b"tajne", "b": b"\x00\xff plain", "c": None, "d": None}
+
+
+def test_legacy_import_of_packed_blobs_equals_that_of_files(spark):
+    """Blobs as (path, content) rows: sealed, plain and empty ones, a key with none; the folder gives the same."""
+    d = tempfile.mkdtemp()
+    sealed = spark.range(1).select(F.base64(VT.encrypt(F.lit("umowa"), "key")).alias("v")).first().v
+    blobs = {"a": sealed.encode() + b"\n", "b": b"plain \x00\xff", "c": b""}
+    for k, v in blobs.items():
+        with open(os.path.join(d, f"{k}.original_bytes"), "wb") as f:
+            f.write(v)
+    kv = spark.createDataFrame([(k, "{}") for k in "abcd"], "key string, value string")
+    packed = spark.createDataFrame([(f"old/{k}.original_bytes", bytearray(v)) for k, v in blobs.items()], "path string, content binary")
+    got = {r.key: r.original_bytes and bytes(r.original_bytes) for r in BIN.legacy_import(spark, kv, packed, "key").collect()}
+    assert got["a"] == b"umowa" and got["b"] == blobs["b"] and got["d"] is None
+    assert got == {r.key: r.original_bytes and bytes(r.original_bytes) for r in BIN.legacy_import(spark, kv, d, "key").collect()}

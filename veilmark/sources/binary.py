@@ -196,17 +196,25 @@ def opened(content: Column, passphrase: str | None) -> Column:
     return F.coalesce(plain, F.try_aes_decrypt(content.cast("binary"), VT.vault_key(passphrase), F.lit("GCM")), content.cast("binary"))
 
 
-def legacy_import(spark: SparkSession, kv: DataFrame, blob_dir: str, passphrase: str | None = None, glob: str = "*.original_bytes",
+def blob_files(spark: SparkSession, blob_dir: str, glob: str = "*.original_bytes") -> DataFrame:
+    """(path, content) of the blob files under a folder."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    return reader.load(blob_dir).select("path", "content")
+
+
+def legacy_import(spark: SparkSession, kv: DataFrame, blobs: str | DataFrame, passphrase: str | None = None, glob: str = "*.original_bytes",
                   key_of: str = BLOB_KEY, schema: str | None = None) -> DataFrame:
     """key/value rows joined with blob files whose path names the key (no such file, or an empty one: null).
 
-    Blobs sealed with the passphrase are opened, others pass as they are.  With
-    ``schema`` the values are parsed (S15): ``payload`` is null and ``corrupt`` true
-    where one is no JSON.  Files are read once, by all tasks; rows and files meet on
-    the key.
+    ``blobs`` is a folder with a file per blob or, for more than some thousands of
+    them, a table (path, content) of packed files, which needs no listing and no
+    opening of each.  Blobs sealed with the passphrase are opened, others pass as they
+    are.  With ``schema`` the values are parsed (S15): ``payload`` is null and
+    ``corrupt`` true where one is no JSON.  Files are read once, by all tasks; rows and
+    files meet on the key.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    b = reader.load(blob_dir).select(F.regexp_extract("path", key_of, 1).alias("_key"), opened(F.col("content"), passphrase).alias("original_bytes"))
+    files = blob_files(spark, blobs, glob) if isinstance(blobs, str) else blobs
+    b = files.select(F.regexp_extract("path", key_of, 1).alias("_key"), F.when(F.length("content") > 0, opened(F.col("content"), passphrase)).alias("original_bytes"))
     j = kv.join(b, F.col("key") == F.col("_key"), "left").drop("_key")
     if schema is None:
         return j
