@@ -181,3 +181,17 @@ def test_filters_of_a_session_of_any_size(spark):
     assert got["b"].bits == 64 and got["b"].lengths == [1] and len(got["b"].words) == 1
     held = many.join(M.session_filters(many).select("session_id", "bits", "words"), "session_id")
     assert held.where(~M._may_hold(F.col("words"), F.col("bits"), F.col("gram"))).count() == 0
+
+
+def test_sessions_of_few_values_take_no_detour(spark, monkeypatch):
+    """Texts of small sessions are joined with their session's values; large sessions by runs of characters give the same."""
+    vault = spark.createDataFrame([(str(s), f"[OSOBA_{s}{k:03x}]", "PERSON", f"Jan{k} Nowak{k * s}") for s in (1, 2) for k in range(20)] + [("3", "[OSOBA_abcd]", "PERSON", "")],
+                                  "session_id string, token string, type string, value string")
+    turns = spark.createDataFrame([(s, k, f"{k}: Jan{k} Nowak{k * 2} i Jan{k + 1} Nowak{k + 1}.") for s in (1, 2, 3, 4) for k in range(20)] + [(1, 99, None)], "conv_id long, turn int, text string")
+    by_runs = sorted(map(tuple, M.remask_by_runs(turns, vault, "conv_id").collect()), key=repr)
+    monkeypatch.setattr(M, "FEW_VALUES", 19)
+    assert sorted(map(tuple, M.remask(turns, vault, "conv_id").collect()), key=repr) == by_runs
+    monkeypatch.setattr(M, "FEW_VALUES", 64)
+    monkeypatch.setattr(M, "candidate_grams", None)
+    assert sorted(map(tuple, M.remask(turns, vault, "conv_id").collect()), key=repr) == by_runs
+    assert any("[OSOBA_" in r[2] for r in by_runs if r[2])
