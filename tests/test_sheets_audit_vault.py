@@ -312,3 +312,13 @@ def test_legacy_import_of_packed_blobs_equals_that_of_files(spark):
     got = {r.key: r.original_bytes and bytes(r.original_bytes) for r in BIN.legacy_import(spark, kv, packed, "key").collect()}
     assert got["a"] == b"umowa" and got["b"] == blobs["b"] and got["d"] is None
     assert got == {r.key: r.original_bytes and bytes(r.original_bytes) for r in BIN.legacy_import(spark, kv, d, "key").collect()}
+
+
+def test_cells_are_not_shuffled_and_a_grid_once(spark):
+    """Duplicates within a section, and over sections of one name in the rebuild grammar: the last line, with no exchange."""
+    df = spark.createDataFrame([(1, "[Arkusz: A]\nB1: x\nB1: y\nA1: 1\n[Arkusz: A]\nB1: z\nluzem"), (2, ""), (3, None)], "doc_id long, text string")
+    preview, rebuilt = SH.sheet_cells(df), SH.sheet_cells(df, fallback=True)
+    assert {tuple(r) for r in preview.collect()} == {(1, 1, "A", 1, 2, "y"), (1, 1, "A", 1, 1, "1"), (1, 2, "A", 1, 2, "z")}
+    assert {tuple(r) for r in rebuilt.collect()} == {(1, "A", 1, 2, "z"), (1, "A", 1, 1, "1"), (1, "A", 2, 1, "luzem")}
+    exchanges = [d._jdf.queryExecution().sparkPlan().toString() + d._jdf.queryExecution().executedPlan().toString() for d in (preview, rebuilt, SH.sheet_grid(preview))]
+    assert [e.count("Exchange hashpartitioning") for e in exchanges] == [0, 0, 1]
