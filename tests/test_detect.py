@@ -166,3 +166,11 @@ def test_only_names_leave_a_text(spark):
     may = D.name_candidates(texts, hash_filter(forms.select("_h").unionByName(firsts), "_h"), lengths, True)
     assert {r.text.lower() for r in may.where("_cut = -1").collect()} >= {f"rada {k}" for k in range(40)}
     assert may.count() < 120
+
+
+def test_offsets_of_pieces(spark):
+    """Matches over line breaks, a long tail without any."""
+    text = "a1\r\n22 🙂\n333" + " x" * 20000
+    df = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    got = df.select(S.extract_spans(F.col("text"), S.java_pattern("[0-9]+"), "N", score=1.0, source="rule").alias("s")).first().s
+    assert [(s.start, s.end, s.text) for s in got] == [(1, 2, "1"), (4, 6, "22"), (9, 12, "333")]
