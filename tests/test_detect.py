@@ -174,3 +174,18 @@ def test_offsets_of_pieces(spark):
     df = spark.createDataFrame([(0, text)], "doc_id long, text string")
     got = df.select(S.extract_spans(F.col("text"), S.java_pattern("[0-9]+"), "N", score=1.0, source="rule").alias("s")).first().s
     assert [(s.start, s.end, s.text) for s in got] == [(1, 2, "1"), (4, 6, "22"), (9, 12, "333")]
+
+
+def test_hashes_and_constants_do_not_travel(spark):
+    """Between stages go a hit's place, words and type: no hash of it, no score, no source."""
+    texts = spark.createDataFrame([(k, f"Umowa {k} podpisuje rada {k % 40} oraz inni {k}") for k in range(400)], "doc_id long, text string")
+    names = spark.createDataFrame([(f"Rada {k}", "ORG") for k in range(40)], "name string, type string")
+    forms, firsts, lengths = D.name_forms(names, False)
+    t = texts.select(F.col("doc_id").alias("_key"), F.col("text").alias("_text"))
+    assert D.name_candidates(t, hash_filter(forms.select("_h").unionByName(firsts), "_h"), lengths, False).columns == ["_key", "start", "text", "_cut", "_n"]
+    for declined in (False, True):
+        got = D.gazetteer_spans(texts, names, declined=declined)
+        assert {(r.doc_id, r.text, r.score, r.source) for r in got.collect()} == {(k, f"rada {k % 40}", R.DEEP_SCORE, "gazetteer") for k in range(400)}
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("RepartitionByExpression" if declined else "Aggregate"):].split("\n", 1)[1]
+        assert "gazetteer" in plan and "gazetteer" not in below, declined
