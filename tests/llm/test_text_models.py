@@ -391,3 +391,42 @@ def test_rare_ids_follow_their_context():
 
 def test_windows_have_the_full_context():
     assert (attention.CONTEXT, attention.SCORED) == (32, 32) and attention.HEADS == 2
+
+
+def test_steps_touch_only_the_tail_classes_of_a_batch():
+    """Rows that wait for their moves end where Adam on all weights in every step ends."""
+    rng = np.random.default_rng(6)
+    plain, m = tiny_model(), tiny_model()
+    adam, mean, square = attention.Adam(m), {}, {}
+    touched = set()
+    for step in range(1, 40):
+        # a few ids of the tail, in every third step
+        ids = rng.integers(0, 1000, 150)
+        ids[:4] = rng.integers(1100, 2900, 4) if step % 3 == 1 else ids[:4]
+        x, first, y, wanted, _ = next(attention.windows(ids, np.array([0, 70, 150])))
+        assert len(x) == 6
+        grads = plain._gradients(x, first, y, wanted)
+        grads["emb"][-1] = 0
+        for k, g in grads.items():
+            mean[k] = 0.9 * mean.get(k, 0) + 0.1 * g
+            square[k] = 0.99 * square.get(k, 0) + 0.01 * g * g
+            plain.p[k] -= (0.003 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        _, rows = m._touched_gradients(x, first, y, wanted, adam.catch_up)
+        assert len(rows) <= len(np.unique(y[wanted])) and len(rows) < attention.TAIL_CLASSES
+        touched |= set(rows.tolist())
+        adam.learn(x, first, y, wanted, 0.003)
+    adam.finish()
+    assert len(touched) > 5
+    for k, v in plain.p.items():
+        was = tiny_model().p[k]
+        # the small constant under Adam's division stands still while a row waits
+        assert np.quantile(np.abs(v - m.p[k]), 0.999) < 1e-3 and np.abs(v - was).max() > 0.02, k
+        assert np.corrcoef((v - was).ravel(), (m.p[k] - was).ravel())[0, 1] > 0.9999, k
+
+
+def test_bounded_and_shifted_attention_agree():
+    rng = np.random.default_rng(7)
+    logits, rel = rng.normal(0, 3, (5, attention.SCORED, attention.WIDTH)).astype(np.float32), rng.normal(0, 1, (attention.SCORED, attention.WIDTH)).astype(np.float32)
+    safe, shifted = (attention._attended(logits.copy(), rel, np.array([0, 3]), way) for way in (True, False))
+    safe, shifted = (a / a.sum(axis=2, keepdims=True) for a in (safe, shifted))
+    assert np.allclose(safe, shifted, rtol=1e-4) and (safe[0, :, :attention.CONTEXT] == 0).all() and (safe[:, attention._FUTURE] == 0).all()
