@@ -430,3 +430,45 @@ def test_bounded_and_shifted_attention_agree():
     safe, shifted = (attention._attended(logits.copy(), rel, np.array([0, 3]), way) for way in (True, False))
     safe, shifted = (a / a.sum(axis=2, keepdims=True) for a in (safe, shifted))
     assert np.allclose(safe, shifted, rtol=1e-4) and (safe[0, :, :attention.CONTEXT] == 0).all() and (safe[:, attention._FUTURE] == 0).all()
+
+
+def test_packed_counts_may_be_large():
+    n = np.array([0, 1 << 28, (1 << 35) + 5, (1 << 62) + 3, 1])
+    assert (lm.unpacked(lm.packed(n)) == n).all()
+
+
+def test_sums_over_equal_keys():
+    rng = np.random.default_rng(8)
+    for keys in (np.zeros(1, np.uint16), np.arange(5)[::-1].copy(), np.minimum(rng.geometric(0.02, 700), 300).astype(np.uint16), np.repeat(np.arange(3), [1, 90, attention._Groups.ROUNDS])):
+        values = rng.integers(0, 100, (len(keys), 3)).astype(np.float32)
+        groups = attention._Groups(keys)
+        got = dict(zip(groups.keys.tolist(), groups.sums(values).tolist(), strict=True))
+        assert got == {k: values[keys == k].sum(axis=0).tolist() for k in np.unique(keys).tolist()}
+
+
+def test_a_step_projects_each_symbol_once(monkeypatch):
+    """Inputs that come again and again add nothing to what is multiplied by the embeddings' weights."""
+    m, seen = tiny_model(), []
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    groups = attention._Groups
+    monkeypatch.setattr(attention, "_Groups", lambda keys: seen.append(groups(keys)) or seen[-1])
+    ids = np.tile([5, 6, 7], 400)
+    x, first, y, wanted, _ = next(attention.windows(ids, np.array([0, len(ids)])))
+    grads = m._gradients(x, first, y, wanted)
+    assert len(seen[0].keys) == 5  # the three ids, the end and what lies before a text
+    assert np.count_nonzero(np.abs(grads["emb"]).sum(axis=1)) <= 5
+
+
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
+    """Training and scoring read the ids of the word table; no block encodes its words anew."""
+    rows = [(i, "alpha beta gamma " * 40, "en", "a", 1) for i in range(30)]
+    monkeypatch.setattr(attention, "STEPS", 5)
+    plan = lm.score_documents(frame(spark, rows), block_bytes=2000)
+    seen = []
+    monkeypatch.setattr(lm, "encoder", lambda: seen.append(1))
+    block = {"held": [False, True], "sizes": [2, 1], "numbers": lm.packed(np.array([0, 1, 1])), "lengths": lm.packed(np.array([1, 2])), "ids": np.array([40, 41, 42], "<u2").tobytes()}
+    import pyarrow as pa
+
+    ((x, first, y, wanted, _),) = lm._block_windows(iter([pa.RecordBatch.from_pylist([block])]))
+    assert y[wanted].tolist() == [40, 41, 42, attention.END] and not seen
+    assert {r["doc_id"] for r in plan.collect()} == set(range(30))
