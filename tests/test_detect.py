@@ -189,3 +189,35 @@ def test_hashes_and_constants_do_not_travel(spark):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         below = plan[plan.index("RepartitionByExpression" if declined else "Aggregate"):].split("\n", 1)[1]
         assert "gazetteer" in plan and "gazetteer" not in below, declined
+
+
+def test_matches_are_placed_by_one_walk(spark):
+    """Offsets from marked texts: many, empty, adjacent and no matches, texts that hold the marks themselves, wide characters, null."""
+    import re
+
+    texts = ["", "a1b22c333", "x", "1", "😀7ż88", f"a1{S.MATCH_START}2{S.MATCH_END}33", S.MATCH_END + "5", "9" * 40, " ".join(map(str, range(60))), None, "12ab34\n56"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for pattern in (r"[0-9]+", r"[0-9]", r"[0-9]*b?", r"b*(?=[0-9])"):
+        got = [r[0] for r in df.select(S.extract_spans(F.col("text"), pattern, "N", score=1.0, source="s", strip=False)).collect()]
+        for t, spans in zip(texts, got, strict=True):
+            if t is not None and ("*" not in pattern or not {S.MATCH_START, S.MATCH_END, "\U0001f600"} & set(t)):
+                # an empty match right after another one is Python's alone
+                assert [(s.text, s.start, s.end) for s in spans if s.text] == [(m.group(), m.start(), m.end()) for m in re.finditer(pattern, t) if m.group()], (t, pattern)
+    plan = df.select(S.extract_spans(F.col("text"), r"[0-9]+", "N", score=1.0, source="s"))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" in plan
+
+
+def test_a_stated_first_character_changes_no_match(spark):
+    """Rules with and without ``begins`` on random digits, marks and spaces."""
+    import dataclasses
+    import random
+
+    rng = random.Random(3)
+    pieces = ["600", "100", "12", "1234", "0000", "48", "+48", "PL", "pl", "0048", "987", "54321", "4111111111111111", "123456789", "71040598765", "10.0.0.1", "\u0663", "\u0131k", "(", "\n"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", "", " ", " ", "-", "x", " \u2003"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    texts += ["+48 600 100 200", "0048600100200", "PL 12 1234 1234 1234 1234 1234 1234", "x pl12123412341234123412341234", "(  600-100-200)", "a 12 1234 1234 1234 1234 1234 1234"]
+    rules = [*R.default_base_recognizers(), *R.EXTRA_RECOGNIZERS, *R.business_rules()]
+    assert sum(r.begins is not None for r in rules) >= 9
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = df.select(S.extract_rules(F.col("text"), rules).alias("a"), S.extract_rules(F.col("text"), [dataclasses.replace(r, begins=None) for r in rules]).alias("b")).collect()
+    assert all(p.a == p.b for p in pairs) and sum(len(p.a) for p in pairs) > 300

@@ -156,3 +156,21 @@ def test_log_by_days(spark):
         flat = shared_path(spark, "flat")
         spark.createDataFrame([("{}",)], "value string").write.text(flat)
         AJ.read_audit(spark, flat, "2026-01-01")
+
+
+def test_a_table_of_one_row_group_is_dealt_over_all_cores(spark, tmp_path):
+    """Rows of one file and row group are one task of a scan; dealt, each core gets some, and all rows stay."""
+    from veilmark.session import DEAL_FROM, dealt
+
+    n = DEAL_FROM + 1000
+    spark.range(n, numPartitions=1).selectExpr("id AS k", "id % 7 AS v").coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000, numPartitions=1).selectExpr("id AS k", "id % 7 AS v").coalesce(1).write.parquet(str(tmp_path / "few"))
+    spark.range(n, numPartitions=8).selectExpr("id AS k", "id % 7 AS v").write.parquet(str(tmp_path / "many"))
+
+    def tasks(df):
+        return df.selectExpr("spark_partition_id() AS t").distinct().count()
+
+    one, few, many = (spark.read.parquet(str(tmp_path / name)) for name in ("one", "few", "many"))
+    assert tasks(one) == 1 and tasks(dealt(one, "k")) == spark.sparkContext.defaultParallelism
+    assert dealt(one, "k").exceptAll(one).count() == 0 and dealt(one, "k").count() == n
+    assert dealt(few, "k") is few and dealt(many, "k") is many
